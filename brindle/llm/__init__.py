@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filter
+from . import mixing, quality_classifier, quality_rules, secrets, url_filter
 
-_MODULES = (quality_rules, url_filter, mixing)
+_MODULES = (quality_rules, secrets, url_filter, mixing, quality_classifier)
 
 
 def queries() -> dict:
