@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_classifier, quality_rules, secrets, url_filter
+from . import minhash, mixing, quality_classifier, quality_rules, secrets, url_filter
 
-_MODULES = (quality_rules, secrets, url_filter, mixing, quality_classifier)
+_MODULES = (quality_rules, secrets, url_filter, mixing, quality_classifier, minhash)
 
 
 def queries() -> dict:
