@@ -19,10 +19,12 @@ repeated rows count once; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,19 +123,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     depth = max(0, int(np.ceil(np.log2(max(1, min(total, len(sample) * 64) / leaf)))))
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 4)))))
     points, rng = placed(sample, longest), np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([Tree(points, depth, rng) for _ in range(trees)])
+    forest = spark.sparkContext.broadcast(cloudpickle.dumps([Tree(points, depth, rng) for _ in range(trees)]))  # by value
     size, spread = 2**depth, np.sqrt(points.shape[1])
     tiles = max(1, size // TILE_LEAVES)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(forest.value)
         for b in batches:
             x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims_n))
-            for i, t in enumerate(forest.value):
+            for i, t in enumerate(held):
                 at = t.leaves(placed(x, longest)) if len(b) else np.zeros(0, np.int64)
                 yield pd.DataFrame({"tile": i * tiles + at * tiles // size, "leaf": i * size + at, "cls": b["cls"], "v": b["v"]})
 
     def ask(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = pickle.loads(forest.value)
             for b in batches:
                 rows = []
                 x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims_n))
@@ -144,7 +148,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     else:  # distance, on the sphere, of a neighbour at the bound
                         far = reach * np.sqrt(max(0.0, 2 - 2 * low / (longest * np.linalg.norm(v_)) if np.isfinite(low) else 4.0)) / spread
                     own: dict[int, list[int]] = {}
-                    for i, at in visit(forest.value, p / np.linalg.norm(p), far):
+                    for i, at in visit(held, p / np.linalg.norm(p), far):
                         own.setdefault(i * tiles + at * tiles // size, []).append(i * size + at)
                     rows += [(q, tile, leaves, v_, low) for tile, leaves in own.items()]
                 yield pd.DataFrame(rows, columns=["query_id", "tile", "leaves", "v", "bound"])
