@@ -1,11 +1,15 @@
-"""Queries over the driver's tables, one for each group of catalog operators, with DuckDB twins."""
+"""Queries over the driver's tables, for each group of catalog operators, with DuckDB twins."""
 
 from __future__ import annotations
 
+from .plans import query_catalog, query_profile, query_search, query_text
+
+_MODULES = (query_catalog, query_search, query_profile, query_text)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -1,0 +1,22 @@
+"""Groups of rows that share any of several keys, by passing least labels along the keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def linked_groups(df: DataFrame, keys: list[str], seq: str, max_rounds: int = 50) -> DataFrame:
+    """``df`` with ``group``: the least ``seq`` that can be reached over shared keys. Needs a checkpoint folder."""
+    out = df.withColumn("group", F.col(seq))
+    before = None
+    for _ in range(max_rounds):
+        for k in keys:
+            least = out.groupBy(k).agg(F.min("group").alias("__g"))
+            out = out.join(least, k).withColumn("group", F.least("group", "__g")).drop("__g")
+        out = out.checkpoint()
+        total = out.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return out
+        before = total
+    raise RuntimeError("groups did not settle")
