@@ -18,6 +18,11 @@ SUPERVISED = ("classification", "binary_classification", "multi_label_classifica
 LABELS = ((0.85, "Excellent"), (0.70, "Good"), (0.50, "Fair"), (0.30, "Weak"))
 
 
+def half_up(c: Column, n: int = 4) -> Column:
+    """Rounded with ties upwards, whatever the last bits of the sum say: the same in every engine."""
+    return F.round(c + 1e-9, n)
+
+
 def normalized(weights: dict[str, float] | None = None) -> dict[str, float]:
     """Weights that sum to 1; all zero gives equal ones."""
     full = {k: (weights or WEIGHTS).get(k, 0.0) for k in WEIGHTS}
@@ -41,7 +46,7 @@ def task_relevance(task: Column) -> Column:
 
 def quality() -> Column:
     flag = lambda c, w: F.when(F.col(c), w).otherwise(0.0)
-    return F.round(F.least(F.col("metadata_completeness") * 0.60 + flag("has_description", 0.20) + flag("has_schema_info", 0.10) + flag("has_license_info", 0.10), F.lit(1.0)), 4)
+    return half_up(F.least(F.col("metadata_completeness") * 0.60 + flag("has_description", 0.20) + flag("has_schema_info", 0.10) + flag("has_license_info", 0.10), F.lit(1.0)))
 
 
 def _log_share(c: str, norm: float) -> Column:
@@ -50,14 +55,14 @@ def _log_share(c: str, norm: float) -> Column:
 
 def popularity() -> Column:
     both = F.col("download_count").isNull() & F.col("upvote_count").isNull()
-    return F.when(both, 0.3).otherwise(F.round(F.least(_log_share("download_count", DOWNLOADS) * 0.7 + _log_share("upvote_count", UPVOTES) * 0.3, F.lit(1.0)), 4))
+    return F.when(both, 0.3).otherwise(half_up(F.least(_log_share("download_count", DOWNLOADS) * 0.7 + _log_share("upvote_count", UPVOTES) * 0.3, F.lit(1.0))))
 
 
 def freshness(as_of: str, variant: str = "half_life") -> Column:
     """Half every 365 days (G4), or 1 / (1 + days / 90) (G34); unknown dates give 0.5."""
     days = age_days("last_updated", as_of)
     score = F.pow(F.lit(2.0), -days / HALF_LIFE) if variant == "half_life" else 1.0 / (1.0 + days / 90.0)
-    return F.when(F.col("last_updated").isNull(), 0.5).otherwise(F.round(F.least(score, F.lit(1.0)), 4))
+    return F.when(F.col("last_updated").isNull(), 0.5).otherwise(half_up(F.least(score, F.lit(1.0))))
 
 
 def description_match(keywords: Column) -> Column:
@@ -77,7 +82,7 @@ def description_match(keywords: Column) -> Column:
 
     def matched(x: Column) -> Column:
         total = F.aggregate(x["used"], F.lit(0.0), lambda s, k: s + points(x["text"], x["tokens"], k))
-        return F.when(F.coalesce(F.size(x["used"]), F.lit(0)) <= 0, 0.5).when(F.trim(x["text"]) == "", 0.0).otherwise(F.round(F.least(total / F.size(x["used"]), F.lit(1.0)), 4))
+        return F.when(F.coalesce(F.size(x["used"]), F.lit(0)) <= 0, 0.5).when(F.trim(x["text"]) == "", 0.0).otherwise(half_up(F.least(total / F.size(x["used"]), F.lit(1.0))))
 
     # the text is built once for each row, whatever the number of keywords
     return F.transform(F.array(F.struct(full.alias("text"), F.split(full, r"\s+").alias("tokens"), used.alias("used"))), matched)[0]
@@ -99,25 +104,25 @@ def score(pairs: DataFrame, as_of: str, weights: dict[str, float] | None = None)
     total = sum((F.col(k) * F.lit(v) for k, v in list(w.items())[1:]), F.col("task_relevance") * F.lit(w["task_relevance"]))
     gated = (F.coalesce(F.size("keywords"), F.lit(0)) > 0) & (F.col("description_match") < GATE)
     d = d.withColumn("gated", gated)
-    return d.withColumn("composite", F.when(F.col("gated"), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * modality_factor(F.col("modality")))), 4)))
+    return d.withColumn("composite", F.when(F.col("gated"), 0.0).otherwise(half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * modality_factor(F.col("modality")))))))
 
 
 def freshness_metric(as_of: str) -> Column:
     """struct<score, days, decay, bonus, explanation>."""
     days = age_days("last_updated", as_of)
-    decay = F.round(F.least(F.pow(F.lit(2.0), -days / HALF_LIFE), F.lit(1.0)), 4)
-    bonus = F.when(days <= 90, F.round(0.1 * (1 - days / 90.0), 4)).otherwise(0.0)
+    decay = half_up(F.least(F.pow(F.lit(2.0), -days / HALF_LIFE), F.lit(1.0)))
+    bonus = F.when(days <= 90, half_up(0.1 * (1 - days / 90.0))).otherwise(0.0)
     said = F.when(days == 0, "Updated today").when(days <= 30, F.format_string("Updated %d days ago: very fresh", days)).when(days <= 180, F.format_string("Updated %d days ago: current", days)).when(days <= 365, F.format_string("Updated %d days ago: nearly a year old", days)).otherwise(F.format_string("Updated %d days ago: may be stale", days))
     none = F.col("last_updated").isNull()
-    return F.struct(F.when(none, 0.5).otherwise(F.round(F.least(decay + bonus, F.lit(1.0)), 4)).alias("score"), F.when(~none, days).alias("days"), F.when(none, 0.5).otherwise(decay).alias("decay"), F.when(none, 0.0).otherwise(bonus).alias("bonus"), F.when(none, "Update date unknown").otherwise(said).alias("explanation"))
+    return F.struct(F.when(none, 0.5).otherwise(half_up(F.least(decay + bonus, F.lit(1.0)))).alias("score"), F.when(~none, days).alias("days"), F.when(none, 0.5).otherwise(decay).alias("decay"), F.when(none, 0.0).otherwise(bonus).alias("bonus"), F.when(none, "Update date unknown").otherwise(said).alias("explanation"))
 
 
 def popularity_metric() -> Column:
     """struct<score, downloads, upvotes, bonus, tier>; zero counts as missing."""
     missing = (F.coalesce("download_count", F.lit(0)) == 0) & (F.coalesce("upvote_count", F.lit(0)) == 0)
-    down, up = (F.least(F.round(_log_share(c, n), 4), F.lit(1.0)) for c, n in (("download_count", DOWNLOADS), ("upvote_count", UPVOTES)))
-    bonus = F.coalesce(F.round(F.col("usability_rating") * 0.05, 4), F.lit(0.0))
-    s = F.when(missing, 0.3).otherwise(F.round(F.least(down * 0.7 + up * 0.3 + bonus, F.lit(1.0)), 4))
+    down, up = (F.least(half_up(_log_share(c, n)), F.lit(1.0)) for c, n in (("download_count", DOWNLOADS), ("upvote_count", UPVOTES)))
+    bonus = F.coalesce(half_up(F.col("usability_rating") * 0.05), F.lit(0.0))
+    s = F.when(missing, 0.3).otherwise(half_up(F.least(down * 0.7 + up * 0.3 + bonus, F.lit(1.0))))
     tier = F.when(missing, "no data").when(s >= 0.8, "extremely popular").when(s >= 0.6, "widely adopted").when(s >= 0.4, "moderately popular").when(s >= 0.2, "niche community").otherwise("limited adoption")
     return F.struct(s.alias("score"), down.alias("downloads"), up.alias("upvotes"), F.when(missing, 0.0).otherwise(bonus).alias("bonus"), tier.alias("tier"))
 
@@ -139,15 +144,15 @@ def bias_signals() -> Column:
 def quality_metric() -> Column:
     """struct<score, raw, description, annotation, penalty, signals>: five weighted parts less a tenth of the penalty."""
     n = F.coalesce(F.col("description_length"), F.lit(0))
-    desc = F.when(n >= 500, 1.0).when(n >= 100, F.round(0.5 + 0.5 * (n - 100) / 400.0, 4)).otherwise(F.round(0.3 * n / 100.0, 4))
+    desc = F.when(n >= 500, 1.0).when(n >= 100, half_up(0.5 + 0.5 * (n - 100) / 400.0)).otherwise(half_up(0.3 * n / 100.0))
     some = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, 1.0).otherwise(0.0)
-    notes = F.round(F.least(F.col("tag_count") / 5.0, F.lit(1.0)) * 0.4 + some("task_types") * 0.4 + some("modalities") * 0.2, 4)
+    notes = half_up(F.least(F.col("tag_count") / 5.0, F.lit(1.0)) * 0.4 + some("task_types") * 0.4 + some("modalities") * 0.2)
     signals = bias_signals()
-    penalty = F.round(F.least(F.aggregate(signals, F.lit(0.0), lambda s, x: s + x["penalty"]), F.lit(0.3)), 4)
+    penalty = half_up(F.least(F.aggregate(signals, F.lit(0.0), lambda s, x: s + x["penalty"]), F.lit(0.3)))
     flag = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)
-    raw = F.round("metadata_completeness", 4) * 0.35 + desc * 0.20 + flag("has_schema_info") * 0.15 + flag("has_license_info") * 0.10 + notes * 0.10
+    raw = half_up(F.col("metadata_completeness")) * 0.35 + desc * 0.20 + flag("has_schema_info") * 0.15 + flag("has_license_info") * 0.10 + notes * 0.10
     raw = F.greatest(F.lit(0.0), F.least(raw - penalty * 0.10, F.lit(1.0)))
-    return F.struct(F.round(raw, 4).alias("score"), raw.alias("raw"), desc.alias("description"), notes.alias("annotation"), penalty.alias("penalty"), signals.alias("signals"))
+    return F.struct(half_up(raw).alias("score"), raw.alias("raw"), desc.alias("description"), notes.alias("annotation"), penalty.alias("penalty"), signals.alias("signals"))
 
 
 def task_metric(task: Column) -> Column:
@@ -156,7 +161,7 @@ def task_metric(task: Column) -> Column:
     exact = F.coalesce(F.array_contains("task_types", task), F.lit(False))
     kind = F.when(task.isNull() | task.isin("other", "unknown"), "unknown").when(exact, "exact").when(base == 0.7, "family").when((F.coalesce(F.size("modalities"), F.lit(0)) > 0) & (base > 0.1), "modality").otherwise("none")
     bonus = F.when(kind.isin("exact", "family", "modality") & task.isin(*SUPERVISED) & F.col("has_schema_info"), 0.05).otherwise(0.0)
-    return F.struct(F.round(F.least(base + bonus, F.lit(1.0)), 4).alias("score"), kind.alias("match_type"), bonus.alias("bonus"))
+    return F.struct(half_up(F.least(base + bonus, F.lit(1.0))).alias("score"), kind.alias("match_type"), bonus.alias("bonus"))
 
 
 def score_label(c: Column | str) -> Column:

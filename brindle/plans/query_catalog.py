@@ -205,7 +205,7 @@ def bias_report(spark, sf_dir):
 
 
 @register(f"""{WITH}, d AS (SELECT *, CASE WHEN last_updated IS NOT NULL THEN greatest(CAST(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(last_updated)) / 86400) AS INT), 0) END AS days FROM catalog)
-SELECT canonical_id, days, CASE WHEN days IS NULL THEN 0.5 ELSE round(least(round(least(pow(2.0, -days / 365.0), 1.0), 4) + CASE WHEN days <= 90 THEN round(0.1 * (1 - days / 90.0::DOUBLE), 4) ELSE 0 END, 1.0), 4) END AS score,
+SELECT canonical_id, days, CASE WHEN days IS NULL THEN 0.5 ELSE round(1e-9 + least(round(1e-9 + least(pow(2.0, -days / 365.0), 1.0), 4) + CASE WHEN days <= 90 THEN round(1e-9 + 0.1 * (1 - days / 90.0::DOUBLE), 4) ELSE 0 END, 1.0), 4) END AS score,
   CASE WHEN days IS NULL THEN 'unknown' WHEN days = 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 7 THEN days || ' days ago' WHEN days < 30 THEN days // 7 || ' week' || CASE WHEN days // 7 = 1 THEN '' ELSE 's' END || ' ago'
   WHEN days < 365 THEN days // 30 || ' month' || CASE WHEN days // 30 = 1 THEN '' ELSE 's' END || ' ago' ELSE days // 365 || ' year' || CASE WHEN days // 365 = 1 THEN '' ELSE 's' END || ' ago' END AS label FROM d""")
 def freshness_metric(spark, sf_dir):
@@ -217,23 +217,23 @@ _LOG = "CASE WHEN {0} > 0 THEN ln({0} + 1.0::DOUBLE) / ln({1}::DOUBLE) ELSE 0.0:
 _DOWN, _UP = _LOG.format("download_count", 100001), _LOG.format("upvote_count", 1001)
 
 
-@register(f"""{WITH}, p AS (SELECT canonical_id, coalesce(download_count, 0) = 0 AND coalesce(upvote_count, 0) = 0 AS missing, least(round({_DOWN}, 4), 1.0) AS downloads, least(round({_UP}, 4), 1.0) AS upvotes, round(usability_rating * 0.05, 4) AS bonus FROM catalog),
-s AS (SELECT *, CASE WHEN missing THEN 0.3::DOUBLE ELSE round(least(downloads * 0.7 + upvotes * 0.3 + bonus, 1.0), 4) END AS score FROM p)
+@register(f"""{WITH}, p AS (SELECT canonical_id, coalesce(download_count, 0) = 0 AND coalesce(upvote_count, 0) = 0 AS missing, least(round(1e-9 + {_DOWN}, 4), 1.0) AS downloads, least(round(1e-9 + {_UP}, 4), 1.0) AS upvotes, round(1e-9 + usability_rating * 0.05, 4) AS bonus FROM catalog),
+s AS (SELECT *, CASE WHEN missing THEN 0.3::DOUBLE ELSE round(1e-9 + least(downloads * 0.7 + upvotes * 0.3 + bonus, 1.0), 4) END AS score FROM p)
 SELECT canonical_id, score, CASE WHEN missing THEN 'no data' WHEN score >= 0.8 THEN 'extremely popular' WHEN score >= 0.6 THEN 'widely adopted' WHEN score >= 0.4 THEN 'moderately popular' WHEN score >= 0.2 THEN 'niche community' ELSE 'limited adoption' END AS tier FROM s""")
 def popularity_metric(spark, sf_dir):
     return catalog(spark, sf_dir).withColumn("p", scoring.popularity_metric()).select("canonical_id", "p.score", "p.tier")
 
 
-_PENALTY = """round(least(CASE WHEN has_license_info THEN 0 ELSE 0.05::DOUBLE END + CASE WHEN has_description THEN 0 ELSE 0.10::DOUBLE END + CASE WHEN has_size_info THEN 0 ELSE 0.03::DOUBLE END + CASE WHEN ratio > 20 THEN 0.08::DOUBLE WHEN ratio > 5 THEN 0.05::DOUBLE ELSE 0 END
+_PENALTY = """round(1e-9 + least(CASE WHEN has_license_info THEN 0 ELSE 0.05::DOUBLE END + CASE WHEN has_description THEN 0 ELSE 0.10::DOUBLE END + CASE WHEN has_size_info THEN 0 ELSE 0.03::DOUBLE END + CASE WHEN ratio > 20 THEN 0.08::DOUBLE WHEN ratio > 5 THEN 0.05::DOUBLE ELSE 0 END
  + CASE WHEN missing > 0.20 THEN 0.08::DOUBLE WHEN missing > 0.05 THEN 0.02::DOUBLE ELSE 0 END, 0.3), 4)"""
 
 
 @register(f"""{WITH}, r AS (SELECT *, CASE WHEN minority_class_size > 0 THEN majority_class_size / minority_class_size END AS ratio, CASE WHEN missing_values > 0 AND row_count > 0 THEN missing_values / (row_count * greatest(coalesce(column_count, 1), 1)) END AS missing FROM catalog),
-q AS (SELECT *, {_PENALTY} AS penalty, CASE WHEN description_length >= 500 THEN 1.0::DOUBLE WHEN description_length >= 100 THEN round(0.5 + 0.5 * (description_length - 100) / 400.0::DOUBLE, 4) ELSE round(0.3 * description_length / 100.0::DOUBLE, 4) END AS description_part,
-  round(least(tag_count / 5.0::DOUBLE, 1.0) * 0.4 + (len(task_types) > 0)::INT * 0.4 + (len(modalities) > 0)::INT * 0.2, 4) AS annotation FROM r)
-SELECT canonical_id, round(greatest(0.0, least(round(metadata_completeness, 4) * 0.35 + description_part * 0.20 + has_schema_info::INT * 0.15 + has_license_info::INT * 0.10 + annotation * 0.10 - penalty * 0.10, 1.0)), 6) AS score, penalty, annotation FROM q""")
+q AS (SELECT *, {_PENALTY} AS penalty, CASE WHEN description_length >= 500 THEN 1.0::DOUBLE WHEN description_length >= 100 THEN round(1e-9 + 0.5 + 0.5 * (description_length - 100) / 400.0::DOUBLE, 4) ELSE round(1e-9 + 0.3 * description_length / 100.0::DOUBLE, 4) END AS description_part,
+  round(1e-9 + least(tag_count / 5.0::DOUBLE, 1.0) * 0.4 + (len(task_types) > 0)::INT * 0.4 + (len(modalities) > 0)::INT * 0.2, 4) AS annotation FROM r)
+SELECT canonical_id, round(1e-9 + greatest(0.0, least(round(metadata_completeness, 4) * 0.35 + description_part * 0.20 + has_schema_info::INT * 0.15 + has_license_info::INT * 0.10 + annotation * 0.10 - penalty * 0.10, 1.0)), 6) AS score, penalty, annotation FROM q""")
 def quality_metric(spark, sf_dir):
-    return catalog(spark, sf_dir).withColumn("q", scoring.quality_metric()).select("canonical_id", F.round("q.raw", 6).alias("score"), "q.penalty", "q.annotation")
+    return catalog(spark, sf_dir).withColumn("q", scoring.quality_metric()).select("canonical_id", scoring.half_up(F.col("q.raw"), 6).alias("score"), "q.penalty", "q.annotation")
 
 
 @register(f"""{WITH}, s AS (SELECT *, CASE WHEN column_count IS NOT NULL AND column_names IS NOT NULL AND column_count <> len(column_names) THEN greatest(0.0, 1 - abs(column_count - len(column_names)) / greatest(column_count, len(column_names), 1)) ELSE 1.0 END AS consistency,

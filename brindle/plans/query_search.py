@@ -43,32 +43,32 @@ _SCORED_SQL = f"""{WITH}, {_ASKED_SQL},
 syn(k, s) AS (VALUES ('crop', ['plant', 'agriculture', 'farm', 'agri', 'vegetation', 'botanical', 'paddy', 'maize', 'wheat', 'rice', 'corn', 'soybean', 'cotton', 'sugarcane', 'potato', 'tomato', 'citrus', 'mango', 'coffee', 'tea'])),
 txt AS (SELECT seq, lower(concat_ws(' ', title, description_short, description, array_to_string(tags_primary, ' '), array_to_string(task_types, ' '), array_to_string(modalities, ' '))) AS t FROM catalog),
 kw AS (SELECT query_id, unnest(CASE WHEN len(list_filter(keywords, lambda k: k NOT IN ('image', 'classification'))) > 0 THEN list_filter(keywords, lambda k: k NOT IN ('image', 'classification')) ELSE keywords END) AS k FROM asked),
-pts AS (SELECT query_id, seq, round(least(sum(CASE WHEN contains(t, k) OR len(list_filter(coalesce(s, []), lambda x: contains(t, x))) > 0 THEN 1.0::DOUBLE
+pts AS (SELECT query_id, seq, round(1e-9 + least(sum(CASE WHEN contains(t, k) OR len(list_filter(coalesce(s, []), lambda x: contains(t, x))) > 0 THEN 1.0::DOUBLE
   WHEN len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: length(x) >= 5 AND contains(x, substr(k, 1, 5)))) > 0 THEN 0.5 ELSE 0 END) / count(*), 1.0), 4) AS description_match FROM kw CROSS JOIN txt LEFT JOIN syn USING (k) GROUP BY ALL),
 fam(t, f) AS (VALUES ('text_classification', 'nlp'), ('summarization', 'nlp'), ('machine_translation', 'nlp'), ('classification', 'classification')),
 dims AS (SELECT c.*, a.query_id, a.task, a.modality, p.description_match,
   CASE WHEN len(task_types) > 0 AND list_contains(task_types, task) THEN 1.0::DOUBLE WHEN EXISTS (SELECT 1 FROM fam x, fam y WHERE x.t = a.task AND x.f = y.f AND list_contains(c.task_types, y.t)) THEN 0.7
     WHEN len(modalities) > 0 THEN CASE WHEN list_contains(modalities, CASE a.task WHEN 'classification' THEN 'tabular' ELSE 'text' END) THEN 1.0 ELSE 0.1 END ELSE 0.4 END AS task_relevance,
-  round(least(metadata_completeness * 0.60 + has_description::INT * 0.20 + has_schema_info::INT * 0.10 + has_license_info::INT * 0.10, 1.0), 4) AS quality,
-  CASE WHEN download_count IS NULL AND upvote_count IS NULL THEN 0.3 ELSE round(least(CASE WHEN download_count > 0 THEN ln(download_count + 1.0::DOUBLE) / ln(100001.0::DOUBLE) ELSE 0 END * 0.7 + CASE WHEN upvote_count > 0 THEN ln(upvote_count + 1.0::DOUBLE) / ln(1001.0::DOUBLE) ELSE 0 END * 0.3, 1.0), 4) END AS popularity,
-  CASE WHEN last_updated IS NULL THEN 0.5 ELSE round(least(pow(2.0, -greatest(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(last_updated)) / 86400), 0) / 365.0), 1.0), 4) END AS freshness
+  round(1e-9 + least(metadata_completeness * 0.60 + has_description::INT * 0.20 + has_schema_info::INT * 0.10 + has_license_info::INT * 0.10, 1.0), 4) AS quality,
+  CASE WHEN download_count IS NULL AND upvote_count IS NULL THEN 0.3 ELSE round(1e-9 + least(CASE WHEN download_count > 0 THEN ln(download_count + 1.0::DOUBLE) / ln(100001.0::DOUBLE) ELSE 0 END * 0.7 + CASE WHEN upvote_count > 0 THEN ln(upvote_count + 1.0::DOUBLE) / ln(1001.0::DOUBLE) ELSE 0 END * 0.3, 1.0), 4) END AS popularity,
+  CASE WHEN last_updated IS NULL THEN 0.5 ELSE round(1e-9 + least(pow(2.0, -greatest(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(last_updated)) / 86400), 0) / 365.0), 1.0), 4) END AS freshness
   FROM catalog c CROSS JOIN asked a JOIN pts p ON p.seq = c.seq AND p.query_id = a.query_id),
-scored AS (SELECT *, description_match < 0.25 AS gated, CASE WHEN description_match < 0.25 THEN 0.0::DOUBLE ELSE round(greatest(0.0, least(1.0, (task_relevance * 0.35 + quality * 0.20 + popularity * 0.15 + freshness * 0.10 + description_match * 0.20)
+scored AS (SELECT *, description_match < 0.25 AS gated, CASE WHEN description_match < 0.25 THEN 0.0::DOUBLE ELSE round(1e-9 + greatest(0.0, least(1.0, (task_relevance * 0.35 + quality * 0.20 + popularity * 0.15 + freshness * 0.10 + description_match * 0.20)
   * CASE WHEN modality IS NULL THEN 1.0::DOUBLE WHEN len(modalities) = 0 THEN 0.9 WHEN list_contains(modalities, modality) THEN 1.0 ELSE 0.4 END)), 4) END AS composite FROM dims)"""
 
 
-@register(f"{_SCORED_SQL} SELECT query_id, canonical_id, CAST(task_relevance AS DOUBLE) AS task_relevance, quality, CAST(popularity AS DOUBLE) AS popularity, CAST(freshness AS DOUBLE) AS freshness, description_match, round(composite, 3) AS composite, gated FROM scored")
+@register(f"{_SCORED_SQL} SELECT query_id, canonical_id, CAST(task_relevance AS DOUBLE) AS task_relevance, quality, CAST(popularity AS DOUBLE) AS popularity, CAST(freshness AS DOUBLE) AS freshness, description_match, composite, gated FROM scored")
 def score_dims(spark, sf_dir):
-    return scored(spark, sf_dir).select("query_id", "canonical_id", "task_relevance", "quality", "popularity", "freshness", "description_match", F.round("composite", 3).alias("composite"), "gated")
+    return scored(spark, sf_dir).select("query_id", "canonical_id", "task_relevance", "quality", "popularity", "freshness", "description_match", "composite", "gated")
 
 
 _RANKED_SQL = f"""{_SCORED_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY gated, composite DESC, seq) AS nth FROM scored),
 adj AS (SELECT *, composite * pow(0.7::DOUBLE, nth - 1) AS adjusted FROM nth), ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, gated, composite DESC, seq) AS rank FROM adj) WHERE rank <= 10)"""
 
 
-@register(f"{_RANKED_SQL} SELECT query_id, rank, canonical_id, round(adjusted, 3) AS adjusted FROM ranked")
+@register(f"{_RANKED_SQL} SELECT query_id, rank, canonical_id, round(1e-9 + adjusted, 3) AS adjusted FROM ranked")
 def rank_diverse_topk(spark, sf_dir):
-    return ranking.rank(scored(spark, sf_dir), 10).select("query_id", F.col("rank").cast("bigint").alias("rank"), "canonical_id", F.round("adjusted", 3).alias("adjusted"))
+    return ranking.rank(scored(spark, sf_dir), 10).select("query_id", F.col("rank").cast("bigint").alias("rank"), "canonical_id", scoring.half_up(F.col("adjusted"), 3).alias("adjusted"))
 
 
 @register(f"{_SCORED_SQL} SELECT query_id, canonical_id, rank FROM (SELECT query_id, canonical_id, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, gated, seq) AS rank FROM scored) WHERE rank <= 20")
@@ -86,10 +86,10 @@ def relevance_gate(spark, sf_dir):
     return filters.relevance_gate(ranking.rank(scored(spark, sf_dir), 10)).select("query_id", "best_match", "no_results")
 
 
-@register(f"{_RANKED_SQL} SELECT query_id, count(*) AS n, round(max(composite), 3) AS top_score, round(round(avg(composite), 4), 3) AS avg_score, count(*) FILTER (composite < 0.4) AS low_scores, count(*) >= 3 AND max(composite) >= 0.4 AS sufficient FROM ranked GROUP BY query_id")
+@register(f"{_RANKED_SQL} SELECT query_id, count(*) AS n, round(1e-9 + max(composite), 3) AS top_score, round(1e-9 + round(avg(composite), 4), 3) AS avg_score, count(*) FILTER (composite < 0.4) AS low_scores, count(*) >= 3 AND max(composite) >= 0.4 AS sufficient FROM ranked GROUP BY query_id")
 def evaluate_results(spark, sf_dir):
     d = ranking.evaluate_results(ranking.rank(scored(spark, sf_dir), 10))
-    return d.withColumns({"top_score": F.round("top_score", 3), "avg_score": F.round("avg_score", 3)})
+    return d.withColumns({"top_score": scoring.half_up(F.col("top_score"), 3), "avg_score": scoring.half_up(F.col("avg_score"), 3)})
 
 
 @register(f"{_RANKED_SQL}, per AS (SELECT query_id, source, count(*) AS n, sum(metadata_completeness) AS s FROM ranked GROUP BY ALL) SELECT query_id, string_agg(source || ':' || n, ' ' ORDER BY n DESC, source) AS by_source, round(sum(s) / sum(n), 3) AS avg_completeness, count(*) AS n_sources FROM per GROUP BY query_id")
@@ -100,10 +100,10 @@ def result_summary(spark, sf_dir):
 @register(f"""{_RANKED_SQL}, prof AS (SELECT canonical_id, CASE WHEN seq % 2 = 0 THEN (seq % 100)::DOUBLE END AS deep, CASE WHEN seq % 3 = 0 THEN (seq % 90)::DOUBLE END AS bal, seq * 10 AS img FROM catalog),
 j AS (SELECT r.*, deep, bal, CASE WHEN img >= 50000 THEN 0.9 WHEN img >= 10000 THEN 0.75 WHEN img >= 1000 THEN 0.55 WHEN img >= 100 THEN 0.35 WHEN img > 0 THEN 0.15 END AS scale FROM ranked r JOIN prof USING (canonical_id)),
 w AS (SELECT *, (deep IS NOT NULL)::INT * 0.35::DOUBLE + (bal IS NOT NULL)::INT * 0.25::DOUBLE + (scale IS NOT NULL)::INT * 0.25::DOUBLE AS held, coalesce(deep / 100 * 0.35, 0) + coalesce(bal / 100 * 0.25, 0) + coalesce(scale * 0.25, 0) AS total FROM j)
-SELECT query_id, canonical_id, round(CASE WHEN held > 0 THEN round(composite * 0.5 + total / held * 0.5, 4) ELSE composite END, 3) AS quality_adjusted FROM w""")
+SELECT query_id, canonical_id, round(1e-9 + CASE WHEN held > 0 THEN round(composite * 0.5 + total / held * 0.5, 4) ELSE composite END, 3) AS quality_adjusted FROM w""")
 def quality_adjusted(spark, sf_dir):
     prof = catalog(spark, sf_dir).selectExpr("canonical_id", "CASE WHEN seq % 2 = 0 THEN CAST(seq % 100 AS DOUBLE) END AS deep_score", "CASE WHEN seq % 3 = 0 THEN CAST(seq % 90 AS DOUBLE) END AS balance_score", "CAST(NULL AS DOUBLE) AS uniqueness_score", "CAST(NULL AS DOUBLE) AS completeness_score", "seq * 10 AS total_images")
-    return ranking.quality_adjusted(ranking.rank(scored(spark, sf_dir), 10), prof).select("query_id", "canonical_id", F.round("quality_adjusted", 3).alias("quality_adjusted"))
+    return ranking.quality_adjusted(ranking.rank(scored(spark, sf_dir), 10), prof).select("query_id", "canonical_id", scoring.half_up(F.col("quality_adjusted"), 3).alias("quality_adjusted"))
 
 
 @register(f"""{_SCORED_SQL}, r AS (SELECT * FROM (SELECT query_id, canonical_id, source, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, gated, seq) AS rank FROM scored) WHERE rank <= 40),
@@ -147,15 +147,15 @@ bm AS (SELECT query_id, doc, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25
 bt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM bm WHERE score > 0)"""
 
 
-@register(f"{_BM25_SQL} SELECT query_id, doc, round(score, 4) AS score, rank FROM bt WHERE rank <= 20")
+@register(f"{_BM25_SQL} SELECT query_id, doc, round(1e-9 + score, 4) AS score, rank FROM bt WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
     d = retrieval.bm25_top(asked(spark), table(spark, sf_dir, "documents"), "doc_id", "text", 20)
-    return d.select("query_id", "doc", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return d.select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register(f"{_BM25_SQL} SELECT query_id, doc_id AS doc, round(coalesce(score, 0), 4) AS score FROM asked CROSS JOIN documents LEFT JOIN bm USING (query_id) WHERE bm.doc = doc_id OR bm.doc IS NULL".replace(" LEFT JOIN bm USING (query_id) WHERE bm.doc = doc_id OR bm.doc IS NULL", " LEFT JOIN bm ON bm.query_id = asked.query_id AND bm.doc = doc_id").replace("SELECT query_id, doc_id AS doc", "SELECT asked.query_id, doc_id AS doc"))
+@register(f"{_BM25_SQL} SELECT query_id, doc_id AS doc, round(1e-9 + coalesce(score, 0), 4) AS score FROM asked CROSS JOIN documents LEFT JOIN bm USING (query_id) WHERE bm.doc = doc_id OR bm.doc IS NULL".replace(" LEFT JOIN bm USING (query_id) WHERE bm.doc = doc_id OR bm.doc IS NULL", " LEFT JOIN bm ON bm.query_id = asked.query_id AND bm.doc = doc_id").replace("SELECT query_id, doc_id AS doc", "SELECT asked.query_id, doc_id AS doc"))
 def bm25_all(spark, sf_dir):
-    return retrieval.bm25_all(asked(spark), table(spark, sf_dir, "documents"), "doc_id", "text").select("query_id", "doc", F.round("score", 4).alias("score"))
+    return retrieval.bm25_all(asked(spark), table(spark, sf_dir, "documents"), "doc_id", "text").select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"))
 
 
 @register(f"{_BM25_SQL} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf, n_terms FROM st, mi")
@@ -175,17 +175,17 @@ def _vectors(spark, sf_dir):
     return v, v.filter("id < 3").select((F.col("id") % 3 + 1).cast("int").alias("query_id"), F.col("v").alias("qv"))
 
 
-@register(f"WITH {_VEC_SQL} SELECT query_id, id, round(score, 4) AS score FROM vt WHERE rank <= 20")
+@register(f"WITH {_VEC_SQL} SELECT query_id, id, round(1e-9 + score, 4) AS score FROM vt WHERE rank <= 20")
 def vector_topk(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return retrieval.vector_top(q, v, 20).select("query_id", "id", F.round("score", 4).alias("score"))
+    return retrieval.vector_top(q, v, 20).select("query_id", "id", scoring.half_up(F.col("score")).alias("score"))
 
 
-@register(f"WITH {_VEC_SQL} SELECT query_id, id, round(score, 4) AS score FROM vs WHERE id % 7 = 0")
+@register(f"WITH {_VEC_SQL} SELECT query_id, id, round(1e-9 + score, 4) AS score FROM vs WHERE id % 7 = 0")
 def cosine_ids(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     wanted = v.filter("id % 7 = 0").select("id").crossJoin(F.broadcast(q))
-    return retrieval.cosine_for(wanted, v).select("query_id", "id", F.round("score", 4).alias("score"))
+    return retrieval.cosine_for(wanted, v).select("query_id", "id", scoring.half_up(F.col("score")).alias("score"))
 
 
 _RRF_SQL = f"{_BM25_SQL}, {_VEC_SQL}, t AS (SELECT query_id, doc AS id, rank AS rt FROM bt WHERE rank <= 30), s AS (SELECT query_id, id, rank AS rv FROM vt WHERE rank <= 30), f AS (SELECT query_id, id, rt, rv FROM t FULL JOIN s USING (query_id, id))"
@@ -219,9 +219,9 @@ st AS (SELECT f, count(*) AS n, avg(len(t)) AS avgdl FROM fields GROUP BY f), tf
 raw AS (SELECT f, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN st USING (f) GROUP BY f, term), mi AS (SELECT f, avg(raw) AS m FROM raw GROUP BY f), idf AS (SELECT f, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN mi USING (f)),
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format('query_text')}) AS term FROM asked) GROUP BY ALL),
 s AS (SELECT query_id, doc, boost * round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN idf USING (f, term) JOIN st USING (f) GROUP BY query_id, doc, f, boost), b AS (SELECT query_id, doc, round(max(score), 6) AS score FROM s GROUP BY ALL)
-SELECT query_id, doc, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM b WHERE score > 0) WHERE rank <= 10""")
+SELECT query_id, doc, round(1e-9 + score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM b WHERE score > 0) WHERE rank <= 10""")
 def text_search(spark, sf_dir):
-    return retrieval.field_search(asked(spark), catalog(spark, sf_dir), "seq", {"title": 3.0, "description": 1.0}, 10).select("query_id", "doc", F.round("score", 4).alias("score"))
+    return retrieval.field_search(asked(spark), catalog(spark, sf_dir), "seq", {"title": 3.0, "description": 1.0}, 10).select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"))
 
 
 @register(f"{WITH} SELECT canonical_id, metadata_completeness FROM catalog WHERE title ILIKE '%ther%' OR description ILIKE '%ther%' OR len(list_filter(tags, lambda x: x ILIKE '%ther%')) > 0 ORDER BY metadata_completeness DESC, canonical_id LIMIT 30 OFFSET 10")
