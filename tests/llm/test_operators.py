@@ -349,3 +349,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any("!!" in (r["text"] or "") for r in left) and not any("24be6443" in (r["text"] or "") for r in left)
     assert 80 not in {r["doc_id"] for r in left}
     assert all(r["exact"] for r in cp.run(spark, str(tmp_path)).collect())
+
+
+# ---- sharding
+
+
+def test_compaction_keeps_every_row_and_every_version(spark, tmp_path):
+    from brindle.llm import sharding
+
+    d = clashing(frame(spark, ODD * 8, ids=[*range(79), None]))
+    root = f"file://{tmp_path}/store"
+    live = sharding.append(d, root, 1, [], sharding.arrivals())
+    more = sharding.append(d.limit(0), root, 2, live)
+    assert more == live and len(live) > 4 and sum(r.rows for r in live) == 80
+    done = sharding.compact(spark, root, d.schema, 3, live, target=1 << 20, fan_in=3, similar=5.0)
+    assert len(done) < len(live) and sharding.versions(spark, root) == [1, 2, 3]
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(key, d.collect()))
+    for v in (1, 2, 3):
+        assert sorted(map(key, sharding.read(spark, root, d.schema, v).drop("run").collect())) == want
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.commit(spark, root, 3, done)
+    empty = f"file://{tmp_path}/empty"
+    sharding.compact(spark, empty, d.schema, 2, sharding.append(d.limit(0), empty, 1, []))
+    assert sharding.read(spark, empty, d.schema, 2).count() == 0
+
+
+def test_compaction_plan():
+    from brindle.llm.sharding import Run, plan
+
+    runs = [Run(f"r{i}", "", 1, b) for i, b in enumerate([10, 10, 11, 12, 40, 41, 44, 300])]
+    groups = [sorted(r.name for r in g) for g in plan(runs, target=1000, fan_in=4)]
+    assert groups == [["r0", "r1", "r2", "r3", "r4", "r5", "r6"]]
+    assert plan(runs, target=5, fan_in=4) == [] and plan([], 10) == []
