@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept holds the bytes left over."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
-    spans = materialize(repeated_spans(d.filter("doc_id IS NOT NULL")).distinct())
+    spans = materialize(repeated_spans(d.filter("doc_id IS NOT NULL")))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return d.join(spans, "doc_id", "left").select("doc_id", "data", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
