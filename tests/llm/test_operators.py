@@ -382,3 +382,28 @@ def test_compaction_plan():
     groups = [sorted(r.name for r in g) for g in plan(runs, target=1000, fan_in=4)]
     assert groups == [["r0", "r1", "r2", "r3", "r4", "r5", "r6"]]
     assert plan(runs, target=5, fan_in=4) == [] and plan([], 10) == []
+
+
+def test_compaction_rewrites_large_runs_of_small_files(spark, tmp_path):
+    from brindle.llm import sharding
+
+    d = frame(spark, [f"{i} " + "word " * 40 for i in range(600)])
+    root = f"file://{tmp_path}/ragged"
+    live = sharding.append(d.repartition(40), root, 1, [])
+    target = live[0].bytes // 4
+    assert len(live) == 1 and live[0].files == 40 and sharding.ragged(live[0], target)
+    done = sharding.compact(spark, root, d.schema, 2, live, target=target)
+    assert len(done) == 1 and 2 <= done[0].files <= 6 and done == sharding.manifest(spark, root, 2)
+    assert sharding.plan(done, target) == []
+    assert sorted(r["text"] for r in sharding.read(spark, root, d.schema, 2).collect()) == sorted(r["text"] for r in d.collect())
+
+
+def test_arrivals_have_tiers_at_every_size(spark):
+    from brindle.llm import sharding
+
+    for gb in (0.1, 0.5, 3, 8, 30, 1000):
+        sizes, total = sharding.shares(int(gb * 2**30)), gb * 2**30
+        each = [total * w / (4 * sum(sizes)) for w in sizes]
+        assert each[0] <= sharding.TARGET / 8 and len(sharding.plan([sharding.Run(f"{i}", "", 1, int(b)) for i, b in enumerate(each * 4)])) > 0
+    seen = frame(spark, ["x"] * 20_000).groupBy(sharding.arrivals(sharding.shares(8 << 30)).alias("k")).count().collect()
+    assert {r["k"] for r in seen} == set(range(4 * len(sharding.shares(8 << 30))))
