@@ -1,9 +1,9 @@
 """MinHash near-duplicates (operator 9): universal hash minima, banding, verification, connected components.
 
-1. Each text becomes its set of five-word shingles (64-bit hashes), a digest of the set, and 30 band keys of six
-   universal hash minima each. Texts with equal sets form a class; its smallest id stands for it from here on.
+1. Each text becomes its set of five-word shingles (64-bit hashes), a digest of the set, and band keys of universal
+   hash minima: 30 of six at similarity 0.85, 36 of five at 0.80. Texts with equal sets form a class; its smallest id stands for it from here on.
 2. Representatives that share a band key are joined to the key's smallest id; components of this graph (families)
-   hold every pair that shares a key. A pair at similarity 0.85 shares none with probability 7e-7.
+   hold every pair that shares a key. A pair at the similarity asked for shares none with probability below 1e-6.
 3. Each family is split into chunks of bounded size and each pair of chunks is a task. In it, pairs whose minima
    agree often enough and that no link joins yet are compared on their full sets; only links that join two
    parts are returned, at most one for each member.
@@ -32,7 +32,9 @@ ships(__name__)
 
 WORDS = 5
 PERCENT = 85
-ROWS, BANDS = 6, 30
+MINIMA = 180
+#: A pair at the limit shares no band with at most this probability.
+MISSED = 1e-6
 #: A pair is compared on full sets unless its share of equal minima lies five deviations below the limit.
 SLACK = 5.0
 CHUNK_DOCS = 1024
@@ -41,11 +43,19 @@ CHUNK_SHINGLES = 2_000_000
 BATCH = 1_000_000
 
 _rng = np.random.default_rng(20240509)
-_A = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
 _C = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shape(percent: int) -> tuple[int, int]:
+    """(rows, bands): the longest bands that miss a pair of this similarity rarely enough."""
+    for rows in range(MINIMA, 1, -1):
+        if MINIMA % rows == 0 and (1 - (percent / 100) ** rows) ** (MINIMA // rows) <= MISSED:
+            return rows, MINIMA // rows
+    return 1, MINIMA
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgotten when there are too many."""
 
@@ -83,13 +93,13 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(percent: int):
     """doc_id, text to doc_id, n_shingles, digest, bands."""
-    known = WordHashes()
+    n_rows, n_bands = shape(percent)
 
     def flush(ids: list, sets: list) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
-        m = minima(full).reshape(len(full), BANDS, ROWS)
+        m = minima(full).reshape(len(full), n_bands, n_rows)
         keys = iter([[xxhash.xxh64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(row)] for row in m])
         return pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -97,20 +107,24 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         ], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    for batch in batches:
-        ids, sets, held = [], [], 0
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(i)
-            sets.append(shingles(text.as_py(), known))
-            held += len(sets[-1])
-            if held > BATCH:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            ids, sets, held = [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                sets.append(shingles(text.as_py(), known))
+                held += len(sets[-1])
+                if held > BATCH:
+                    yield flush(ids, sets)
+                    ids, sets, held = [], [], 0
+            if ids:
                 yield flush(ids, sets)
-                ids, sets, held = [], [], 0
-        if ids:
-            yield flush(ids, sets)
+
+    return run
 
 
-def _links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _links(key: tuple, rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """Links of one pair of chunks: between its sides, or within, if it is a chunk with itself."""
     known = WordHashes()
     rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
@@ -119,10 +133,10 @@ def _links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     sizes = np.array([len(s) for s in sets])
     m = minima(sets)
     part, out = np.arange(len(ids)), []
-    limit = PERCENT / 100 - SLACK * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / m.shape[1])
+    limit = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / m.shape[1])
     across = key[1] != key[2]
     for i in range(len(ids) - 1):
-        rest = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
+        rest = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
         if across:
             rest = rest[own[rest] != own[i]]
         if not len(rest):
@@ -131,18 +145,18 @@ def _links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         for j in rest:
             if part[j] != part[i]:
                 both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                     out.append((ids[i], ids[j]))
                     part[part == part[j]] = part[i]
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = materialize(texts.mapInArrow(_signed(percent), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     sets = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")))
 
@@ -158,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = texts.join(members, texts["doc_id"] == members["rep"]).select("rep", "component", "chunk", "chunks", "text").dropDuplicates(["rep"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
     tasks = members.withColumn("p", F.explode(pairs)).select("rep", "component", "p.i", "p.j", "chunk", "text")
-    links = tasks.groupBy("component", "i", "j").applyInPandas(_links, "u long, v long")
+    links = tasks.groupBy("component", "i", "j").applyInPandas(lambda key, rows: _links(key, rows, percent), "u long, v long")
     grouped = components(links)
 
     of = reps.join(grouped, reps["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -167,9 +181,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id; rows without an id stay."""
-    keep = near_duplicates(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct()
+    keep = near_duplicates(docs, id_col, text_col, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep")).drop("__keep")
     return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
 

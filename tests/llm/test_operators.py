@@ -407,3 +407,20 @@ def test_arrivals_have_tiers_at_every_size(spark):
         assert each[0] <= sharding.TARGET / 8 and len(sharding.plan([sharding.Run(f"{i}", "", 1, int(b)) for i, b in enumerate(each * 4)])) > 0
     seen = frame(spark, ["x"] * 20_000).groupBy(sharding.arrivals(sharding.shares(8 << 30)).alias("k")).count().collect()
     assert {r["k"] for r in seen} == set(range(4 * len(sharding.shares(8 << 30))))
+
+
+# ---- similarity, null and repeated ids in the pipeline
+
+
+def test_similarity_is_a_parameter(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = [f"w{i}" for i in range(200)]
+    w = list(base)
+    for i in (20, 60, 100, 140):
+        w[i] = "other"
+    d = frame(spark, [" ".join(base), " ".join(w), "something else"])  # 176 of 216 shingles: 0.81
+    assert minhash.shape(85) == (6, 30) and minhash.shape(80) == (5, 36)
+    of = lambda **o: {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, **o).collect()}
+    assert of() == {0: 0, 1: 1, 2: 2} and of(percent=80) == {0: 0, 1: 0, 2: 2}
+    assert sorted(r["doc_id"] for r in cp.deduplicate(spark, d, str(tmp_path)).collect()) == [0, 2]
