@@ -1,8 +1,9 @@
 """MinHash near-duplicates (operator 9): universal hash minima, banding, verification, connected components.
 
 1. Each text becomes its set of five-word shingles (64-bit hashes), a digest of the set, and band keys of universal
-   hash minima: 30 of six at similarity 0.85, 36 of five at 0.80. Texts with equal sets form a class; its smallest id stands for it from here on.
-2. Representatives that share a band key are joined to the key's smallest id; components of this graph (families)
+   hash minima: 30 of six at similarity 0.85, 36 of five at 0.80. Texts with equal sets form a class; its smallest
+   id, with the digest beside it, as rows of one id can differ, stands for it from here on.
+2. Representatives that share a band key are joined to the key's least one; components of this graph (families)
    hold every pair that shares a key. A pair at the similarity asked for shares none with probability below 1e-6.
 3. Each family is split into chunks of bounded size and each pair of chunks is a task. In it, pairs whose minima
    agree often enough and that no link joins yet are compared on their full sets; only links that join two
@@ -10,8 +11,8 @@
 4. Components of these links, by large-star and small-star, are the near-duplicate groups.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a text of fewer than five
-words is one shingle; repeated rows (of one id or several) fall in one component; a row without an id is kept
-and in no component; an empty table gives an empty result; other columns are ignored, and kept by ``deduplicate``.
+words is one shingle; repeated rows (of one id or several) fall in one component; rows of one id with different
+texts are compared as different documents; a row without an id is kept and in no component; an empty table gives an empty result; other columns are ignored, and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ships, table
@@ -94,32 +95,33 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(percent: int):
-    """doc_id, text to doc_id, n_shingles, digest, bands."""
+    """doc_id, text_hash, text to doc_id, text_hash, n_shingles, digest, bands."""
     n_rows, n_bands = shape(percent)
 
-    def flush(ids: list, sets: list) -> pa.RecordBatch:
+    def flush(ids: list, hashes: list, sets: list) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
         m = minima(full).reshape(len(full), n_bands, n_rows)
         keys = iter([[xxhash.xxh64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(row)] for row in m])
         return pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
             pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-        ], names=["doc_id", "n_shingles", "digest", "bands"])
+        ], names=["doc_id", "text_hash", "n_shingles", "digest", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, hashes, sets, held = [], [], [], 0
+            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids.append(i)
+                hashes.append(h)
                 sets.append(shingles(text.as_py(), known))
                 held += len(sets[-1])
                 if held > BATCH:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, hashes, sets)
+                    ids, hashes, sets, held = [], [], [], 0
             if ids:
-                yield flush(ids, sets)
+                yield flush(ids, hashes, sets)
 
     return run
 
@@ -127,8 +129,8 @@ def _signed(percent: int):
 def _links(key: tuple, rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """Links of one pair of chunks: between its sides, or within, if it is a chunk with itself."""
     known = WordHashes()
-    rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
-    ids, own = rows["rep"].to_numpy(), rows["chunk"].to_numpy()
+    rows = rows.sort_values(["id", "digest"], kind="stable").reset_index(drop=True)
+    ids, own = list(zip(rows["id"], rows["digest"], strict=True)), rows["chunk"].to_numpy()
     sets = [shingles(t, known) for t in rows["text"]]
     sizes = np.array([len(s) for s in sets])
     m = minima(sets)
@@ -146,46 +148,69 @@ def _links(key: tuple, rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFra
             if part[j] != part[i]:
                 both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
                 if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    out.append((ids[i], ids[j]))
+                    out.append((*ids[i], *ids[j]))
                     part[part == part[j]] = part[i]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    return pd.DataFrame(out, columns=["u_id", "u_digest", "v_id", "v_digest"]).astype({"u_id": "int64", "v_id": "int64"})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, digest, component), one row for each row of ``docs``.
+
+    A component is the least struct<id, digest> of its members; null without shingles.
+    """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(_signed(percent), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed = materialize(texts.mapInArrow(_signed(percent), "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"))
     sets = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("id")).select("digest", F.struct("id", "digest").alias("rep")))
 
-    first = sets.join(reps, "digest").filter("doc_id = rep").select("rep", "n_shingles", "bands").dropDuplicates(["rep"])
+    # of several rows with the id and the set of a representative one text is taken: all have the same shingles
+    first = sets.join(reps, "digest").filter("doc_id = rep.id").groupBy("rep").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    first = materialize(first)
     keys = first.select("rep", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("band", "first")
     near = keys.join(shared, "band").filter("rep <> first").select("rep", "first")
     family = materialize(components(near, "rep", "first"))
 
-    count = family.join(first.select("rep", "n_shingles"), F.col("node") == F.col("rep")).groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sized = family.join(first.select("rep", "n_shingles", "text_hash"), F.col("node") == F.col("rep"))
+    count = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-    members = family.join(count.select("component", chunks.alias("chunks")), "component").select(F.col("node").alias("rep"), "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    members = texts.join(members, texts["doc_id"] == members["rep"]).select("rep", "component", "chunk", "chunks", "text").dropDuplicates(["rep"])
+    members = sized.join(count.select("component", chunks.alias("chunks")), "component").select("rep", F.col("rep.id").alias("doc_id"), "text_hash", "component", "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+    members = texts.join(members, ["doc_id", "text_hash"]).select("rep", "component", "chunk", "chunks", "text").dropDuplicates(["rep"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    tasks = members.withColumn("p", F.explode(pairs)).select("rep", "component", "p.i", "p.j", "chunk", "text")
-    links = tasks.groupBy("component", "i", "j").applyInPandas(lambda key, rows: _links(key, rows, percent), "u long, v long")
-    grouped = components(links)
+    tasks = members.withColumn("p", F.explode(pairs)).select("rep.id", "rep.digest", "component", "p.i", "p.j", "chunk", "text")
+    links = tasks.groupBy("component", "i", "j").applyInPandas(lambda key, rows: _links(key, rows, percent), "u_id long, u_digest binary, v_id long, v_digest binary")
+    node = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_digest").alias("digest")).alias(x)
+    grouped = components(links.select(node("u"), node("v")))
 
     of = reps.join(grouped, reps["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return signed.select("doc_id", "text_hash", "n_shingles", "digest").join(of, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
+
+    Texts whose shingle sets reach ``percent`` of similarity are linked.
+    """
+    out = _grouped(docs, id_col, text_col, percent)
+    kept = F.coalesce((F.col("doc_id") == F.col("component.id")) & (F.col("digest") == F.col("component.digest")), F.lit(True))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component.id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id; rows without an id stay."""
-    keep = near_duplicates(docs, id_col, text_col, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep")).drop("__keep")
-    return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = _grouped(docs, id_col, text_col, percent).filter("doc_id IS NOT NULL")
+    linked = rows.filter("doc_id = component.id AND digest = component.digest").groupBy("component").agg(F.min("text_hash").alias("h")).select(F.col("component.id").alias("__keep"), F.col("h").alias("__hash"))
+    keep = linked.unionByName(rows.filter("digest IS NULL").select(F.col("doc_id").alias("__keep"), F.col("text_hash").alias("__hash")).distinct())
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__hash", _text_hash(text_col))
+    named = named.join(keep.withColumnRenamed("__hash", "__kept"), (F.col(id_col) == F.col("__keep")) & (F.col("__hash") == F.col("__kept")))
+    return named.dropDuplicates([id_col, "__hash"]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

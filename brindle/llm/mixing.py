@@ -6,12 +6,13 @@ mix is cut where a source's budget ends. A source whose budget exceeds its size
 
 Defined results: a null or blank text has size 0 and takes 0; a null source is a source of its own, last in
 order; repeated rows are mixed as rows of their own (equal keys are ordered by id, then size); an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored, and kept by ``mixed_documents``, which carries each row whole, so
+that null and repeated ids neither lose rows nor share copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, n_words, small, table
@@ -49,32 +50,38 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of ``docs``; taken counts words, repeats included."""
-    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    return _taken(docs, [], id_col, text_col, source_col, weights, share, most, seed)
+
+
+def _taken(docs: DataFrame, carried: list[Column], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """``mix``, with further columns of the rows; these order what has equal keys, ids and sizes."""
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carried)
+    sizes = materialize(sizes)
+    extra = sizes.columns[3:]
     targets = small(materialize(source_targets(sizes, weights, share, most)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "size", "sidx", "source_size", "target", "n_docs", key.alias("key"))
+    rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "size", "sidx", "source_size", "target", "n_docs", key.alias("key"), *extra)
     bits = F.least(F.lit(40), F.ceil(F.log2(F.greatest(F.col("n_docs") / F.lit(DOCS_PER_RANGE), F.lit(1.0))))).cast("int")
     top = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
     rows = rows.withColumn("range", F.floor(top / F.pow(F.lit(2.0), 60 - bits)).cast("long")).drop("n_docs")
     sums = rows.groupBy("sidx", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("sidx").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sidx", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("sidx", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sidx", "range").orderBy("key", "doc_id", "size", *[F.xxhash64(c) for c in extra]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, ["sidx", "range"]).withColumn("prefix", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("prefix")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *extra)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, in whole copies: each row as often as its taken words fill it (halves go up)."""
-    keep = mix(docs, **options)
+    rows = _taken(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")], **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    keep = keep.groupBy("doc_id").agg(F.max(copies).alias("__copies"))
-    out = docs.join(keep.filter("__copies > 0"), "doc_id")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    out = rows.withColumn("copies", copies).filter("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -424,3 +424,25 @@ def test_similarity_is_a_parameter(spark, tmp_path):
     of = lambda **o: {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, **o).collect()}
     assert of() == {0: 0, 1: 1, 2: 2} and of(percent=80) == {0: 0, 1: 0, 2: 2}
     assert sorted(r["doc_id"] for r in cp.deduplicate(spark, d, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_one_id_with_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK_DOCS", 3)
+    base, far = [f"w{i}" for i in range(80)], [f"z{i}" for i in range(80)]
+    near = " ".join(far[:40] + ["edit"] + far[41:])
+    texts = [" ".join(base), " ".join(far), near, near.upper(), " ".join([*base[:79], "end"]), " ", "", None]
+    d = frame(spark, texts, ids=[3, 3, 3, 9, 1, 3, 3, None])
+    rows = minhash.near_duplicates(d).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows) == [(0, 0, 0), (1, 76, 1), (3, 0, 3), (3, 0, 3), (3, 76, 1), (3, 76, 3), (3, 76, 3), (9, 76, 3)]
+    kept = [r["text"] for r in minhash.deduplicate(d).collect()]
+    assert len(kept) == 5 and {texts[4], " ", "", None} < set(kept) and len({texts[1], near} & set(kept)) == 1
+
+
+def test_mix_keeps_null_and_repeated_ids(spark):
+    texts = [f"word{i} " * (i + 1) for i in range(8)]
+    d = frame(spark, texts, ids=[None, None, 2, 2, 4, 5, 6, 7], sources=["a", "b", None])
+    taken = mixing.mix(d).collect()
+    want = sorted((r["doc_id"] or -1, r["size"]) for r in taken for _ in range(math.floor(r["taken"] / r["size"] + 0.5)))
+    got = mixing.mixed_documents(d)
+    assert got.columns == d.columns and any(r["doc_id"] is None for r in got.collect())
+    assert sorted((r["doc_id"] or -1, len(r["text"].split())) for r in got.collect()) == want
