@@ -4,7 +4,7 @@
 2. Trees are fitted on a bounded sample of classes (``MAX_SAMPLE``): each node splits at the median of a random
    projection of the difference of two of its points. All classes are then filed under a leaf of every tree.
    Vectors are scaled to length 1 for this; where lengths differ, one more coordinate makes up the difference, so
-   that nearness by inner product becomes nearness by distance.
+   that nearness by inner product becomes nearness by distance. A query has length 1 without it, whatever its own length.
 3. Each query first visits the leaf of its own in every tree; exact scores there bound its k-th nearest.
 4. One priority queue shared by all trees then takes further leaves in order of how far the query lies beyond the
    splits on the way, until this distance passes ``REACH`` times what a neighbour at the bound would deviate along a
@@ -70,8 +70,14 @@ class Tree:
 
 
 def visit(trees: list[Tree], q: np.ndarray, reach: float) -> Iterator[tuple[int, int]]:
-    """(tree, leaf) in order of the distance beyond splits, up to ``reach``; one queue for all trees."""
+    """(tree, leaf) in order of the distance beyond splits; one queue for all trees.
+
+    A split is crossed if a neighbour at distance ``reach`` would deviate so far along its normal: by its share of a
+    random direction in the coordinates, and wholly in the last one, where all neighbours lie on one side of the query.
+    """
     away = [t.normal @ q - t.offset for t in trees]
+    even = np.sqrt(len(q))
+    limits = [np.full(len(t.offset), np.inf) if np.isinf(reach) else reach * (np.linalg.norm(t.normal[:, :-1], axis=1) / even + np.abs(t.normal[:, -1])) for t in trees]
     heap = [(0.0, i, 0) for i in range(len(trees))]
     while heap:
         margin, i, node = heapq.heappop(heap)
@@ -79,7 +85,7 @@ def visit(trees: list[Tree], q: np.ndarray, reach: float) -> Iterator[tuple[int,
         while node < inner:
             d = away[i][node]
             near, far = (2 * node + 2, 2 * node + 1) if d > 0 else (2 * node + 1, 2 * node + 2)
-            if max(margin, abs(d)) <= reach:
+            if abs(d) <= limits[i][node]:
                 heapq.heappush(heap, (max(margin, abs(d)), i, far))
             node = near
         yield i, node - inner
@@ -99,6 +105,11 @@ def placed(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, lack[:, None]], axis=1) / longest
 
 
+def aimed(q: np.ndarray) -> np.ndarray:
+    """Where a query lies: its direction, lacking nothing."""
+    return np.append(q / np.linalg.norm(q), 0.0)
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, reach: float = REACH, max_sample: int = MAX_SAMPLE, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` the ``k`` nearest other rows found."""
     spark = vectors.sparkSession
@@ -124,7 +135,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 4)))))
     points, rng = placed(sample, longest), np.random.default_rng(seed)
     forest = spark.sparkContext.broadcast(cloudpickle.dumps([Tree(points, depth, rng) for _ in range(trees)]))  # by value
-    size, spread = 2**depth, np.sqrt(points.shape[1])
+    size = 2**depth
     tiles = max(1, size // TILE_LEAVES)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,13 +153,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 rows = []
                 x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims_n))
                 bound = np.full(len(b), -np.inf) if first else b["bound"].to_numpy()
-                for q, p, v_, low in zip(b["query_id"], placed(x, longest) if len(b) else x, b["v"], bound, strict=True):
+                for q, p, v_, low in zip(b["query_id"], map(aimed, x), b["v"], bound, strict=True):
                     if first:
                         far = 0.0
+                    elif not np.isfinite(low):  # without a bound every leaf is visited
+                        far = np.inf
                     else:  # distance, on the sphere, of a neighbour at the bound
-                        far = reach * np.sqrt(max(0.0, 2 - 2 * low / (longest * np.linalg.norm(v_)) if np.isfinite(low) else 4.0)) / spread
+                        far = reach * np.sqrt(max(0.0, 2 - 2 * low / (longest * np.linalg.norm(v_))))
                     own: dict[int, list[int]] = {}
-                    for i, at in visit(held, p / np.linalg.norm(p), far):
+                    for i, at in visit(held, p, far):
                         own.setdefault(i * tiles + at * tiles // size, []).append(i * size + at)
                     rows += [(q, tile, leaves, v_, low) for tile, leaves in own.items()]
                 yield pd.DataFrame(rows, columns=["query_id", "tile", "leaves", "v", "bound"])

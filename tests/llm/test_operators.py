@@ -446,3 +446,18 @@ def test_mix_keeps_null_and_repeated_ids(spark):
     got = mixing.mixed_documents(d)
     assert got.columns == d.columns and any(r["doc_id"] is None for r in got.collect())
     assert sorted((r["doc_id"] or -1, len(r["text"].split())) for r in got.collect()) == want
+
+
+def test_neighbors_of_lengths_spread_over_ten(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 64))
+    v *= (10 ** rng.uniform(0, 1, 400) / np.linalg.norm(v, axis=1))[:, None]
+    assert np.allclose(neighbors.aimed(v[0]), np.append(v[0] / np.linalg.norm(v[0]), 0.0))
+    d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbors.nearest(d, leaf=4).collect():  # the first leaves hold fewer than 20: without a bound, all are visited
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    true = {q: set(sorted((i for i in range(400) if i != q), key=lambda i: -(v[i] @ v[q]))[:20]) for q in range(0, 400, 20)}
+    assert got == true
+    near = neighbors.nearest(d, leaf=64, reach=0.0).collect()  # only the queries' own leaves: those of long vectors
+    assert sum(r["vec_id"] in true[r["query_id"]] for r in near) >= 0.6 * 400
