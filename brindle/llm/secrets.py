@@ -3,7 +3,9 @@
 Base kinds are regular expressions. Further candidates are long runs of key-like characters: for each character
 class a window slides over the run, its character counts and the sum of c * log2(c) are updated by the character
 that enters and the one that leaves, and the run is reported if any window's Shannon entropy reaches the class's
-limit. Runs that an allow-list pattern fits, or that overlap a base span, are not reported again.
+limit. Runs that an allow-list pattern fits, or that overlap a base span, are not reported again by ``scan``, as
+operator 2's SQL has it. ``redact`` is stricter (``whole``): slashes alone excuse no run, only several of them between
+word-like parts do, and a run that touches a base span is masked to its ends.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored, and kept by ``redact``.
@@ -26,6 +28,10 @@ WINDOW = 20
 CLASSES = {"hex": ("0123456789abcdefABCDEF", 3.05), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.85)}
 #: Key-like runs that are no secrets: UUIDs, documented example keys, integrity digests, paths, numbers.
 ALLOW = r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*EXAMPLE.*|sha(?:256|384|512)-.*|.*(?://|\.\.).*|/.*|[0-9+/_=-]*)$"
+#: The same, but paths are runs with two slashes or more between words (of one case or CamelCase) and short numbers.
+_WORD = "(?:[a-z]+|[A-Z]+)?(?:[A-Z][a-z]{2,})*[0-9]{0,8}"
+_PART = f"{_WORD}(?:[_=-]+{_WORD})*"
+ALLOW_WHOLE = ALLOW.replace(r".*(?://|\.\.).*|/.*", f"(?=[^/]*/[^/]*/)(?:{_PART}/)+{_PART}")
 MASK = "[SECRET]"
 CHUNK = 256
 
@@ -99,16 +105,16 @@ def _entropic(run: Column, chars: str, least: float) -> Column:
     return F.when(F.length(run) >= WINDOW, let(codes, slide)).otherwise(F.lit(False))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, base, found): arrays of struct<start, kind, end> in order; found holds base and the method's own.
 
     No shuffle. Texts without the characters that a kind needs skip its expressions.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    return _with_spans(d).select("doc_id", F.col("__base").alias("base"), F.col("__found").alias("found"))
+    return _with_spans(d, whole).select("doc_id", F.col("__base").alias("base"), F.col("__found").alias("found"))
 
 
-def _with_spans(d: DataFrame) -> DataFrame:
+def _with_spans(d: DataFrame, whole: bool = False) -> DataFrame:
     text = F.col("__t")
     tag = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     assign = F.filter(_found(text, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
@@ -118,11 +124,11 @@ def _with_spans(d: DataFrame) -> DataFrame:
         tag(_found(text, F.lit(True), "[0-9a-f]{24,}"), 2),
     )))
     run = "[A-Za-z0-9+/_=-]{%d,}" % WINDOW
-    key = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~x["match"].rlike(ALLOW)
+    key = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~x["match"].rlike(ALLOW_WHOLE if whole else ALLOW)
     high = lambda x: F.reduce(F.array(*[_entropic(x["match"], *c) for c in CLASSES.values()]), F.lit(False), lambda a, b: a | b)
     d = d.withColumn("__runs", F.filter(_found(text, F.lit(True), run), key))
     apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    own = F.when(F.size("__runs") > 0, F.filter(F.filter("__runs", apart), high)).otherwise(F.array().cast(NONE))
+    own = F.when(F.size("__runs") > 0, F.filter("__runs" if whole else F.filter("__runs", apart), high)).otherwise(F.array().cast(NONE))
     return d.withColumn("__found", F.array_sort(F.concat("__base", tag(own, 3))))
 
 
@@ -133,7 +139,7 @@ def spelled(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with each maximal run of overlapping spans replaced by ``mask``; null texts stay null."""
-    d = _with_spans(docs.withColumn("__t", F.coalesce(text_col, F.lit(""))))
+    d = _with_spans(docs.withColumn("__t", F.coalesce(text_col, F.lit(""))), whole=True)
 
     def cut(text: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
