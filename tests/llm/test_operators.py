@@ -149,19 +149,60 @@ def test_neighbors_recall_ties_and_bad_vectors(spark):
 
 
 def all_segmentations(c, v):
-    return [(0.0, ())] if not c else [(s + a, ids + b) for end, s, ids in v.edges(c, 0) for a, b in all_segmentations(c[end:], v)]
+    """(weight, ids, ends) of every way through the lattice."""
+    def go(start):
+        return [(0, (), ())] if start == len(c) else [(w + a, ids + b, (end, *ends)) for end, w, ids in v.edges(c, start) for a, b, ends in go(end)]
+
+    return go(0)
 
 
 def test_n_best_matches_enumeration(spark):
     v = pieces.load()
-    for text in (" the", " thing", "aé漢", " ", "   x", "\n", " un▁x"):
-        every = sorted((-s for s, _ in all_segmentations(text, v)))[:4]
-        assert np.allclose([-s for s, _ in pieces.n_best(text, v, 4)], every)
-        assert abs(pieces.Forward(v)[text][0] + every[0]) < 1e-9
-    e = pieces.Encoder(v, 4)
-    for text in ("a b", "the ox", "é x"):
-        every = sorted((-s for s, _ in all_segmentations(" " + text, v)))[:4]
-        assert np.allclose([-s for s, _ in e.encode(text)[1]], every)
+    for text in (" the", " thing", "aé漢", " ", "   x", "\n", " un▁x", " $$$", " tallco$$$", "aaaaaaaa", " 1000000"):
+        every = sorted(all_segmentations(text, v), key=lambda s: -s[0])
+        assert len({s[0] for s in every}) == len(every)  # no ties are left
+        assert pieces.n_best(text, v, 4) == [s[:2] for s in every[:4]]
+        first, second, ids = pieces.viterbi(text, v)
+        assert (first, ids) == every[0][:2] and (len(every) == 1 or second == every[1][0])
+        # score first, then longer last pieces: fewer cuts far behind
+        assert every == sorted(every, key=lambda s: (-round(v.scores[list(s[1])].sum() * 64), sum(1 << e for e in s[2])))
+
+
+def test_blocks_match_single_words(spark):
+    v, rng = pieces.load(), random.Random(12)
+    words = ["".join(rng.choice("aetn$0 .é") for _ in range(rng.randint(1, 24))) for _ in range(300)] + [" the", "x漢", "€uro"]
+    first, second, counts, ids = pieces.viterbi_block(words, v)
+    at = 0
+    for k, w in enumerate(words):
+        one, two, best = pieces.viterbi(w, v)
+        same = (one, two) == (first[k], second[k]) if two > -math.inf else one == first[k] and second[k] < pieces.LOW // 2
+        assert counts[k] == 0 or (same and tuple(ids[at : at + counts[k]]) == best)
+        assert counts[k] > 0 or any(c not in v.pieces for c in w)
+        at += counts[k]
+
+
+def text_order(text, v, n):
+    """n best of a text by enumeration: losses of its chunks, then earlier changes first."""
+    chunks = re.findall(r"\n| *[^ \n]+| +", " " + text)
+    made = [(0, (), ())]
+    for k, c in enumerate(chunks):
+        every = sorted(all_segmentations(c, v), key=lambda s: -s[0])[:n]
+        made = sorted((lost + every[0][0] - s[0], (*picks, (k, j)) if j else picks, ids + s[1]) for lost, picks, ids in made for j, s in enumerate(every))[:n]
+    return [m[2] for m in made]
+
+
+def test_texts_get_their_n_best_ids(spark):
+    v = pieces.load()
+    texts = ["a b", "the ox", "é x", "ab  $$$ \n $$$ x", " ".join(["tallco$$$"] * 8), "x" * 60 + " $$$", None, ""]
+    rows = pieces.encode(frame(spark, texts)).withColumns({f"r{k}": pieces.nth_ids(k) for k in (1, 2, 3, 4, 5)}).orderBy("doc_id").collect()
+    for t, r in zip(texts, rows, strict=True):
+        if t and len(t) < 60:
+            assert [tuple(r[f"r{k}"]) for k in (1, 2, 3, 4) if r[f"r{k}"] is not None] == text_order(t, v, 4), t
+        assert r["r5"] is None and [b["n_tokens"] for b in r["nbest"]] == [len(r[f"r{k + 1}"]) for k in range(len(r["nbest"]))]
+        assert all(abs(b["score"] - v.scores[r[f"r{k + 1}"]].sum()) < 1e-6 for k, b in enumerate(r["nbest"]))
+        assert all(pieces.spell(r[f"r{k + 1}"], v) == (t or "") for k in range(len(r["nbest"])))
+    ids, word = rows[4]["ids"], list(pieces.viterbi(" tallco$$$", v)[2])
+    assert ids == word * 8  # one word is cut alike wherever it stands
 
 
 def test_encoding_round_trip(spark):
