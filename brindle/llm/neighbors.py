@@ -1,24 +1,31 @@
 """Approximate nearest neighbours by inner product (operator 4): a forest of random-projection trees.
 
 1. Rows with equal vectors form a class, kept with its smallest ids: never more than k + 1 of them can be asked for.
-2. Trees are fitted on a bounded sample of classes (``MAX_SAMPLE``): each node splits at the median of a random
-   projection of the difference of two of its points. All classes are then filed under a leaf of every tree.
-   Vectors are scaled to length 1 for this; where lengths differ, one more coordinate makes up the difference, so
-   that nearness by inner product becomes nearness by distance. A query has length 1 without it, whatever its own length.
-3. Each query first visits the leaf of its own in every tree; exact scores there bound its k-th nearest.
-4. One priority queue shared by all trees then takes further leaves in order of how far the query lies beyond the
-   splits on the way, until this distance passes ``REACH`` times what a neighbour at the bound would deviate along a
-   random direction. There is no cap on leaves or candidates; a query in a dense place stops at once, one in empty
-   space goes on. Candidates are scored exactly, in double precision, summed in order of the coordinates.
+   Vectors are scaled to length 1; where lengths differ, one more coordinate makes up the difference, so that nearness
+   by inner product becomes nearness by distance. A query has length 1 without it, whatever its own length.
+2. A router, one tree fitted on a bounded sample of classes (``MAX_SAMPLE``), deals all classes to tiles. Tiles that
+   come out large are cut into parts by hash, so that a task holds a bounded number of vectors at any size of the table.
+3. In each part a forest of trees is built over all its vectors, down to leaves of at most ``LEAF``. Each node splits
+   at the median of a random projection: the direction from one of its points to another.
+4. A query searches the forest through one priority queue, which all trees share. Its order is the probability that a
+   neighbour at the query's bound (its k-th best score so far) lies in a node, from how far the query lies beyond or
+   within the splits on the way. Leaves come off the queue and vote for their vectors. The search ends along the queue:
+   once the leaves taken are expected to hold such a neighbour ``NEED`` times. Vectors with ``VOTES`` votes are the
+   candidates, scored exactly, in double precision, summed in order of the coordinates. If they are fewer than k, the
+   queue goes on, to its end if need be; then all vectors have been scored.
+5. The query's own tile gives a first bound. The router's queue then yields further tiles in the same order, until
+   they hold a neighbour at the bound with probability ``MASS``.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, neither as queries
-nor as candidates, nor do those of another length than most; null ids take no part; ties go to smaller ids;
-repeated rows count once; an empty table gives an empty result; other columns are ignored.
+nor as candidates, nor do those of another length than most; null ids take no part; of different vectors under one id
+the least in order of components stands for it; ties go to smaller ids; repeated rows count once; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -28,74 +35,112 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ships, table
+from .common import materialize, ships, small, table
 
 ships(__name__)
 
 K = 20
 EVERY = 20
-TREES = 3
-LEAF = 128
-#: Leaves of a tile: what one task holds of a tree.
-TILE_LEAVES = 16
+TREES, LEAF, VOTES, NEED = 64, 24, 3, 17.0
+#: Trees whose own leaf is scored to get a bound in a part.
+PROBES = 8
+MASS = 0.98
+#: Vectors of a tile, more or less; of a part at most about twice as many; queries that a task answers.
+TILE, ASKED = 8192, 2000
 MAX_SAMPLE = 100_000
-REACH = 1.0
 SEED = 11
 
 
-class Tree:
-    """Nodes in level order: ``normal`` and ``offset`` of inner nodes; node i has children 2i + 1 and 2i + 2."""
-
-    def __init__(self, points: np.ndarray, depth: int, rng: np.random.Generator) -> None:
-        self.depth, inner = depth, 2**depth - 1
-        self.normal = np.zeros((inner, points.shape[1]))
-        self.offset = np.zeros(inner)
-        groups = {0: np.arange(len(points))}
-        for i in range(inner):
-            own = groups.pop(i)
-            direction = points[rng.choice(own)] - points[rng.choice(own)] if len(own) > 1 else np.zeros(points.shape[1])
-            if np.linalg.norm(direction) < 1e-9:
-                direction = rng.normal(size=points.shape[1])
-            self.normal[i] = direction / np.linalg.norm(direction)
-            at = points[own] @ self.normal[i]
-            self.offset[i] = np.median(at) if len(own) else 0.0
-            groups[2 * i + 1], groups[2 * i + 2] = own[at <= self.offset[i]], own[at > self.offset[i]]
-
-    def leaves(self, points: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(points), np.int64)
+class Forest:
+    """Trees over points, in level order: node i has children 2i + 1 and 2i + 2. Leaves hold positions of points."""
+
+    def __init__(self, points: np.ndarray, trees: int, leaf: int, seed: int) -> None:
+        n, rng = len(points), np.random.default_rng(seed)
+        depth = max(0, math.ceil(math.log2(max(1.0, n / leaf))))
+        self.n, self.depth, self.inner = n, depth, 2**depth - 1
+        self.normal = np.zeros((trees, self.inner, points.shape[1]), np.float32)
+        self.offset = np.zeros((trees, self.inner), np.float32)
+        self.orders, self.bounds = [], []
+        for t in range(trees):
+            order, bounds = np.arange(n), np.array([0, n])
+            for level in range(depth):
+                nodes, size = 2**level, np.diff(bounds)
+                one, other = (order[np.minimum(bounds[:-1] + (rng.random(nodes) * size).astype(np.int64), n - 1)] for _ in range(2))
+                w = points[one] - points[other]
+                flat = np.linalg.norm(w, axis=1) < 1e-9
+                w[flat] = rng.normal(size=(flat.sum(), w.shape[1]))
+                w /= np.linalg.norm(w, axis=1)[:, None]
+                node = np.repeat(np.arange(nodes), size)
+                at = np.einsum("ij,ij->i", points[order], w[node])
+                by = np.lexsort((at, node))
+                order, at = order[by], at[by]
+                middle = bounds[:-1] + (size + 1) // 2
+                self.normal[t, nodes - 1 : 2 * nodes - 1] = w
+                self.offset[t, nodes - 1 : 2 * nodes - 1] = (at[np.clip(middle - 1, 0, n - 1)] + at[np.clip(middle, 0, n - 1)]) / 2
+                bounds = np.sort(np.concatenate([bounds, middle]))
+            self.orders.append(order)
+            self.bounds.append(bounds.tolist())
+
+    def leaf(self, tree: int, leaf: int) -> np.ndarray:
+        return self.orders[tree][self.bounds[tree][leaf] : self.bounds[tree][leaf + 1]]
+
+    def filed(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of the first tree that each point falls into."""
+        node, x = np.zeros(len(points), np.int64), points.astype(np.float32)
         for _ in range(self.depth):
-            beyond = np.einsum("ij,ij->i", points, self.normal[node]) > self.offset[node]
-            node = 2 * node + 1 + beyond
-        return node - (2**self.depth - 1)
-
-
-def visit(trees: list[Tree], q: np.ndarray, reach: float) -> Iterator[tuple[int, int]]:
-    """(tree, leaf) in order of the distance beyond splits; one queue for all trees.
-
-    A split is crossed if a neighbour at distance ``reach`` would deviate so far along its normal: by its share of a
-    random direction in the coordinates, and wholly in the last one, where all neighbours lie on one side of the query.
-    """
-    away = [t.normal @ q - t.offset for t in trees]
-    even = np.sqrt(len(q))
-    limits = [np.full(len(t.offset), np.inf) if np.isinf(reach) else reach * (np.linalg.norm(t.normal[:, :-1], axis=1) / even + np.abs(t.normal[:, -1])) for t in trees]
-    heap = [(0.0, i, 0) for i in range(len(trees))]
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normal[0, node]) > self.offset[0, node])
+        return node - self.inner
+
+    def beyond(self, q: np.ndarray) -> np.ndarray:
+        """How far queries lie above each split, in units of what a neighbour at distance 1 would deviate from them along
+        the normal: its share of a random direction in the coordinates, and wholly in the last one."""
+        w = self.normal
+        spread = np.sqrt(np.einsum("tij,tij->ti", w[..., :-1], w[..., :-1]) / max(1, w.shape[2] - 1) + w[..., -1] ** 2)
+        away = (q.astype(np.float32) @ w.reshape(-1, w.shape[2]).T).reshape(len(q), *self.offset.shape)
+        return (away - self.offset) / spread
+
+
+def best_first(beyond: np.ndarray, distance: float) -> Iterator[tuple[int, int, float]]:
+    """(tree, leaf, probability) of leaves, best first, from one queue for all trees. The probability is that of a
+    neighbour at the distance, which deviates normally along each normal."""
+    inner, erf, push, pop = beyond.shape[1], math.erf, heapq.heappush, heapq.heappop
+    z = (beyond * (0.5**0.5 / distance)).tolist()
+    heap = [(-1.0, t, 0) for t in range(len(z))]
     while heap:
-        margin, i, node = heapq.heappop(heap)
-        inner = len(trees[i].offset)
+        p, t, node = pop(heap)
+        own = z[t]
         while node < inner:
-            d = away[i][node]
-            near, far = (2 * node + 2, 2 * node + 1) if d > 0 else (2 * node + 1, 2 * node + 2)
-            if abs(d) <= limits[i][node]:
-                heapq.heappush(heap, (max(margin, abs(d)), i, far))
-            node = near
-        yield i, node - inner
+            right = 0.5 + 0.5 * erf(own[node])
+            node = 2 * node + 1
+            if right > 0.5:
+                push(heap, (p * (1 - right), t, node))
+                p, node = p * right, node + 1
+            else:
+                push(heap, (p * right, t, node + 1))
+                p *= 1 - right
+            if p > heap[0][0]:
+                push(heap, (p, t, node))
+                break
+        else:
+            yield t, node - inner, -p
+
+
+def candidates(forest: Forest, beyond: np.ndarray, distance: float, k: int, need: float, votes: int) -> np.ndarray:
+    """Positions of the points with enough votes of the leaves that come off the queue."""
+    count, held, least = np.zeros(forest.n, np.uint8), 0.0, min(votes, len(beyond))
+    for t, leaf, p in best_first(beyond, distance):
+        count[forest.leaf(t, leaf)] += 1
+        held += p
+        if held >= need and np.count_nonzero(count >= least) >= min(k, forest.n):
+            break
+    return np.flatnonzero(count >= least)
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of all rows of q and v, summed in order of the coordinates, so that equal vectors score equally."""
-    out = np.zeros((len(q), len(v)))
-    for d in range(q.shape[1]):
-        out += q[:, d, None] * v[None, :, d]
+    """Inner products of q with all rows of v, summed in order of the coordinates, so that equal vectors score equally."""
+    out = np.zeros(len(v))
+    for d in range(len(q)):
+        out += q[d] * v[:, d]
     return out
 
 
@@ -106,109 +151,122 @@ def placed(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def aimed(q: np.ndarray) -> np.ndarray:
-    """Where a query lies: its direction, lacking nothing."""
-    return np.append(q / np.linalg.norm(q), 0.0)
-
-
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, reach: float = REACH, max_sample: int = MAX_SAMPLE, seed: int = SEED) -> DataFrame:
+    """Where queries lie: their directions, lacking nothing."""
+    return np.concatenate([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))], axis=1)
+
+
+def distance(q: np.ndarray, low: float, longest: float) -> float:
+    """On the sphere, from a query to a neighbour at the bound ``low``; without a bound the greatest there is."""
+    return math.sqrt(min(4.0, max(1e-6, 2 - 2 * low / (longest * np.linalg.norm(q))))) if np.isfinite(low) else 2.0
+
+
+def search(q: np.ndarray, low: np.ndarray, v: np.ndarray, longest: float, k: int, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (its position, positions of the best k + 1 candidates of ``v``, scores), given its bound so far."""
+    forest = Forest(placed(v, longest), trees, leaf, seed)
+    for block in range(0, len(q), 32):
+        for n, beyond in enumerate(forest.beyond(aimed(q[block : block + 32])), block):
+            first = np.unique(np.concatenate([forest.leaf(t, next(best_first(beyond[t : t + 1], 1.0))[1]) for t in range(min(PROBES, trees))]))
+            s = exact(q[n], v[first])
+            bound = max(low[n], np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf)
+            at = candidates(forest, beyond, distance(q[n], bound, longest), k, need, votes)
+            at = np.union1d(at, first)
+            s = exact(q[n], v[at])
+            if len(at) > k + 1:  # the rest can't be among this query's k, wherever else it looks
+                keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                at, s = at[keep], s[keep]
+            keep = s >= low[n]
+            yield n, at[keep], s[keep]
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, mass: float = MASS, tile: int = TILE, max_sample: int = MAX_SAMPLE, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` the ``k`` nearest other rows found."""
     spark = vectors.sparkSession
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     d = d.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite).filter(F.exists(v, lambda x: x != 0.0))
-    d = d.dropDuplicates(["vec_id"]).withColumn("cls", F.xxhash64(v))
+    d = materialize(d.groupBy("vec_id").agg(F.min("v").alias("v")))
     order = Window.partitionBy("cls", "v").orderBy("vec_id")
-    ids = d.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy("cls", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    ids = d.withColumn("cls", F.xxhash64(v)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy("cls", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = materialize(ids.select(F.element_at("ids", 1).alias("cls"), "v", "ids"))
     dims = classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:
         return spark.createDataFrame([], schema)
-    classes = classes.filter(F.size("v") == dims["n"])
-    queries = materialize(d.filter(F.col("vec_id") % every == 0).filter(F.size("v") == dims["n"]).select(F.col("vec_id").alias("query_id"), "v"))
+    width, total = dims["n"], dims["count"]
+    classes = classes.filter(F.size("v") == width)
+    queries = d.filter(F.col("vec_id") % every == 0).filter(F.size("v") == width).select(F.col("vec_id").alias("query_id"), "v")
 
     longest = float(np.sqrt(classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]))
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("cls", F.lit(seed)), "cls").select("v").limit(max_sample).collect()])
-    total = dims["count"]
-    depth = max(0, int(np.ceil(np.log2(max(1, min(total, len(sample) * 64) / leaf)))))
-    depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 4)))))
-    points, rng = placed(sample, longest), np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast(cloudpickle.dumps([Tree(points, depth, rng) for _ in range(trees)]))  # by value
-    size = 2**depth
-    tiles = max(1, size // TILE_LEAVES)
+    part = F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1_000_000_000)) < int(1e9 * min(1.0, max_sample / total))
+    sample = np.array([r["v"] for r in classes.filter(part).orderBy("cls").select("v").collect()]).reshape(-1, width)
+    # as many tiles as the table needs, if the sample has some vectors for each
+    router = Forest(placed(sample, longest), 1, max(16, math.ceil(len(sample) / max(1, total / tile))), seed)
+    router.orders = router.bounds = []
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(router))  # by value
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(forest.value)
+        own = pickle.loads(held.value)
         for b in batches:
-            x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims_n))
-            for i, t in enumerate(held):
-                at = t.leaves(placed(x, longest)) if len(b) else np.zeros(0, np.int64)
-                yield pd.DataFrame({"tile": i * tiles + at * tiles // size, "leaf": i * size + at, "cls": b["cls"], "v": b["v"]})
+            if len(b):
+                yield b.assign(tile=own.filed(placed(np.stack(b["v"].to_numpy()), longest)))
 
-    def ask(first: bool):
+    def ask(further: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = pickle.loads(forest.value)
+            own = pickle.loads(held.value)
             for b in batches:
-                rows = []
-                x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims_n))
-                bound = np.full(len(b), -np.inf) if first else b["bound"].to_numpy()
-                for q, p, v_, low in zip(b["query_id"], map(aimed, x), b["v"], bound, strict=True):
-                    if first:
-                        far = 0.0
-                    elif not np.isfinite(low):  # without a bound every leaf is visited
-                        far = np.inf
-                    else:  # distance, on the sphere, of a neighbour at the bound
-                        far = reach * np.sqrt(max(0.0, 2 - 2 * low / (longest * np.linalg.norm(v_))))
-                    own: dict[int, list[int]] = {}
-                    for i, at in visit(held, p, far):
-                        own.setdefault(i * tiles + at * tiles // size, []).append(i * size + at)
-                    rows += [(q, tile, leaves, v_, low) for tile, leaves in own.items()]
-                yield pd.DataFrame(rows, columns=["query_id", "tile", "leaves", "v", "bound"])
+                if not len(b):
+                    continue
+                x, rows = np.stack(b["v"].to_numpy()), []
+                for q, w, beyond, low in zip(b["query_id"], x, own.beyond(aimed(x)), b["bound"], strict=True):
+                    sum_ = 0.0
+                    for turn, (_, at, p) in enumerate(best_first(beyond, distance(w, low, longest) if further else 1.0)):
+                        if turn or not further:
+                            rows.append((q, at, w, low))
+                        sum_ += p
+                        if not further or (sum_ >= mass and np.isfinite(low)):
+                            break
+                    # the first leaf of the queue is the query's own at any distance
+                yield pd.DataFrame(rows, columns=["query_id", "tile", "v", "bound"])
 
         return run
 
-    def score(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(held):
-            where = {leaf_: g.index.to_numpy() for leaf_, g in held.reset_index(drop=True).groupby("leaf")}
-            vs, cls = np.stack(held["v"].to_numpy()), held["cls"].to_numpy()
-            wants: dict[int, list[int]] = {}
-            for n, leaves in enumerate(asked["leaves"]):
-                for leaf_ in leaves:
-                    wants.setdefault(leaf_, []).append(n)
-            qs, qid, low = np.stack(asked["v"].to_numpy()), asked["query_id"].to_numpy(), asked["bound"].to_numpy()
-            for leaf_, ns in wants.items():
-                at = where.get(leaf_)
-                if at is None:
-                    continue
-                s = exact(qs[ns], vs[at])
-                for n, row in zip(ns, s, strict=True):
-                    keep = np.flatnonzero(row >= low[n])
-                    if len(keep) > k + 1:  # the rest can't be among this query's k, wherever else it looks
-                        least = np.partition(row[keep], len(keep) - k - 1)[len(keep) - k - 1]
-                        keep = keep[row[keep] >= least]
-                    out += zip([qid[n]] * len(keep), cls[at[keep]], row[keep], strict=True)
-        return pd.DataFrame(out, columns=["query_id", "cls", "score"]).astype({"query_id": "int64", "cls": "int64", "score": "float64"})
-
-    dims_n = dims["n"]
-    filed = materialize(classes.select("cls", "v").mapInPandas(file, "tile long, leaf long, cls long, v array<double>"))
+    def score(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "cls": [], "score": []})]
+        if len(asked) and len(own):
+            own = own.sort_values("cls", kind="stable")
+            cls, vs = own["cls"].to_numpy(), np.stack(own["v"].to_numpy())
+            names = asked["query_id"].to_numpy()
+            for n, at, s in search(np.stack(asked["v"].to_numpy()), asked["bound"].to_numpy(), vs, longest, k, trees, leaf, need, votes, seed):
+                out.append(pd.DataFrame({"query_id": names[n], "cls": cls[at], "score": s}))
+        return pd.concat(out).astype({"query_id": "int64", "cls": "int64", "score": "float64"})
+
+    filed = materialize(classes.select("cls", "v").mapInPandas(file, "cls long, v array<double>, tile long"))
+    sizes = filed.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(2.0 * tile)).cast("int").alias("parts"))
     members = classes.select("cls", "ids")
 
     def found(asked: DataFrame) -> DataFrame:
-        made = asked.groupBy("tile").cogroup(filed.groupBy("tile")).applyInPandas(score, "query_id long, cls long, score double")
-        return made.dropDuplicates(["query_id", "cls"])
-
-    def ranked(candidates: DataFrame) -> DataFrame:
-        each = candidates.join(members, "cls").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
+        asked = materialize(asked)
+        per = asked.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(float(ASKED))).cast("int").alias("chunks"))
+        cells = small(materialize(sizes.join(per, "tile")))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        a = asked.join(cells, "tile").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).withColumn("part", upto("parts"))
+        h = filed.join(cells, "tile").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(seed)), F.col("parts")).cast("int")).withColumn("chunk", upto("chunks"))
+        key = ["tile", "part", "chunk"]
+        made = a.select(*key, "query_id", "v", "bound").groupBy(*key).cogroup(h.select(*key, "cls", "v").groupBy(*key))
+        return materialize(made.applyInPandas(score, "query_id long, cls long, score double"))
+
+    def ranked(near: DataFrame) -> DataFrame:
+        each = near.join(members, "cls").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    asked = "query_id long, tile long, leaves array<long>, v array<double>, bound double"
-    first = ranked(found(queries.mapInPandas(ask(True), asked)))
-    bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
-    again = queries.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    return ranked(found(materialize(again).mapInPandas(ask(False), asked))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked, none = "query_id long, tile long, v array<double>, bound double", F.lit(float("-inf"))
+    first = found(queries.withColumn("bound", none).mapInPandas(ask(False), asked))
+    bounds = ranked(first).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+    again = queries.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", none).alias("bound"))
+    near = first.unionByName(found(again.mapInPandas(ask(True), asked)))
+    return ranked(near).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_neighbors(spark, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def test_neighbors_recall_ties_and_bad_vectors(spark):
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (None, [1.0] * 16), (920, [float("inf")] + [1.0] * 15), (5, [float(x) for x in v[5]])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = {}
-    for r in neighbors.nearest(d, leaf=32).collect():
+    for r in neighbors.nearest(d.withColumn('cls', F.lit(1)), tile=100).collect():  # several tiles
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 400, 20))
     found = 0
@@ -489,19 +489,60 @@ def test_mix_keeps_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, len(r["text"].split())) for r in got.collect()) == want
 
 
+def true_neighbors(v, queries, k=20):
+    return {q: set(sorted((i for i in range(len(v)) if i != q), key=lambda i: (-(v[i] @ v[q]), i))[:k]) for q in queries}
+
+
 def test_neighbors_of_lengths_spread_over_ten(spark):
     rng = np.random.default_rng(4)
-    v = rng.normal(size=(400, 64))
-    v *= (10 ** rng.uniform(0, 1, 400) / np.linalg.norm(v, axis=1))[:, None]
-    assert np.allclose(neighbors.aimed(v[0]), np.append(v[0] / np.linalg.norm(v[0]), 0.0))
+    v = rng.normal(size=(1200, 32))
+    v *= (10 ** rng.uniform(0, 1, 1200) / np.linalg.norm(v, axis=1))[:, None]
+    assert np.allclose(neighbors.aimed(v[:1])[0], np.append(v[0] / np.linalg.norm(v[0]), 0.0))
     d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
-    got = {}
-    for r in neighbors.nearest(d, leaf=4).collect():  # the first leaves hold fewer than 20: without a bound, all are visited
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    true = {q: set(sorted((i for i in range(400) if i != q), key=lambda i: -(v[i] @ v[q]))[:20]) for q in range(0, 400, 20)}
-    assert got == true
-    near = neighbors.nearest(d, leaf=64, reach=0.0).collect()  # only the queries' own leaves: those of long vectors
-    assert sum(r["vec_id"] in true[r["query_id"]] for r in near) >= 0.6 * 400
+    got = neighbors.nearest(d, every=40, tile=300).collect()
+    true = true_neighbors(v, range(0, 1200, 40))
+    assert len(got) == 20 * 30 and sum(r["vec_id"] in true[r["query_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_neighbors_of_one_id_with_two_vectors(spark):
+    d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 9.0]), (1, [0.5, 0.0]), (2, [0.9, 0.1])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in neighbors.nearest(d).orderBy("rank").collect()] == [(0, 1, 2, 0.9), (0, 2, 1, 0.0)]
+
+
+def test_queue_is_best_first_and_ends_early():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    forest = neighbors.Forest(neighbors.placed(v, 1.0), 8, 10, 3)
+    beyond = forest.beyond(neighbors.aimed(v[:1]))[0]
+    came = list(neighbors.best_first(beyond, 0.8))
+    p = [x[2] for x in came]
+    assert p == sorted(p, reverse=True) and abs(sum(p) - 8) < 1e-6 and len({x[:2] for x in came}) == len(came) == 8 * 2**forest.depth
+    for t in range(8):  # each tree holds every point once, in leaves of bounded size
+        leaves = [forest.leaf(t, x) for x in range(2**forest.depth)]
+        assert sorted(np.concatenate(leaves)) == list(range(600)) and max(map(len, leaves)) <= 10
+    few, many = (len(neighbors.candidates(forest, beyond, 0.8, 20, need, 1)) for need in (1.0, 4.0))
+    assert 20 <= few < many < 600
+    assert len(neighbors.candidates(forest, beyond, 0.8, 20, 99.0, 1)) == 600  # the whole queue: everything
+
+
+def test_recall_and_share_on_the_given_vectors(spark, monkeypatch):
+    """At least 0.9 of the true neighbours, scoring less than 0.3 of the vectors."""
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in d.select("vec_id", "embedding").collect())
+    assert [i for i, _ in rows] == list(range(len(rows)))
+    v = np.array([x for _, x in rows], float)
+    true = true_neighbors(v, range(0, len(v), 20))
+    got = neighbors.nearest(d).collect()
+    assert sum(r["vec_id"] in true[r["query_id"]] for r in got) >= 0.9 * 20 * len(true)
+    scored = []
+    plain = neighbors.exact
+    monkeypatch.setattr(neighbors, "exact", lambda q, x: scored.append(len(x)) or plain(q, x))
+    q = v[::20]
+    list(neighbors.search(q, np.full(len(q), -np.inf), v, float(np.linalg.norm(v, axis=1).max()), 20))
+    share = sum(scored[1::2]) / len(q) / len(v)  # every second call: the candidates, with the probed ones among them
+    print("share scored", share)
+    assert share < 0.3
 
 
 def test_redaction_masks_whole_keys(spark):
