@@ -24,7 +24,6 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 from collections.abc import Iterator
@@ -45,14 +44,16 @@ TREES, LEAF, VOTES, NEED = 64, 24, 3, 17.0
 #: Trees whose own leaf is scored to get a bound in a part.
 PROBES = 8
 MASS = 0.98
-#: Vectors of a tile, more or less; of a part at most about twice as many; queries that a task answers.
-TILE, ASKED = 8192, 2000
+#: Numbers held by the vectors of a tile, more or less; a part has at most about twice as many. Queries that a task
+#: answers, and that share a queue.
+TILE, ASKED, BLOCK = 1 << 21, 2000, 32
 MAX_SAMPLE = 100_000
 SEED = 11
 
 
 class Forest:
-    """Trees over points, in level order: node i has children 2i + 1 and 2i + 2. Leaves hold positions of points."""
+    """Trees over points, in level order: node i has children 2i + 1 and 2i + 2. ``members`` holds the points' positions
+    by tree and leaf."""
 
     def __init__(self, points: np.ndarray, trees: int, leaf: int, seed: int) -> None:
         n, rng = len(points), np.random.default_rng(seed)
@@ -60,7 +61,7 @@ class Forest:
         self.n, self.depth, self.inner = n, depth, 2**depth - 1
         self.normal = np.zeros((trees, self.inner, points.shape[1]), np.float32)
         self.offset = np.zeros((trees, self.inner), np.float32)
-        self.orders, self.bounds = [], []
+        self.members = None
         for t in range(trees):
             order, bounds = np.arange(n), np.array([0, n])
             for level in range(depth):
@@ -78,62 +79,76 @@ class Forest:
                 self.normal[t, nodes - 1 : 2 * nodes - 1] = w
                 self.offset[t, nodes - 1 : 2 * nodes - 1] = (at[np.clip(middle - 1, 0, n - 1)] + at[np.clip(middle, 0, n - 1)]) / 2
                 bounds = np.sort(np.concatenate([bounds, middle]))
-            self.orders.append(order)
-            self.bounds.append(bounds.tolist())
-
-    def leaf(self, tree: int, leaf: int) -> np.ndarray:
-        return self.orders[tree][self.bounds[tree][leaf] : self.bounds[tree][leaf + 1]]
+            sizes = np.diff(bounds)
+            if self.members is None:
+                self.members = np.full((trees, 2**depth, sizes.max()), n, np.int32)
+            self.members[t, np.repeat(np.arange(2**depth), sizes), np.arange(n) - np.repeat(bounds[:-1], sizes)] = order
+        w = self.normal
+        self.spread = np.sqrt(np.einsum("tij,tij->ti", w[..., :-1], w[..., :-1]) / max(1, w.shape[2] - 1) + w[..., -1] ** 2)
 
-    def filed(self, points: np.ndarray) -> np.ndarray:
-        """The leaf of the first tree that each point falls into."""
+    def filed(self, points: np.ndarray, tree: int = 0) -> np.ndarray:
+        """The leaf of a tree that each point falls into."""
         node, x = np.zeros(len(points), np.int64), points.astype(np.float32)
         for _ in range(self.depth):
-            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normal[0, node]) > self.offset[0, node])
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normal[tree, node]) > self.offset[tree, node])
         return node - self.inner
 
-    def beyond(self, q: np.ndarray) -> np.ndarray:
-        """How far queries lie above each split, in units of what a neighbour at distance 1 would deviate from them along
-        the normal: its share of a random direction in the coordinates, and wholly in the last one."""
-        w = self.normal
-        spread = np.sqrt(np.einsum("tij,tij->ti", w[..., :-1], w[..., :-1]) / max(1, w.shape[2] - 1) + w[..., -1] ** 2)
-        away = (q.astype(np.float32) @ w.reshape(-1, w.shape[2]).T).reshape(len(q), *self.offset.shape)
-        return (away - self.offset) / spread
-
-
-def best_first(beyond: np.ndarray, distance: float) -> Iterator[tuple[int, int, float]]:
-    """(tree, leaf, probability) of leaves, best first, from one queue for all trees. The probability is that of a
-    neighbour at the distance, which deviates normally along each normal."""
-    inner, erf, push, pop = beyond.shape[1], math.erf, heapq.heappush, heapq.heappop
-    z = (beyond * (0.5**0.5 / distance)).tolist()
-    heap = [(-1.0, t, 0) for t in range(len(z))]
-    while heap:
-        p, t, node = pop(heap)
-        own = z[t]
-        while node < inner:
-            right = 0.5 + 0.5 * erf(own[node])
-            node = 2 * node + 1
-            if right > 0.5:
-                push(heap, (p * (1 - right), t, node))
-                p, node = p * right, node + 1
-            else:
-                push(heap, (p * right, t, node + 1))
-                p *= 1 - right
-            if p > heap[0][0]:
-                push(heap, (p, t, node))
-                break
-        else:
-            yield t, node - inner, -p
-
-
-def candidates(forest: Forest, beyond: np.ndarray, distance: float, k: int, need: float, votes: int) -> np.ndarray:
-    """Positions of the points with enough votes of the leaves that come off the queue."""
-    count, held, least = np.zeros(forest.n, np.uint8), 0.0, min(votes, len(beyond))
-    for t, leaf, p in best_first(beyond, distance):
-        count[forest.leaf(t, leaf)] += 1
-        held += p
-        if held >= need and np.count_nonzero(count >= least) >= min(k, forest.n):
-            break
-    return np.flatnonzero(count >= least)
+    def queue(self, q: np.ndarray, distance: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, tree, leaf, probability) of the leaves taken for each of some queries, best first.
+
+        One priority queue holds nodes of all trees and of all these queries. It is kept by ranges of probability, each
+        down to half of the one before: all nodes of the best range are opened at once, until only leaves are left of
+        it, and these are taken in order. A query ends when its leaves' probabilities sum up to ``need``.
+
+        The probability is that of a neighbour at the query's distance, which deviates normally from the query along each
+        normal: by its share of a random direction in the coordinates, and wholly in the last one.
+        """
+        trees, q = len(self.offset), q.astype(np.float32)
+        row, tree = np.repeat(np.arange(len(q)), trees), np.tile(np.arange(trees), len(q))
+        node, p = np.zeros(len(row), np.int64), np.ones(len(row))
+        none = (row[:0], tree[:0], node[:0], p[:0])
+        held, least, out = np.zeros(len(q)), 1.0, [none]
+        while len(row):
+            least = least / 2 if least > 1e-9 else 0.0
+            now = p >= least
+            later, leaves = [(row[~now], tree[~now], node[~now], p[~now])], [none]
+            row, tree, node, p = row[now], tree[now], node[now], p[now]
+            while len(row):
+                end = node >= self.inner
+                leaves.append((row[end], tree[end], node[end] - self.inner, p[end]))
+                row, tree, node, p = row[~end], tree[~end], node[~end], p[~end]
+                w = self.normal[tree, node]
+                z = (np.einsum("ij,ij->i", q[row], w) - self.offset[tree, node]) / (self.spread[tree, node] * distance[row])
+                right = 1 / (1 + np.exp(-np.clip(1.5976 * z + 0.07056 * z**3, -80, 80)))  # the normal distribution, to 2e-4
+                row, tree = np.tile(row, 2), np.tile(tree, 2)
+                node, p = np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([p * (1 - right), p * right])
+                now = p >= least
+                later.append((row[~now], tree[~now], node[~now], p[~now]))
+                row, tree, node, p = row[now], tree[now], node[now], p[now]
+            row, tree, node, p = (np.concatenate(x) for x in zip(*leaves, strict=True))
+            order = np.lexsort((node, tree, -p, row))
+            row, tree, node, p = row[order], tree[order], node[order], p[order]
+            sums = np.cumsum(p) - p  # of the leaves before, in this range
+            sums -= sums[np.searchsorted(row, row)] if len(row) else 0.0
+            take = held[row] + sums < need
+            out.append((row[take], tree[take], node[take], p[take]))
+            np.add.at(held, row[take], p[take])
+            row, tree, node, p = (np.concatenate(x) for x in zip(*later, strict=True))
+            open_ = held[row] < need
+            row, tree, node, p = row[open_], tree[open_], node[open_], p[open_]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def candidates(self, q: np.ndarray, distance: np.ndarray, k: int, need: float, votes: int) -> list[np.ndarray]:
+        """For each query the positions of the points with enough votes of the leaves that come off the queue."""
+        row, tree, leaf, _ = self.queue(q, distance, need)
+        size = self.n + 1  # the last one for the gaps of leaves
+        count = np.bincount(((row * size)[:, None] + self.members[tree, leaf]).ravel(), minlength=len(q) * size).reshape(len(q), size)[:, : self.n]
+        out = [np.flatnonzero(c) for c in count >= min(votes, len(self.offset))]
+        few = [i for i, x in enumerate(out) if len(x) < min(k, self.n)]
+        if few and need <= len(self.offset):  # on along the queue, if need be to its end
+            for i, x in zip(few, self.candidates(q[few], distance[few], k, 2 * need, votes), strict=True):
+                out[i] = x
+        return out
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -163,13 +178,19 @@ def distance(q: np.ndarray, low: float, longest: float) -> float:
 def search(q: np.ndarray, low: np.ndarray, v: np.ndarray, longest: float, k: int, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (its position, positions of the best k + 1 candidates of ``v``, scores), given its bound so far."""
     forest = Forest(placed(v, longest), trees, leaf, seed)
-    for block in range(0, len(q), 32):
-        for n, beyond in enumerate(forest.beyond(aimed(q[block : block + 32])), block):
-            first = np.unique(np.concatenate([forest.leaf(t, next(best_first(beyond[t : t + 1], 1.0))[1]) for t in range(min(PROBES, trees))]))
-            s = exact(q[n], v[first])
-            bound = max(low[n], np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf)
-            at = candidates(forest, beyond, distance(q[n], bound, longest), k, need, votes)
-            at = np.union1d(at, first)
+    to = aimed(q)
+    own = np.stack([forest.filed(to, t) for t in range(min(PROBES, trees))], axis=1)
+    for o in range(0, len(q), BLOCK):
+        rows = range(o, min(o + BLOCK, len(q)))
+        first, bound = [], []
+        for n in rows:
+            at = np.unique(forest.members[np.arange(own.shape[1]), own[n]])
+            first.append(at[at < forest.n])
+            s = exact(q[n], v[first[-1]])
+            bound.append(max(low[n], np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf))
+        far = np.array([distance(q[n], x, longest) for n, x in zip(rows, bound, strict=True)])
+        for n, one, at in zip(rows, first, forest.candidates(to[o : o + BLOCK], far, k, need, votes), strict=True):
+            at = np.union1d(at, one)
             s = exact(q[n], v[at])
             if len(at) > k + 1:  # the rest can't be among this query's k, wherever else it looks
                 keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
@@ -178,7 +199,7 @@ def search(q: np.ndarray, low: np.ndarray, v: np.ndarray, longest: float, k: int
             yield n, at[keep], s[keep]
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, mass: float = MASS, tile: int = TILE, max_sample: int = MAX_SAMPLE, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, mass: float = MASS, tile: int | None = None, max_sample: int = MAX_SAMPLE, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` the ``k`` nearest other rows found."""
     spark = vectors.sparkSession
     v = F.col("v")
@@ -194,6 +215,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if dims is None:
         return spark.createDataFrame([], schema)
     width, total = dims["n"], dims["count"]
+    tile = tile or max(1024, TILE // width)
     classes = classes.filter(F.size("v") == width)
     queries = d.filter(F.col("vec_id") % every == 0).filter(F.size("v") == width).select(F.col("vec_id").alias("query_id"), "v")
 
@@ -202,7 +224,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sample = np.array([r["v"] for r in classes.filter(part).orderBy("cls").select("v").collect()]).reshape(-1, width)
     # as many tiles as the table needs, if the sample has some vectors for each
     router = Forest(placed(sample, longest), 1, max(16, math.ceil(len(sample) / max(1, total / tile))), seed)
-    router.orders = router.bounds = []
+    router.members = None
     held = spark.sparkContext.broadcast(cloudpickle.dumps(router))  # by value
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,17 +239,19 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             for b in batches:
                 if not len(b):
                     continue
-                x, rows = np.stack(b["v"].to_numpy()), []
-                for q, w, beyond, low in zip(b["query_id"], x, own.beyond(aimed(x)), b["bound"], strict=True):
-                    sum_ = 0.0
-                    for turn, (_, at, p) in enumerate(best_first(beyond, distance(w, low, longest) if further else 1.0)):
-                        if turn or not further:
-                            rows.append((q, at, w, low))
-                        sum_ += p
-                        if not further or (sum_ >= mass and np.isfinite(low)):
-                            break
-                    # the first leaf of the queue is the query's own at any distance
-                yield pd.DataFrame(rows, columns=["query_id", "tile", "v", "bound"])
+                x = np.stack(b["v"].to_numpy())
+                to, low = aimed(x), b["bound"].to_numpy()
+                first = own.filed(to)
+                if not further:
+                    yield b.assign(tile=first)[["query_id", "tile", "v", "bound"]]
+                    continue
+                far = np.array([distance(*r, longest) for r in zip(x, low, strict=True)])
+                for some, until in ((np.isfinite(low), mass), (~np.isfinite(low), 2.0)):  # without a bound all tiles
+                    some = np.flatnonzero(some)
+                    row, _, at, _ = own.queue(to[some], far[some], until)
+                    row = some[row]
+                    row, at = row[at != first[row]], at[at != first[row]]
+                    yield b.iloc[row].assign(tile=at)[["query_id", "tile", "v", "bound"]]
 
         return run
 

@@ -514,16 +514,20 @@ def test_queue_is_best_first_and_ends_early():
     v = rng.normal(size=(600, 16))
     v /= np.linalg.norm(v, axis=1)[:, None]
     forest = neighbors.Forest(neighbors.placed(v, 1.0), 8, 10, 3)
-    beyond = forest.beyond(neighbors.aimed(v[:1]))[0]
-    came = list(neighbors.best_first(beyond, 0.8))
-    p = [x[2] for x in came]
-    assert p == sorted(p, reverse=True) and abs(sum(p) - 8) < 1e-6 and len({x[:2] for x in came}) == len(came) == 8 * 2**forest.depth
+    q, far = neighbors.aimed(v[:3]), np.array([0.8, 0.5, 1.2])
+    row, tree, leaf, p = forest.queue(q, far, 99.0)
+    for i in range(3):
+        own = row == i
+        assert (np.diff(p[own]) <= 0).all() and abs(p[own].sum() - 8) < 1e-6
+        assert len(set(zip(tree[own], leaf[own], strict=True))) == own.sum() == 8 * 2**forest.depth
+        alone = forest.queue(q[i : i + 1], far[i : i + 1], 3.0)
+        n = np.searchsorted(np.cumsum(p[own]), 3.0) + 1
+        assert alone[1].tolist() == tree[own][:n].tolist() and alone[2].tolist() == leaf[own][:n].tolist()
     for t in range(8):  # each tree holds every point once, in leaves of bounded size
-        leaves = [forest.leaf(t, x) for x in range(2**forest.depth)]
-        assert sorted(np.concatenate(leaves)) == list(range(600)) and max(map(len, leaves)) <= 10
-    few, many = (len(neighbors.candidates(forest, beyond, 0.8, 20, need, 1)) for need in (1.0, 4.0))
+        assert sorted(x for x in forest.members[t].ravel() if x < 600) == list(range(600)) and forest.members.shape[2] <= 10
+    few, many = (len(forest.candidates(q[:1], far[:1], 20, need, 1)[0]) for need in (1.0, 4.0))
     assert 20 <= few < many < 600
-    assert len(neighbors.candidates(forest, beyond, 0.8, 20, 99.0, 1)) == 600  # the whole queue: everything
+    assert len(forest.candidates(q[:1], far[:1], 600, 1.0, 2)[0]) == 600  # the whole queue: everything
 
 
 def test_recall_and_share_on_the_given_vectors(spark, monkeypatch):
@@ -537,10 +541,11 @@ def test_recall_and_share_on_the_given_vectors(spark, monkeypatch):
     assert sum(r["vec_id"] in true[r["query_id"]] for r in got) >= 0.9 * 20 * len(true)
     scored = []
     plain = neighbors.exact
+    monkeypatch.setattr(neighbors, "BLOCK", 1)
     monkeypatch.setattr(neighbors, "exact", lambda q, x: scored.append(len(x)) or plain(q, x))
     q = v[::20]
     list(neighbors.search(q, np.full(len(q), -np.inf), v, float(np.linalg.norm(v, axis=1).max()), 20))
-    share = sum(scored[1::2]) / len(q) / len(v)  # every second call: the candidates, with the probed ones among them
+    share = sum(scored[1::2]) / len(q) / len(v)  # every second call: the candidates, the probed ones among them
     print("share scored", share)
     assert share < 0.3
 
