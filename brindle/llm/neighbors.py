@@ -11,10 +11,10 @@
    neighbour at the query's bound (its k-th best score so far) lies in a node, from how far the query lies beyond or
    within the splits on the way. Leaves come off the queue and vote for their vectors. The search ends along the queue:
    once the leaves taken are expected to hold such a neighbour ``NEED`` times. Vectors with ``VOTES`` votes are the
-   candidates, scored exactly, in double precision, summed in order of the coordinates. If they are fewer than k, the
+   candidates, scored exactly, in double precision. If they are fewer than k, the
    queue goes on, to its end if need be; then all vectors have been scored.
-5. The query's own tile gives a first bound. The router's queue then yields further tiles in the same order, until
-   they hold a neighbour at the bound with probability ``MASS``.
+5. A few trees over the query's own tile give a first bound. The router's queue then yields tiles in the same order,
+   until they hold a neighbour at the bound with probability ``MASS``.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, neither as queries
 nor as candidates, nor do those of another length than most; null ids take no part; of different vectors under one id
@@ -41,7 +41,7 @@ ships(__name__)
 K = 20
 EVERY = 20
 TREES, LEAF, VOTES, NEED = 64, 24, 3, 17.0
-#: Trees whose own leaf is scored to get a bound in a part.
+#: Trees whose leaf of the query is scored to get a first bound.
 PROBES = 8
 MASS = 0.98
 #: Numbers held by the vectors of a tile, more or less; a part has at most about twice as many. Queries that a task
@@ -56,7 +56,7 @@ class Forest:
     by tree and leaf."""
 
     def __init__(self, points: np.ndarray, trees: int, leaf: int, seed: int) -> None:
-        n, rng = len(points), np.random.default_rng(seed)
+        points, n, rng = points.astype(np.float32), len(points), np.random.default_rng(seed)
         depth = max(0, math.ceil(math.log2(max(1.0, n / leaf))))
         self.n, self.depth, self.inner = n, depth, 2**depth - 1
         self.normal = np.zeros((trees, self.inner, points.shape[1]), np.float32)
@@ -73,7 +73,7 @@ class Forest:
                 w /= np.linalg.norm(w, axis=1)[:, None]
                 node = np.repeat(np.arange(nodes), size)
                 at = np.einsum("ij,ij->i", points[order], w[node])
-                by = np.lexsort((at, node))
+                by = np.argsort(8.0 * node + at)  # nodes lie in a row, and |at| <= 2
                 order, at = order[by], at[by]
                 middle = bounds[:-1] + (size + 1) // 2
                 self.normal[t, nodes - 1 : 2 * nodes - 1] = w
@@ -97,19 +97,20 @@ class Forest:
         """(query, tree, leaf, probability) of the leaves taken for each of some queries, best first.
 
         One priority queue holds nodes of all trees and of all these queries. It is kept by ranges of probability, each
-        down to half of the one before: all nodes of the best range are opened at once, until only leaves are left of
+        down to 0.7 of the one before: all nodes of the best range are opened at once, until only leaves are left of
         it, and these are taken in order. A query ends when its leaves' probabilities sum up to ``need``.
 
         The probability is that of a neighbour at the query's distance, which deviates normally from the query along each
         normal: by its share of a random direction in the coordinates, and wholly in the last one.
         """
-        trees, q = len(self.offset), q.astype(np.float32)
+        trees = len(self.offset)
+        above = (q.astype(np.float32) @ self.normal.reshape(trees * self.inner, q.shape[1]).T - self.offset.ravel()) / self.spread.ravel()
         row, tree = np.repeat(np.arange(len(q)), trees), np.tile(np.arange(trees), len(q))
         node, p = np.zeros(len(row), np.int64), np.ones(len(row))
         none = (row[:0], tree[:0], node[:0], p[:0])
         held, least, out = np.zeros(len(q)), 1.0, [none]
         while len(row):
-            least = least / 2 if least > 1e-9 else 0.0
+            least = least * 0.7 if least > 1e-9 else 0.0
             now = p >= least
             later, leaves = [(row[~now], tree[~now], node[~now], p[~now])], [none]
             row, tree, node, p = row[now], tree[now], node[now], p[now]
@@ -117,8 +118,7 @@ class Forest:
                 end = node >= self.inner
                 leaves.append((row[end], tree[end], node[end] - self.inner, p[end]))
                 row, tree, node, p = row[~end], tree[~end], node[~end], p[~end]
-                w = self.normal[tree, node]
-                z = (np.einsum("ij,ij->i", q[row], w) - self.offset[tree, node]) / (self.spread[tree, node] * distance[row])
+                z = above[row, tree * self.inner + node] / distance[row]
                 right = 1 / (1 + np.exp(-np.clip(1.5976 * z + 0.07056 * z**3, -80, 80)))  # the normal distribution, to 2e-4
                 row, tree = np.tile(row, 2), np.tile(tree, 2)
                 node, p = np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([p * (1 - right), p * right])
@@ -152,11 +152,8 @@ class Forest:
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of q with all rows of v, summed in order of the coordinates, so that equal vectors score equally."""
-    out = np.zeros(len(v))
-    for d in range(len(q)):
-        out += q[d] * v[:, d]
-    return out
+    """Inner products of q with all rows of v, in double precision, each row by itself."""
+    return np.einsum("ij,j->i", v, q)
 
 
 def placed(x: np.ndarray, longest: float) -> np.ndarray:
@@ -175,28 +172,30 @@ def distance(q: np.ndarray, low: float, longest: float) -> float:
     return math.sqrt(min(4.0, max(1e-6, 2 - 2 * low / (longest * np.linalg.norm(q))))) if np.isfinite(low) else 2.0
 
 
+def best(q: np.ndarray, v: np.ndarray, at: np.ndarray, k: int, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of some positions those with the k + 1 best scores, ties included, from ``low`` up; and the scores."""
+    s = exact(q, v[at])
+    if len(at) > k + 1:  # the rest can't be among this query's k, wherever else it looks
+        low = max(low, np.partition(s, len(s) - k - 1)[len(s) - k - 1])
+    return at[s >= low], s[s >= low]
+
+
+def probe(q: np.ndarray, v: np.ndarray, longest: float, k: int, leaf: int = LEAF, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (its position, positions of the best candidates in its own leaves of a few trees, scores)."""
+    forest = Forest(placed(v, longest), PROBES, leaf, seed)
+    own = np.stack([forest.filed(aimed(q), t) for t in range(PROBES)], axis=1)
+    for n, leaves in enumerate(own):
+        at = np.unique(forest.members[np.arange(PROBES), leaves])
+        yield n, *best(q[n], v, at[at < forest.n], k, -np.inf)
+
+
 def search(q: np.ndarray, low: np.ndarray, v: np.ndarray, longest: float, k: int, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its position, positions of the best k + 1 candidates of ``v``, scores), given its bound so far."""
+    """For each query (its position, positions of the best candidates of ``v``, scores), given its bound so far."""
     forest = Forest(placed(v, longest), trees, leaf, seed)
-    to = aimed(q)
-    own = np.stack([forest.filed(to, t) for t in range(min(PROBES, trees))], axis=1)
+    to, far = aimed(q), np.array([distance(*x, longest) for x in zip(q, low, strict=True)])
     for o in range(0, len(q), BLOCK):
-        rows = range(o, min(o + BLOCK, len(q)))
-        first, bound = [], []
-        for n in rows:
-            at = np.unique(forest.members[np.arange(own.shape[1]), own[n]])
-            first.append(at[at < forest.n])
-            s = exact(q[n], v[first[-1]])
-            bound.append(max(low[n], np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf))
-        far = np.array([distance(q[n], x, longest) for n, x in zip(rows, bound, strict=True)])
-        for n, one, at in zip(rows, first, forest.candidates(to[o : o + BLOCK], far, k, need, votes), strict=True):
-            at = np.union1d(at, one)
-            s = exact(q[n], v[at])
-            if len(at) > k + 1:  # the rest can't be among this query's k, wherever else it looks
-                keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                at, s = at[keep], s[keep]
-            keep = s >= low[n]
-            yield n, at[keep], s[keep]
+        for n, at in enumerate(forest.candidates(to[o : o + BLOCK], far[o : o + BLOCK], k, need, votes), o):
+            yield n, *best(q[n], v, at, k, low[n])
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, need: float = NEED, votes: int = VOTES, mass: float = MASS, tile: int | None = None, max_sample: int = MAX_SAMPLE, seed: int = SEED) -> DataFrame:
@@ -241,35 +240,35 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     continue
                 x = np.stack(b["v"].to_numpy())
                 to, low = aimed(x), b["bound"].to_numpy()
-                first = own.filed(to)
                 if not further:
-                    yield b.assign(tile=first)[["query_id", "tile", "v", "bound"]]
+                    yield b.assign(tile=own.filed(to))[["query_id", "tile", "v", "bound"]]
                     continue
                 far = np.array([distance(*r, longest) for r in zip(x, low, strict=True)])
                 for some, until in ((np.isfinite(low), mass), (~np.isfinite(low), 2.0)):  # without a bound all tiles
                     some = np.flatnonzero(some)
                     row, _, at, _ = own.queue(to[some], far[some], until)
-                    row = some[row]
-                    row, at = row[at != first[row]], at[at != first[row]]
-                    yield b.iloc[row].assign(tile=at)[["query_id", "tile", "v", "bound"]]
+                    yield b.iloc[some[row]].assign(tile=at)[["query_id", "tile", "v", "bound"]]
 
         return run
 
-    def score(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "cls": [], "score": []})]
-        if len(asked) and len(own):
-            own = own.sort_values("cls", kind="stable")
-            cls, vs = own["cls"].to_numpy(), np.stack(own["v"].to_numpy())
-            names = asked["query_id"].to_numpy()
-            for n, at, s in search(np.stack(asked["v"].to_numpy()), asked["bound"].to_numpy(), vs, longest, k, trees, leaf, need, votes, seed):
-                out.append(pd.DataFrame({"query_id": names[n], "cls": cls[at], "score": s}))
-        return pd.concat(out).astype({"query_id": "int64", "cls": "int64", "score": "float64"})
+    def score(further: bool):
+        def run(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": [], "cls": [], "score": []})]
+            if len(asked) and len(own):
+                own = own.sort_values("cls", kind="stable")
+                cls, vs, names = own["cls"].to_numpy(), np.stack(own["v"].to_numpy()), asked["query_id"].to_numpy()
+                q, low = np.stack(asked["v"].to_numpy()), asked["bound"].to_numpy()
+                for n, at, s in search(q, low, vs, longest, k, trees, leaf, need, votes, seed) if further else probe(q, vs, longest, k, leaf, seed):
+                    out.append(pd.DataFrame({"query_id": names[n], "cls": cls[at], "score": s}))
+            return pd.concat(out).astype({"query_id": "int64", "cls": "int64", "score": "float64"})
+
+        return run
 
     filed = materialize(classes.select("cls", "v").mapInPandas(file, "cls long, v array<double>, tile long"))
     sizes = filed.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(2.0 * tile)).cast("int").alias("parts"))
     members = classes.select("cls", "ids")
 
-    def found(asked: DataFrame) -> DataFrame:
+    def found(asked: DataFrame, further: bool) -> DataFrame:
         asked = materialize(asked)
         per = asked.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(float(ASKED))).cast("int").alias("chunks"))
         cells = small(materialize(sizes.join(per, "tile")))
@@ -278,7 +277,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         h = filed.join(cells, "tile").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(seed)), F.col("parts")).cast("int")).withColumn("chunk", upto("chunks"))
         key = ["tile", "part", "chunk"]
         made = a.select(*key, "query_id", "v", "bound").groupBy(*key).cogroup(h.select(*key, "cls", "v").groupBy(*key))
-        return materialize(made.applyInPandas(score, "query_id long, cls long, score double"))
+        return materialize(made.applyInPandas(score(further), "query_id long, cls long, score double"))
 
     def ranked(near: DataFrame) -> DataFrame:
         each = near.join(members, "cls").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
@@ -286,10 +285,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     asked, none = "query_id long, tile long, v array<double>, bound double", F.lit(float("-inf"))
-    first = found(queries.withColumn("bound", none).mapInPandas(ask(False), asked))
+    first = found(queries.withColumn("bound", none).mapInPandas(ask(False), asked), False)
     bounds = ranked(first).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
     again = queries.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", none).alias("bound"))
-    near = first.unionByName(found(again.mapInPandas(ask(True), asked)))
+    near = found(again.mapInPandas(ask(True), asked), True)
     return ranked(near).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

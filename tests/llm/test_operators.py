@@ -541,11 +541,12 @@ def test_recall_and_share_on_the_given_vectors(spark, monkeypatch):
     assert sum(r["vec_id"] in true[r["query_id"]] for r in got) >= 0.9 * 20 * len(true)
     scored = []
     plain = neighbors.exact
-    monkeypatch.setattr(neighbors, "BLOCK", 1)
     monkeypatch.setattr(neighbors, "exact", lambda q, x: scored.append(len(x)) or plain(q, x))
-    q = v[::20]
-    list(neighbors.search(q, np.full(len(q), -np.inf), v, float(np.linalg.norm(v, axis=1).max()), 20))
-    share = sum(scored[1::2]) / len(q) / len(v)  # every second call: the candidates, the probed ones among them
+    q, longest = v[::20], float(np.linalg.norm(v, axis=1).max())
+    low = np.array([np.sort(s)[-20] for _, _, s in neighbors.probe(q, v, longest, 20)])
+    scored.clear()
+    list(neighbors.search(q, low, v, longest, 20))
+    share = sum(scored) / len(q) / len(v)
     print("share scored", share)
     assert share < 0.3
 
