@@ -11,7 +11,7 @@
    neighbour at the query's bound (its k-th best score so far) lies in a node, from how far the query lies beyond or
    within the splits on the way. Leaves come off the queue and vote for their vectors. The search ends along the queue:
    once the leaves taken are expected to hold such a neighbour ``NEED`` times. Vectors with ``VOTES`` votes are the
-   candidates, scored exactly, in double precision. If they are fewer than k, the
+   candidates, scored exactly, in double precision, summed in order of the coordinates. If they are fewer than k, the
    queue goes on, to its end if need be; then all vectors have been scored.
 5. A few trees over the query's own tile give a first bound. The router's queue then yields tiles in the same order,
    until they hold a neighbour at the bound with probability ``MASS``.
@@ -152,8 +152,11 @@ class Forest:
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of q with all rows of v, in double precision, each row by itself."""
-    return np.einsum("ij,j->i", v, q)
+    """Inner products of q with all rows of v, summed in order of the coordinates, so that a pair always scores equally."""
+    out = np.zeros(len(v))
+    for d in range(len(q)):
+        out += q[d] * v[:, d]
+    return out
 
 
 def placed(x: np.ndarray, longest: float) -> np.ndarray:
