@@ -3,12 +3,14 @@
 1. Each text becomes its set of five-word shingles (64-bit hashes), a digest of the set, and band keys of universal
    hash minima: 30 of six at similarity 0.85, 36 of five at 0.80. Texts with equal sets form a class; its smallest
    id, with the digest beside it, as rows of one id can differ, stands for it from here on.
-2. Representatives that share a band key are joined to the key's least one; components of this graph (families)
-   hold every pair that shares a key. A pair at the similarity asked for shares none with probability below 1e-6.
-3. Each family is split into chunks of bounded size and each pair of chunks is a task. In it, pairs whose minima
-   agree often enough and that no link joins yet are compared on their full sets; only links that join two
-   parts are returned, at most one for each member.
-4. Components of these links, by large-star and small-star, are the near-duplicate groups.
+2. Candidates are the representatives that share a band key. A pair at the similarity asked for shares none with
+   probability below 1e-6. First each is compared, on full sets, with the least one of each of its keys: that is one
+   pair a member, and links most members of a group of near copies.
+3. Keys whose further members still lie in different components are gone through pair by pair: where the signatures
+   (all minima) of two members from different components agree often enough, the pair is compared on full sets. Large
+   keys are cut into chunks by hash, each pair of chunks being a task. So the cost follows the keys that are shared;
+   a chain of unlike texts is no group.
+4. Components of all links, by large-star and small-star, are the near-duplicate groups.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a text of fewer than five
 words is one shingle; repeated rows (of one id or several) fall in one component; rows of one id with different
@@ -38,6 +40,7 @@ MINIMA = 180
 MISSED = 1e-6
 #: A pair is compared on full sets unless its share of equal minima lies five deviations below the limit.
 SLACK = 5.0
+#: Members of a band key, or partners of a text, that a task takes; shingles of such partners.
 CHUNK_DOCS = 1024
 CHUNK_SHINGLES = 2_000_000
 #: Shingles hashed at a time.
@@ -126,31 +129,77 @@ def _signed(percent: int):
     return run
 
 
-def _links(key: tuple, rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
-    """Links of one pair of chunks: between its sides, or within, if it is a chunk with itself."""
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, digest, text to id, digest, signature."""
     known = WordHashes()
-    rows = rows.sort_values(["id", "digest"], kind="stable").reset_index(drop=True)
-    ids, own = list(zip(rows["id"], rows["digest"], strict=True)), rows["chunk"].to_numpy()
-    sets = [shingles(t, known) for t in rows["text"]]
-    sizes = np.array([len(s) for s in sets])
-    m = minima(sets)
-    part, out = np.arange(len(ids)), []
-    limit = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / m.shape[1])
-    across = key[1] != key[2]
-    for i in range(len(ids) - 1):
-        rest = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
-        if across:
-            rest = rest[own[rest] != own[i]]
-        if not len(rest):
-            continue
-        rest = rest[(m[rest] == m[i]).mean(1) >= limit]
-        for j in rest:
-            if part[j] != part[i]:
-                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    out.append((*ids[i], *ids[j]))
-                    part[part == part[j]] = part[i]
-    return pd.DataFrame(out, columns=["u_id", "u_digest", "v_id", "v_digest"]).astype({"u_id": "int64", "v_id": "int64"})
+    for b in batches:
+        made = []
+        for text in b.column(2):
+            made.append(minima([shingles(text.as_py(), known)])[0].tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "digest", "signature"])
+
+
+def _alike(percent: int):
+    """Pairs, from different components and with signatures that agree, of one pair of chunks of a band key."""
+    share = percent / 100
+    limit = share - SLACK * np.sqrt(share * (1 - share) / MINIMA)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["id", "digest"], kind="stable").reset_index(drop=True)
+        ids, own, part, sizes = list(zip(rows["id"], rows["digest"], strict=True)), rows["chunk"].to_numpy(), rows["part"].to_numpy(), rows["n"].to_numpy()
+        m = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), MINIMA)
+        out = []
+        for i in range(len(rows) - 1):
+            near = (part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
+            if key[1] != key[2]:
+                near &= own[i + 1 :] != own[i]
+            near = np.flatnonzero(near) + i + 1
+            out += [(*ids[i], *ids[j]) for j in near[(m[near] == m[i]).mean(1) >= limit]]
+        return _frame(out)
+
+    return run
+
+
+def _frame(pairs: list) -> pd.DataFrame:
+    return pd.DataFrame(pairs, columns=["u_id", "u_digest", "v_id", "v_digest"]).astype({"u_id": "int64", "v_id": "int64"})
+
+
+PAIRS = "u_id long, u_digest binary, v_id long, v_digest binary"
+
+
+def _confirmed(percent: int):
+    """Links between one text, ``first``, and others, by their full sets."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known, out = WordHashes(), []
+        head = rows[rows["first"]].iloc[0]
+        a = shingles(head["text"], known)
+        rest = rows[~rows["first"]].sort_values(["id", "digest"], kind="stable")
+        for i, digest, text in zip(rest["id"], rest["digest"], rest["text"], strict=True):
+            b = shingles(text, known)
+            both = np.intersect1d(a, b, assume_unique=True).size
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                out.append((head["id"], head["digest"], i, digest))
+        return _frame(out)
+
+    return run
+
+
+def _node(x: str) -> Column:
+    return F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_digest").alias("digest")).alias(x)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among distinct ``pairs`` (u, v, n): the pairs of one u are tasks of bounded size, with u's text in each.
+
+    ``texts`` has rep, text, one row each; n is the size of v's set.
+    """
+    count = pairs.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = pairs.join(count, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"))
+    rest = dealt.join(texts, dealt["v"] == texts["rep"]).select("u", "chunk", F.lit(False).alias("first"), "rep.id", "rep.digest", "text")
+    head = count.join(texts, count["u"] == texts["rep"]).select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("first"), "rep.id", "rep.digest", "text")
+    # of a u with several chunks one may be empty
+    return materialize(rest.unionByName(head).groupBy("u", "chunk").applyInPandas(_confirmed(percent), PAIRS).select(_node("u"), _node("v")))
 
 
 def _text_hash(text_col: str) -> Column:
@@ -170,23 +219,33 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     reps = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("id")).select("digest", F.struct("id", "digest").alias("rep")))
 
     # of several rows with the id and the set of a representative one text is taken: all have the same shingles
-    first = sets.join(reps, "digest").filter("doc_id = rep.id").groupBy("rep").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    first = sets.join(reps, "digest").filter("doc_id = rep.id").groupBy("rep").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     first = materialize(first)
-    keys = first.select("rep", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("band", "first")
-    near = keys.join(shared, "band").filter("rep <> first").select("rep", "first")
-    family = materialize(components(near, "rep", "first"))
-
-    sized = family.join(first.select("rep", "n_shingles", "text_hash"), F.col("node") == F.col("rep"))
-    count = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-    members = sized.join(count.select("component", chunks.alias("chunks")), "component").select("rep", F.col("rep.id").alias("doc_id"), "text_hash", "component", "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    members = texts.join(members, ["doc_id", "text_hash"]).select("rep", "component", "chunk", "chunks", "text").dropDuplicates(["rep"])
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    tasks = members.withColumn("p", F.explode(pairs)).select("rep.id", "rep.digest", "component", "p.i", "p.j", "chunk", "text")
-    links = tasks.groupBy("component", "i", "j").applyInPandas(lambda key, rows: _links(key, rows, percent), "u_id long, u_digest binary, v_id long, v_digest binary")
-    node = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_digest").alias("digest")).alias(x)
-    grouped = components(links.select(node("u"), node("v")))
+    keys = first.select("rep", "n", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("least"), F.max("rep").alias("last"), F.count("*").alias("members")).filter("least.rep <> last").select("band", "least", "members")
+    near = materialize(keys.join(shared, "band"))
+    wanted = near.select("rep").distinct().join(first.select("rep", "text_hash"), "rep").select("rep", F.col("rep.id").alias("doc_id"), "text_hash")
+    held = materialize(texts.join(wanted, ["doc_id", "text_hash"]).groupBy("rep").agg(F.min("text").alias("text")))
+
+    ratio = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = near.filter("rep <> least.rep").select(F.col("least.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("least.n").alias("m")).filter(ratio).select("u", "v", "n").distinct()
+    links = _verified(materialize(pairs), held, percent)
+    parts = components(links).withColumnRenamed("component", "part")
+
+    # keys of three members or more, the least one apart (its pairs are done), with members in different components
+    rest = near.filter("members > 2 AND rep <> least.rep").select("band", "rep", "n", "members")
+    rest = materialize(rest.join(parts, rest["rep"] == parts["node"], "left").select("band", "rep", "n", "members", F.xxhash64(F.coalesce("part", "rep")).alias("part")))
+    mixed = rest.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("band")
+    rest = materialize(rest.join(mixed, "band"))
+    signed_ = held.join(rest.select("rep").distinct(), "rep").select("rep.id", "rep.digest", "text").mapInArrow(_signatures, "id long, digest binary, signature binary")
+    signed_ = signed_.select(F.struct("id", "digest").alias("rep"), "signature")
+    chunks = F.ceil(F.col("members") / CHUNK_DOCS).cast("int")
+    chunked = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(signed_, "rep")
+    sides = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
+    tasks = chunked.withColumn("p", F.explode(sides)).select("band", "p.i", "p.j", "chunk", "rep.id", "rep.digest", "part", "n", "signature")
+    alike = tasks.groupBy("band", "i", "j").applyInPandas(_alike(percent), PAIRS).select(_node("u"), _node("v")).distinct()
+    alike = materialize(alike.join(first.select(F.col("rep").alias("v"), "n"), "v").select("u", "v", "n"))
+    grouped = components(links.unionByName(_verified(alike, held, percent)))
 
     of = reps.join(grouped, reps["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return signed.select("doc_id", "text_hash", "n_shingles", "digest").join(of, "digest", "left")
