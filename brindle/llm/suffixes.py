@@ -10,14 +10,15 @@ and the bytes it covers are removed.
 3. Anchors that still have several different contexts get the contexts' bytes, and their windows (suffixes, cut at
    100 bytes) are sorted deep-shallow: a multikey sort of all suffixes at once, eight bytes a step, to a shallow
    depth; ranges that are still tied and not all equal go to blind tries. Equal suffixes after the first are covered.
-   Anchors with very many different contexts are grouped by window in Spark instead, with partial aggregation.
+   An anchor with very many different contexts is sorted in chunks by hash; what is left of each chunk, the first of
+   each of its suffixes, is merged over the chunks by an aggregation.
 
 Anchors that are frequent in a bounded sample of documents are known to repeat, so their rows are salted: no task
 gets all rows of an anchor. Work and shuffles grow with the input; nothing is capped.
 
-Defined results: null and empty texts have 0 bytes and the hash of no bytes; rows that share an id count as one
-document, and their removed spans apply to each of them; rows without an id neither lose bytes nor make others lose
-any; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have 0 bytes and the hash of no bytes; repeated rows of one id and text count as
+one document, and its removed spans apply to each of them; rows without an id, and rows of one id with different texts,
+which have no order, neither lose bytes nor make others lose any; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ships, table
+from .common import materialize, ships, small, table
 
 ships(__name__)
 
@@ -43,10 +44,12 @@ BUFFER = 1 << 20
 #: Steps of eight bytes of the multikey sort.
 SHALLOW = 3
 SAMPLE_DOCS = 20_000
-#: So many rows of an anchor in the sample make it frequent; a sample of 2 million rows has at most 40,000 such.
+#: So many rows of an anchor in the sample make it frequent.
 FREQUENT = 50
 SALTS = 64
-#: Anchors with more different contexts are grouped by window in Spark.
+#: Frequent anchors are broadcast up to so many; texts have no size limit, so there may be more.
+FREQUENT_ROWS = 100_000
+#: Anchors with more different contexts are sorted in chunks of about so many.
 CROWD = 4096
 
 _R = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd bases of the two polynomial hashes
@@ -242,15 +245,17 @@ def deep_shallow(text: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans (doc_id, start, end) of windows that repeat an earlier one, among whole anchor groups of contexts."""
+    """Spans (doc_id, start, end) of windows that repeat an earlier one, among groups of contexts with one anchor; of
+    groups that are chunks also all other windows, with their hash as ``window``."""
     data = rows["data"].tolist()
     n = np.array([len(d) - LENGTH + 1 for d in data])
     b = np.frombuffer(b"".join(data), np.uint8)
     first = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
     row = np.repeat(np.arange(len(n)), n)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    _, group = np.unique(rows["h"].to_numpy(), return_inverse=True)
-    act, label = deep_shallow(np.lib.stride_tricks.sliding_window_view(b, LENGTH)[first[row] + within], group[row])
+    _, group = np.unique(rows["g"].to_numpy(), return_inverse=True)
+    windows = np.lib.stride_tricks.sliding_window_view(b, LENGTH)
+    act, label = deep_shallow(windows[first[row] + within], group[row])
     doc, start = rows["doc_id"].to_numpy()[row[act]], rows["start"].to_numpy()[row[act]] + within[act]
     order = np.lexsort((start, doc, label))
     doc, start, label = doc[order], start[order], label[order]
@@ -258,7 +263,15 @@ def repeated(rows: pd.DataFrame) -> pd.DataFrame:
     head[1:] = label[1:] != label[:-1]
     of = np.flatnonzero(head)[_runs(head)] if len(doc) else np.empty(0, np.int64)
     later = (doc != doc[of]) | (start != start[of])
-    return _spans(doc[later], start[later])
+    spans = _spans(doc[later], start[later]).assign(window=None)
+    left = (rows["n"].to_numpy() > CROWD)[row]
+    left[act[order[later]]] = False
+    left = np.flatnonzero(left)
+    if not len(left):
+        return spans
+    start = rows["start"].to_numpy()[row[left]] + within[left]
+    hashes = [hashlib.blake2b(windows[i].tobytes(), digest_size=16).digest() for i in first[row[left]] + within[left]]
+    return pd.concat([spans, pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row[left]], "start": start, "end": start + LENGTH, "window": hashes})])
 
 
 def _spans(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -271,11 +284,11 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 
 def _sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches sorted by h; a group that goes on in the next batch waits for it. Groups hold at most CROWD contexts."""
+    """Batches sorted by g; a group that goes on in the next batch waits for it. Groups hold about CROWD contexts at most."""
     left: pd.DataFrame | None = None
     for b in batches:
         b = b if left is None else pd.concat([left, b], ignore_index=True)
-        cut = int(np.searchsorted(b["h"].to_numpy(), b["h"].iloc[-1])) if len(b) else 0
+        cut = int(np.searchsorted(b["g"].to_numpy(), b["g"].iloc[-1])) if len(b) else 0
         left = b.iloc[cut:]
         if cut:
             yield repeated(b.iloc[:cut])
@@ -309,7 +322,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     part = int(1e6 * min(1.0, SAMPLE_DOCS / max(1, docs.count())))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < part)
     frequent = materialize(scan(sample).groupBy("h").count().filter(F.col("count") >= FREQUENT).select("h", F.lit(True).alias("frequent")))
-    found = scan(docs).join(F.broadcast(frequent), "h", "left")
+    found = scan(docs).join(small(frequent, FREQUENT_ROWS), "h", "left")
     found = found.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     found = found.withColumn("m", F.count("*").over(Window.partitionBy("h", "salt"))).filter("frequent OR m > 1")
     twice = materialize(found.select("doc_id", "h", "c", "at"))
@@ -322,20 +335,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = kinds.join(several, "h").select("first.doc_id", F.struct("h", "first.at", "n").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     held = docs.join(wanted, "doc_id").select("data", "doc_id", "wanted").mapInArrow(_cut, "h long, doc_id long, start long, n long, data binary")
     held = materialize(held)
-    few = held.filter(F.col("n") <= CROWD).repartition("h").sortWithinPartitions("h").mapInPandas(_sorted_groups, "doc_id long, start long, end long")
-    each = held.filter(F.col("n") > CROWD).withColumn("i", F.explode(F.sequence(F.lit(0), F.length("data") - LENGTH)))
-    each = each.select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.expr(f"substring(data, i + 1, {LENGTH})").alias("window"))
-    each = materialize(each.select("doc_id", "start", F.sha2("window", 256).alias("window")))
-    least = each.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last")
-    many = each.join(least, "window").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start"))).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    return whole.unionByName(few).unionByName(many)
+    chunk = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("n") / CROWD))
+    dealt = held.withColumn("g", F.when(F.col("n") > CROWD, F.xxhash64("h", chunk)).otherwise(F.col("h")))
+    ordered = dealt.repartition("g").sortWithinPartitions("g").mapInPandas(_sorted_groups, "doc_id long, start long, end long, window binary")
+    ordered = materialize(ordered)
+    left = ordered.filter("window IS NOT NULL")
+    least = left.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last")
+    again = left.join(least, "window").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start"))).select("doc_id", "start", "end")
+    return whole.unionByName(ordered.filter("window IS NULL").drop("window")).unionByName(again)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept holds the bytes left over."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
-    spans = materialize(repeated_spans(d.filter("doc_id IS NOT NULL")))
+    texts = d.select("doc_id", F.xxhash64("data").alias("t")).groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    several = small(materialize(texts.filter("a <> b").select("doc_id")))
+    spans = materialize(repeated_spans(d.filter("doc_id IS NOT NULL").join(several, "doc_id", "left_anti")))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return d.join(spans, "doc_id", "left").select("doc_id", "data", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
