@@ -6,10 +6,10 @@
 2. Candidates are the representatives that share a band key. A pair at the similarity asked for shares none with
    probability below 1e-6. First each is compared, on full sets, with the least one of each of its keys: that is one
    pair a member, and links most members of a group of near copies.
-3. Keys whose further members still lie in different components are gone through pair by pair: where the signatures
-   (all minima) of two members from different components agree often enough, the pair is compared on full sets. Large
-   keys are cut into chunks by hash, each pair of chunks being a task. So the cost follows the keys that are shared;
-   a chain of unlike texts is no group.
+3. Keys whose further members still lie in different components are gone through by task: where the signatures (all
+   minima) of two members that no link joins yet agree often enough, the pair is compared on full sets. Only links that
+   join two parts are returned, at most one for each member. Large keys are cut into chunks by hash, each pair of
+   chunks being a task. So the cost follows the keys that are shared; a chain of unlike texts is no group.
 4. Components of all links, by large-star and small-star, are the near-duplicate groups.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a text of fewer than five
@@ -130,31 +130,38 @@ def _signed(percent: int):
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, digest, text to id, digest, signature."""
+    """id, digest, text to these and the signature."""
     known = WordHashes()
     for b in batches:
-        made = []
-        for text in b.column(2):
-            made.append(minima([shingles(text.as_py(), known)])[0].tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "digest", "signature"])
+        made = [minima([shingles(text.as_py(), known)])[0].tobytes() for text in b.column(2)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=["id", "digest", "text", "signature"])
 
 
-def _alike(percent: int):
-    """Pairs, from different components and with signatures that agree, of one pair of chunks of a band key."""
+def _joining(percent: int):
+    """Links, of one pair of chunks of a band key, that join different components."""
     share = percent / 100
     limit = share - SLACK * np.sqrt(share * (1 - share) / MINIMA)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "digest"], kind="stable").reset_index(drop=True)
-        ids, own, part, sizes = list(zip(rows["id"], rows["digest"], strict=True)), rows["chunk"].to_numpy(), rows["part"].to_numpy(), rows["n"].to_numpy()
+        ids, own, sizes = list(zip(rows["id"], rows["digest"], strict=True)), rows["chunk"].to_numpy(), rows["n"].to_numpy()
+        part, texts, known, sets, out = rows["part"].to_numpy().copy(), rows["text"], WordHashes(), {}, []
         m = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), MINIMA)
-        out = []
         for i in range(len(rows) - 1):
             near = (part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
             if key[1] != key[2]:
                 near &= own[i + 1 :] != own[i]
             near = np.flatnonzero(near) + i + 1
-            out += [(*ids[i], *ids[j]) for j in near[(m[near] == m[i]).mean(1) >= limit]]
+            for j in near[(m[near] == m[i]).mean(1) >= limit]:
+                if part[j] != part[i]:
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingles(texts[k], known)
+                    both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                        out.append((*ids[i], *ids[j]))
+                        part[part == part[j]] = part[i]
+            sets.pop(i, None)
         return _frame(out)
 
     return run
@@ -237,15 +244,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     rest = materialize(rest.join(parts, rest["rep"] == parts["node"], "left").select("band", "rep", "n", "members", F.xxhash64(F.coalesce("part", "rep")).alias("part")))
     mixed = rest.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("band")
     rest = materialize(rest.join(mixed, "band"))
-    signed_ = held.join(rest.select("rep").distinct(), "rep").select("rep.id", "rep.digest", "text").mapInArrow(_signatures, "id long, digest binary, signature binary")
-    signed_ = signed_.select(F.struct("id", "digest").alias("rep"), "signature")
+    signed_ = held.join(rest.select("rep").distinct(), "rep").select("rep.id", "rep.digest", "text").mapInArrow(_signatures, "id long, digest binary, text string, signature binary")
+    signed_ = materialize(signed_.select(F.struct("id", "digest").alias("rep"), "text", "signature"))
     chunks = F.ceil(F.col("members") / CHUNK_DOCS).cast("int")
     chunked = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(signed_, "rep")
     sides = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    tasks = chunked.withColumn("p", F.explode(sides)).select("band", "p.i", "p.j", "chunk", "rep.id", "rep.digest", "part", "n", "signature")
-    alike = tasks.groupBy("band", "i", "j").applyInPandas(_alike(percent), PAIRS).select(_node("u"), _node("v")).distinct()
-    alike = materialize(alike.join(first.select(F.col("rep").alias("v"), "n"), "v").select("u", "v", "n"))
-    grouped = components(links.unionByName(_verified(alike, held, percent)))
+    tasks = chunked.withColumn("p", F.explode(sides)).select("band", "p.i", "p.j", "chunk", "rep.id", "rep.digest", "part", "n", "text", "signature")
+    joining = tasks.groupBy("band", "i", "j").applyInPandas(_joining(percent), PAIRS).select(_node("u"), _node("v"))
+    grouped = components(links.unionByName(joining))
 
     of = reps.join(grouped, reps["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return signed.select("doc_id", "text_hash", "n_shingles", "digest").join(of, "digest", "left")
