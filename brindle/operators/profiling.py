@@ -148,10 +148,15 @@ def card_counts(cards: DataFrame) -> DataFrame:
 
 def sample_per_class(df: DataFrame, cls: str, key: str, cap: int, seed: int = 42) -> DataFrame:
     """``cap`` rows of each class by hash: a sampling operator, the same rows on every run."""
-    w = Window.partitionBy(cls).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = Window.partitionBy(cls).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key)
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= cap).drop("__r")
 
 
+def uniqueness(duplicate_percentage: Column) -> Column:
+    """100 less the percentage of duplicate rows."""
+    return F.lit(100.0) - duplicate_percentage
+
+
 def weighted_score(**parts: Column) -> Column:
     """Mean of the scores that are there, weighted .30 completeness, .25 balance, .25 uniqueness, .20 metadata."""
     weights = {"completeness": 0.30, "balance": 0.25, "uniqueness": 0.25, "metadata": 0.20}

@@ -21,10 +21,16 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, doc, tf, dl): counts within a document are made in its row, so nothing is shuffled (D3)."""
-    t = docs.select(F.col(id_col).alias("doc"), tokens(text_col).alias("t"))
-    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, dl) (D3). With ``terms``, a bounded frame, of those only: they are counted within a document's row,
+    so that nothing is shuffled. Without, all terms of all documents are grouped."""
+    t = docs.select(F.col(id_col).alias("doc"), tokens(text_col).alias("t")).withColumn("dl", F.size("t"))
+    if terms is None:
+        return t.select("doc", "dl", F.explode("t").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+    wanted = terms.agg(F.collect_set("term").alias("wanted"))
+    t = t.crossJoin(F.broadcast(wanted)).select("doc", "dl", F.filter("t", lambda x: F.array_contains("wanted", x)).alias("t")).filter(F.size("t") > 0)
+    t = t.withColumn("term", F.explode(F.array_distinct("t")))
+    return t.select("term", "doc", "dl", F.size(F.filter("t", lambda x: x == F.col("term"))).cast("bigint").alias("tf"))
 
 
 def bm25_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -34,12 +40,12 @@ def bm25_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | N
     """
     sizes = docs.select(F.size(tokens(text_col)).alias("dl"))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    p = postings(docs, id_col, text_col)
-    df = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    p = postings(docs, id_col, text_col, terms)
+    each = docs.select(F.explode(F.array_distinct(tokens(text_col))).alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # partial sums before the shuffle
     df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean_idf"), F.count("*").alias("n_terms"))
-    if terms is not None:  # a hot term's postings stay spread: terms are the small side
-        p = p.join(F.broadcast(terms.select("term").distinct()), "term")
+    if terms is not None:
         df = df.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     idf = df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return p.join(idf, "term"), stats.crossJoin(F.broadcast(mean))

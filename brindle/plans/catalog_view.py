@@ -19,8 +19,8 @@ def base_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"), F.col("doc_id") == F.col("o_orderkey"), "left")
     return d.selectExpr(
         "doc_id AS seq", "source", "CAST(doc_id AS STRING) AS source_id", "concat('https://example.org/d/', doc_id) AS source_url",
-        r"array_join(slice(regexp_extract_all(substring(text, 1, 400), '[^ \\x09-\\x0D]+', 0), 1, 6), ' ') AS title", "text AS description",
-        "slice(array_distinct(regexp_extract_all(lower(substring(text, 1, 300)), '[a-z]{4,}', 0)), 1, 8) AS tags",
+        r"array_join(slice(split(btrim(text, ' \t\n\u000B\f\r'), '[ \\x09-\\x0D]+', 7), 1, 6), ' ') AS title", "text AS description",
+        "slice(array_distinct(regexp_extract_all(lower(text), '[a-z]{4,}', 0)), 1, 8) AS tags",
         "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS row_count", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS column_count",
         "CASE WHEN doc_id % 4 = 0 THEN array('id', 'text', 'label') END AS column_names", "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars * 2 END AS file_size_bytes",
         "CASE doc_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' END AS data_format", "CASE WHEN quality = 1 AND toxic = 1 THEN 'cc_by_nc' WHEN quality = 1 THEN 'cc_by' WHEN quality = 0 THEN 'unknown' END AS license_type",
@@ -37,12 +37,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
-_TAGS = r"regexp_extract_all(lower(substr(text, 1, 300)), '[a-z]{4,}')"
+_TAGS = r"regexp_extract_all(lower(text), '[a-z]{4,}')"
 
 #: DuckDB twin: CTEs ``base`` and ``catalog``.
 CATALOG_SQL = rf"""
 base AS (SELECT d.doc_id AS seq, source, CAST(d.doc_id AS VARCHAR) AS source_id, 'https://example.org/d/' || d.doc_id AS source_url,
-  array_to_string(regexp_extract_all(substr(text, 1, 400), '[^ \t\n\x0B\f\r]+')[1:6], ' ') AS title, text AS description, ({_DISTINCT.format(_TAGS)})[1:8] AS tags,
+  array_to_string(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')[1:6], ' ') AS title, text AS description, ({_DISTINCT.format(_TAGS)})[1:8] AS tags,
   CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE n_chars END AS row_count, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.doc_id % 7 END AS column_count,
   CASE WHEN d.doc_id % 4 = 0 THEN ['id', 'text', 'label'] END AS column_names, CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE n_chars * 2 END AS file_size_bytes,
   CASE d.doc_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' END AS data_format,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import analytics, dedup, derive, explain, filters, scoring
+from ..operators import analytics, dedup, derive, explain, filters, profiling, ranking, scoring
 from ..sources import files
 from ..streaming import streams
 from .catalog_view import AS_OF, CATALOG_SQL, base_catalog, catalog, table
@@ -71,26 +72,19 @@ def dedup_text(spark, sf_dir):
     return n.select("doc_id", "n")
 
 
-_PRINT = "sha256(lower(substr(description, 1, 20)))"
-
-
-def _printed(spark, sf_dir):
-    return catalog(spark, sf_dir).withColumn("dataset_fingerprint", F.sha2(F.lower(F.substring("description", 1, 20)), 256))
-
-
-@register(f"{WITH} SELECT canonical_id FROM (SELECT canonical_id, row_number() OVER (PARTITION BY {_PRINT} ORDER BY metadata_completeness DESC, seq) AS r FROM catalog) WHERE r = 1")
+@register(f"{WITH} SELECT canonical_id FROM (SELECT canonical_id, row_number() OVER (PARTITION BY dataset_fingerprint ORDER BY metadata_completeness DESC, seq) AS r FROM catalog) WHERE r = 1")
 def dedup_keep_best(spark, sf_dir):
-    return dedup.best_by_fingerprint(_printed(spark, sf_dir)).select("canonical_id")
+    return dedup.best_by_fingerprint(catalog(spark, sf_dir)).select("canonical_id")
 
 
-@register(f"{WITH}, p AS (SELECT *, {_PRINT} AS f FROM catalog) SELECT canonical_id, seq > min(seq) OVER w AS is_duplicate, CASE WHEN seq > min(seq) OVER w THEN arg_min(canonical_id, seq) OVER w END AS duplicate_of FROM p WINDOW w AS (PARTITION BY f)")
+@register(f"{WITH}, p AS (SELECT *, dataset_fingerprint AS f FROM catalog) SELECT canonical_id, seq > min(seq) OVER w AS is_duplicate, CASE WHEN seq > min(seq) OVER w THEN arg_min(canonical_id, seq) OVER w END AS duplicate_of FROM p WINDOW w AS (PARTITION BY f)")
 def dedup_mark(spark, sf_dir):
-    return dedup.mark(_printed(spark, sf_dir)).select("canonical_id", "is_duplicate", "duplicate_of")
+    return dedup.mark(catalog(spark, sf_dir)).select("canonical_id", "is_duplicate", "duplicate_of")
 
 
-@register(f"{WITH}, p AS (SELECT *, {_PRINT} AS f, title AS k FROM catalog), a AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY seq) AS r FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS q FROM a WHERE r = 1) SELECT canonical_id FROM b WHERE q = 1")
+@register(f"{WITH}, p AS (SELECT *, dataset_fingerprint AS f, title AS k FROM catalog), a AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY seq) AS r FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS q FROM a WHERE r = 1) SELECT canonical_id FROM b WHERE q = 1")
 def dedup_first_by_either(spark, sf_dir):
-    return dedup.first_by_either(_printed(spark, sf_dir), key="title").select("canonical_id")
+    return dedup.first_by_either(catalog(spark, sf_dir), key="title").select("canonical_id")
 
 
 @register(f"{WITH} SELECT source, count(*) AS n, count(column_count) AS with_columns FROM (SELECT source, column_count FROM catalog WHERE seq % 2 = 0 UNION ALL SELECT source, NULL FROM catalog WHERE seq % 2 = 1) GROUP BY source")
@@ -278,3 +272,57 @@ def lineage_validation(spark, sf_dir):
 def search_documents(spark, sf_dir):
     docs = files.to_documents(base_catalog(spark, sf_dir).select(F.concat_ws(":", "source", "source_id").alias("canonical_id"), "seq", "license_type"))
     return docs.select("id", F.get_json_object("document", "$.seq").alias("seq"), F.get_json_object("document", "$.license_type").isNotNull().alias("has_license"))
+
+
+_N_TOP = "CASE WHEN n = 0 THEN 'low' WHEN top >= 0.70 AND n >= 3 THEN 'high' WHEN top >= 0.45 OR n >= 2 THEN 'medium' ELSE 'low' END"
+
+
+@register(f"""WITH x AS (SELECT c_custkey, count(o_orderkey) AS n, coalesce(max(o_totalprice), 0) / 500000.0::DOUBLE AS top
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT c_custkey, {_N_TOP} AS label FROM x""")
+def confidence_labels(spark, sf_dir):
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    d = d.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), (F.coalesce(F.max("o_totalprice"), F.lit(0)) / F.lit(500000.0)).alias("top"))
+    return d.select("c_custkey", ranking.confidence_label(F.col("n"), F.col("top")).alias("label"))
+
+
+@register(f"{WITH} SELECT canonical_id FROM catalog ORDER BY metadata_completeness DESC, canonical_id LIMIT 50")
+def catalog_capped(spark, sf_dir):
+    return ranking.capped(catalog(spark, sf_dir)).select("canonical_id")
+
+
+@register(f"""{WITH} SELECT canonical_id AS dataset, unnest(tags) AS class, CAST(greatest(1, row_count // len(tags)) AS BIGINT) AS n
+FROM catalog WHERE row_count IS NOT NULL""")
+def card_class_counts(spark, sf_dir):
+    d = catalog(spark, sf_dir).filter("row_count IS NOT NULL")
+    return profiling.card_counts(d.select(F.col("canonical_id").alias("dataset"), F.col("row_count").alias("total"), F.col("tags").alias("labels")))
+
+
+@register(f"""{WITH} SELECT canonical_id, len(task_types) = 0 OR len(list_filter(task_types, lambda t: contains(t, 'classification'))) > 0
+  OR list_contains(modalities, 'tabular') AS applies FROM catalog""")
+def balance_gate(spark, sf_dir):
+    return catalog(spark, sf_dir).select("canonical_id", profiling.balance_applies().alias("applies"))
+
+
+@register(f"""{WITH}, p AS (SELECT canonical_id, metadata_completeness * 100 AS m, CASE WHEN seq % 3 > 0 THEN minority_class_size * 100.0::DOUBLE / majority_class_size END AS b,
+  CASE WHEN seq % 2 = 0 THEN 100.0::DOUBLE - missing_values / 10.0::DOUBLE END AS u FROM catalog)
+SELECT canonical_id, round((coalesce(b * 0.25, 0) + coalesce(u * 0.25, 0) + m * 0.20) / (CASE WHEN b IS NULL THEN 0 ELSE 0.25 END + CASE WHEN u IS NULL THEN 0 ELSE 0.25 END + 0.20), 2) AS score FROM p""")
+def weighted_quality(spark, sf_dir):
+    b = F.when(F.col("seq") % 3 > 0, F.col("minority_class_size") * 100.0 / F.col("majority_class_size"))
+    u = F.when(F.col("seq") % 2 == 0, profiling.uniqueness(F.col("missing_values") / F.lit(10.0)))
+    score = profiling.weighted_score(balance=b, uniqueness=u, metadata=F.col("metadata_completeness") * 100)
+    return catalog(spark, sf_dir).select("canonical_id", score.alias("score"))
+
+
+@register("""WITH g AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || ':42'), o_orderkey) AS r FROM orders)
+SELECT o_orderkey, o_orderpriority FROM g WHERE r <= 25""")
+def sampled_orders(spark, sf_dir):
+    return profiling.sample_per_class(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", 25).select("o_orderkey", "o_orderpriority")
+
+
+@register(f"""{WITH} SELECT canonical_id, row_number() OVER (ORDER BY metadata_completeness DESC, lower(title), canonical_id) AS place FROM catalog
+QUALIFY place <= 100""")
+def final_places(spark, sf_dir):
+    d = catalog(spark, sf_dir).withColumn("composite", F.col("metadata_completeness"))
+    top = d.orderBy(*ranking.final_order(d)).limit(100)
+    return top.select("canonical_id", F.row_number().over(Window.orderBy(*ranking.final_order(top))).cast("bigint").alias("place"))

@@ -181,10 +181,10 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_top(q, v, 20).select("query_id", "id", scoring.half_up(F.col("score")).alias("score"))
 
 
-@register(f"WITH {_VEC_SQL} SELECT query_id, id, round(1e-9 + score, 4) AS score FROM vs WHERE id % 7 = 0")
+@register(f"WITH {_VEC_SQL} SELECT query_id, id, round(1e-9 + score, 4) AS score FROM vs")
 def cosine_ids(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    wanted = v.filter("id % 7 = 0").select("id").crossJoin(F.broadcast(q))
+    wanted = v.select("id").crossJoin(F.broadcast(q))
     return retrieval.cosine_for(wanted, v).select("query_id", "id", scoring.half_up(F.col("score")).alias("score"))
 
 
@@ -197,21 +197,25 @@ def _lists(spark, sf_dir, k=30):
     return text, retrieval.vector_top(q, v, k)
 
 
-@register(f"{_RRF_SQL}, x AS (SELECT query_id, id, round(0.4 / (60.0::DOUBLE + coalesce(rt, 1001)) + 0.6 / (60.0::DOUBLE + coalesce(rv, 1001)), 10) AS score FROM f) SELECT query_id, id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10")
+def _n_docs(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "documents").count()
+
+
+@register(f"{_RRF_SQL}, x AS (SELECT query_id, id, round(0.4 / (60.0::DOUBLE + coalesce(rt, (SELECT count(*) + 1 FROM documents))) + 0.6 / (60.0::DOUBLE + coalesce(rv, (SELECT count(*) + 1 FROM documents))), 10) AS score FROM f) SELECT query_id, id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10")
 def rrf_fusion(spark, sf_dir):
-    return retrieval.rrf(*_lists(spark, sf_dir), 10, 1000).select("query_id", "id", F.round("score", 8).alias("score"))
+    return retrieval.rrf(*_lists(spark, sf_dir), 10, _n_docs(spark, sf_dir)).select("query_id", "id", F.round("score", 8).alias("score"))
 
 
 @register(f"{_RRF_SQL}, x AS (SELECT query_id, id, round(coalesce(1.0 / (60.0::DOUBLE + rt), 0) + coalesce(1.0 / (60.0::DOUBLE + rv), 0), 10) AS score FROM f) SELECT query_id, id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10")
 def rrf_unweighted(spark, sf_dir):
-    return retrieval.rrf(*_lists(spark, sf_dir), 10, 1000, (1.0, 1.0), missing="none").select("query_id", "id", F.round("score", 8).alias("score"))
+    return retrieval.rrf(*_lists(spark, sf_dir), 10, 0, (1.0, 1.0), missing="none").select("query_id", "id", F.round("score", 8).alias("score"))
 
 
-@register(f"""{_RRF_SQL}, x AS (SELECT query_id, id, round(0.4 / (60.0::DOUBLE + coalesce(rt, 1001)) + 0.6 / (60.0::DOUBLE + coalesce(rv, 1001)), 10) AS score FROM f WHERE query_id <> 2)
+@register(f"""{_RRF_SQL}, x AS (SELECT query_id, id, round(0.4 / (60.0::DOUBLE + coalesce(rt, (SELECT count(*) + 1 FROM documents))) + 0.6 / (60.0::DOUBLE + coalesce(rv, (SELECT count(*) + 1 FROM documents))), 10) AS score FROM f WHERE query_id <> 2)
 SELECT query_id, id, mode FROM (SELECT *, 'hybrid' AS mode, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10 UNION ALL SELECT query_id, doc, 'text' FROM bt WHERE query_id = 2 AND rank <= 10""")
 def hybrid_fallback(spark, sf_dir):
     text, vector = _lists(spark, sf_dir)
-    return retrieval.hybrid(asked(spark), text, vector.filter("query_id <> 2"), 10, 1000).select("query_id", "id", "mode")
+    return retrieval.hybrid(asked(spark), text, vector.filter("query_id <> 2"), 10, _n_docs(spark, sf_dir)).select("query_id", "id", "mode")
 
 
 @register(f"""{WITH}, {_ASKED_SQL}, fields AS (SELECT seq AS doc, 'title' AS f, 3.0 AS boost, {_TOK.format('title')} AS t FROM catalog UNION ALL SELECT seq, 'description', 1.0, {_TOK.format('description')} FROM catalog),
@@ -241,12 +245,12 @@ def keyword_match(spark, sf_dir):
     return retrieval.keyword_match(asked(spark), catalog(spark, sf_dir), 15).select("query_id", "canonical_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register(f"""{_BM25_SQL}, h AS (SELECT b.query_id, b.doc, b.rank, len(list_filter({_TOK.format('a.query_text')}, lambda t: contains(lower(substr(x.text, 1, 200)), t))) AS hits FROM bt b JOIN asked a ON a.query_id = b.query_id JOIN documents x ON x.doc_id = b.doc WHERE b.rank <= 20)
+@register(f"""{_BM25_SQL}, h AS (SELECT b.query_id, b.doc, b.rank, len(list_filter({_TOK.format('a.query_text')}, lambda t: contains(lower(x.text), t))) AS hits FROM bt b JOIN asked a ON a.query_id = b.query_id JOIN documents x ON x.doc_id = b.doc WHERE b.rank <= 20)
 SELECT query_id, doc, CAST(hits AS INT) AS keyword_hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, rank) AS new_rank FROM h""")
 def keyword_rerank(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     top = retrieval.bm25_top(asked(spark), docs, "doc_id", "text", 20).join(F.broadcast(asked(spark).select("query_id", "query_text")), "query_id").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return retrieval.keyword_rerank(top, F.substring("text", 1, 200)).select("query_id", "doc", "keyword_hits", F.col("new_rank").cast("bigint").alias("new_rank"))
+    return retrieval.keyword_rerank(top, F.col("text")).select("query_id", "doc", "keyword_hits", F.col("new_rank").cast("bigint").alias("new_rank"))
 
 
 @register(f"{WITH}, w AS (SELECT CAST(seq % 2 AS INT) AS query_id, seq, canonical_id FROM catalog WHERE seq < 40) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seq DESC) - 1 AS pos, canonical_id FROM w")

@@ -116,7 +116,7 @@ _STOP = "(" + ", ".join(_q(w) for w in listed(vocab.STOP_WORDS)) + ")"
 _SYN = "map_from_entries([" + ", ".join(f"({_q(k)}, {_q(v)})" for v, ks in parsed(vocab.QUERY_SYNONYMS) for k in ks) + "])"
 #: Turns as queries: each gets words that rules know, chosen by its numbers.
 _TAILS = ["house price prediction", "crop disease image detection", "hindi speech recognition", "sentiment of reviews", "the forecast of stock", "tabular fraud table"]
-_TURNS_SQL = f"""turns AS (SELECT conv_id * 1000 + turn AS query_id, regexp_replace(lower(substr(trim(text), 1, 400)), '[^ -~]', '', 'g') || ' ' || [{', '.join(map(_q, _TAILS))}][CAST((conv_id + turn) % 6 AS INT) + 1] AS raw_query FROM conversations),
+_TURNS_SQL = f"""turns AS (SELECT conv_id * 1000 + turn AS query_id, [{', '.join(map(_q, _TAILS))}][CAST((conv_id + turn) % 6 AS INT) + 1] || ' ' || regexp_replace(lower(trim(text)), '[^ -~]', '', 'g') AS raw_query FROM conversations),
 cl AS (SELECT query_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(substr(trim(raw_query), 1, 500)), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^a-z0-9\\s_]', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned_text FROM turns),
 tk AS (SELECT *, list_filter(string_split(cleaned_text, ' '), lambda t: length(t) >= 2) AS tokens FROM cl), kw AS (SELECT *, list_filter(tokens, lambda t: t NOT IN {_STOP}) AS keywords FROM tk),
 nk AS (SELECT *, list_transform(keywords, lambda t: coalesce({_SYN}[t], t)) AS n0 FROM kw), nd AS (SELECT * EXCLUDE n0, list_filter(n0, lambda x, i: list_position(n0, x) = i) AS normalized FROM nk),
@@ -125,8 +125,8 @@ ng AS (SELECT *, list_transform(range(1, len(normalized)), lambda i: normalized[
 
 def _turns(spark, sf_dir):
     tail = F.element_at(F.array(*[F.lit(t) for t in _TAILS]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
-    t = F.regexp_replace(F.lower(F.substring(F.trim("text"), 1, 400)), "[^ -~]", "")
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat_ws(" ", t, tail).alias("raw_query"))
+    t = F.regexp_replace(F.lower(F.trim("text")), "[^ -~]", "")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat_ws(" ", tail, t).alias("raw_query"))
 
 
 @register(f"WITH {_TURNS_SQL} SELECT query_id, cleaned_text, array_to_string(keywords, ' ') AS keywords, array_to_string(normalized, ' ') AS normalized, array_to_string(bigrams, ' ') AS bigrams, array_to_string(trigrams, ' ') AS trigrams FROM ng")
