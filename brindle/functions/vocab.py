@@ -535,3 +535,18 @@ audio: speech_recognition
 multimodal: visual_question_answering, document_understanding
 recommendation: recommendation
 """
+
+#: Queries that only refine the one before.
+REFINEMENTS = """
+more, show more, i want more, give me more, similar, more like this, different, other options, show me, find more, next, again, retry
+"""
+
+#: Word stems that hint at a task when nothing was found; the first task that fits is taken.
+TASK_STEMS = """
+classification: classif, recognit, detect
+generation: generat, caption, synthes
+segmentation: segmen, mask, pixel
+translation: translat, bilingual, parallel
+speech recognition: speech, audio, asr, wav
+regression: regress, predict, forecast
+"""

@@ -62,10 +62,10 @@ def union_ids(*frames: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: repeated rows, their percentage, and whether 5 % is reached (F8). Counts per distinct row have partial sums."""
+    """One row: repeated rows, their percentage, whether 5 % is reached (F8), and the uniqueness score (H22). Counts per distinct row have partial sums."""
     per = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
     n, dup = F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))
-    return per.agg(n.alias("total_rows"), dup.alias("duplicate_count"), F.round(F.coalesce(F.try_divide(dup * 100.0, n), F.lit(0.0)), 2).alias("duplicate_percentage")).withColumn("warning", F.col("duplicate_percentage") >= 5)
+    return per.agg(n.alias("total_rows"), dup.alias("duplicate_count"), F.round(F.coalesce(F.try_divide(dup * 100.0, n), F.lit(0.0)), 2).alias("duplicate_percentage")).withColumns({"warning": F.col("duplicate_percentage") >= 5, "uniqueness_score": F.round(100.0 - F.col("duplicate_percentage"), 2)})
 
 
 def duplicate_hashes(df: DataFrame, value: str = "hash") -> DataFrame:

@@ -50,8 +50,14 @@ def derive(records: DataFrame, include_source: bool = True) -> DataFrame:
     })
 
 
+def joined_text() -> Column:
+    """Title, clean description and primary tags with single spaces between; records without tags end in the description."""
+    tags = F.when(F.size("tags_primary") > 0, F.array_join("tags_primary", " "))
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description_clean", F.lit("")), tags)
+
+
 def searchable_text() -> Column:
-    """Title three times, short description and primary tags: the text that both indexes see."""
+    """Title three times, short description and primary tags: the text that both indexes see."""
     parts = F.array("title", "title", "title", "description_short", F.array_join("tags_primary", " "))
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
 

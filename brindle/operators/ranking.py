@@ -93,10 +93,28 @@ def final_order(scored: DataFrame) -> list[Column]:
     return [F.desc("composite"), F.lower("title"), F.col("canonical_id")]
 
 
-def evaluate_results(ranked: DataFrame, need: int = 3) -> DataFrame:
-    """For each query: best and mean score, rows below 0.4, and whether the results suffice."""
-    d = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("composite").alias("top_score"), F.round(F.avg("composite"), 4).alias("avg_score"), F.count_if(F.col("composite") < 0.4).alias("low_scores"))
-    return d.withColumn("sufficient", (F.col("n") >= need) & (F.col("top_score") >= 0.4))
+def evaluate_results(ranked: DataFrame) -> DataFrame:
+    """For each query: rows, best and mean score, rows below 0.4, whether the results suffice, and the issues found."""
+    d = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("composite").alias("top_score"), F.round(F.round(F.avg("composite"), 6), 3).alias("avg_score"), F.count_if(F.col("composite") < 0.4).alias("low_scores"))
+    low_top, most_low = F.col("top_score") < 0.4, F.col("low_scores") > F.floor(F.col("n") / 2)
+    issues = F.array_compact(F.array(F.when(low_top, F.format_string("Top score (%.2f) below minimum threshold (0.40)", "top_score")), F.when(most_low, F.format_string("Majority of results (%d/%d) below threshold", "low_scores", "n"))))
+    return d.withColumns({"sufficient": ~low_top & (F.col("low_scores") < F.col("n")), "issues": issues})
+
+
+def diagnostics(judged: DataFrame, ranked: DataFrame, filters_applied: list[str], scored: DataFrame | None = None) -> DataFrame:
+    """For each query: rows at each stage, pass rate, filters, confidence, and whether sources were spread.
+
+    ``judged`` holds the catalog with reject_reason, ``ranked`` the top k of each query; ``scored`` has a row for each
+    query and record that was scored, all passing records if it is None.
+    """
+    rows = judged.agg(F.count("*").alias("total_input"), F.count_if(F.col("reject_reason").isNull()).alias("total_after_filter"))
+    rows = rows.withColumns({"filter_pass_rate": F.round(F.coalesce(F.try_divide("total_after_filter", "total_input"), F.lit(0.0)), 3), "filters_applied": F.lit(",".join(filters_applied))})
+    top = ranked.groupBy("query_id").agg(F.count("*").alias("total_ranked"), F.max("candidates").alias("candidates"))
+    top = top.join(confidence(ranked), "query_id").withColumn("diversity_applied", F.col("candidates") > F.col("total_ranked")).drop("candidates")
+    d = top.crossJoin(F.broadcast(rows))  # rows has one
+    if scored is None:
+        return d.withColumn("total_scored", F.col("total_after_filter"))
+    return d.join(scored.groupBy("query_id").agg(F.count("*").alias("total_scored")), "query_id")
 
 
 def result_summary(ranked: DataFrame) -> DataFrame:

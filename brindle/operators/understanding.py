@@ -135,24 +135,56 @@ def first_enough(hits: DataFrame, least: int = 1) -> DataFrame:
     return hits.join(per, ["query_id", "variant"], "left_semi")
 
 
-def follow_ups(queries: DataFrame, session: str = "session_id", order: str = "ts", raw: str = "raw_query", most_words: int = 4) -> DataFrame:
-    """Queries with previous_query and merged_query: a short one is read together with the one before it."""
-    before = F.lag(raw).over(Window.partitionBy(session).orderBy(order))
-    short = F.size(F.split(F.trim(F.col(raw)), r"\s+")) <= most_words
-    return queries.withColumn("previous_query", before).withColumn("merged_query", F.when(F.col("previous_query").isNotNull() & short, F.concat_ws(" ", "previous_query", raw)).otherwise(F.col(raw)))
+def stripped(x: Column | str) -> Column:
+    """Text without white space around it; null is empty."""
+    return F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"^\s+|\s+$", "")
 
 
-def no_result_help(understood: DataFrame, hits: DataFrame) -> DataFrame:
-    """For queries without hits: their core terms, and a hint of the task."""
-    none = understood.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    hint = F.when(F.col("cleaned_text").rlike("image|photo|vision"), "image classification").when(F.col("cleaned_text").rlike("text|sentiment|language"), "text classification").when(F.col("cleaned_text").rlike("predict|price|forecast"), "regression").otherwise("classification")
-    return none.select("query_id", F.array_join(F.slice("keywords", 1, 3), " ").alias("core_terms"), hint.alias("hint"))
+def word_list(x: Column) -> Column:
+    """Words of a text that is stripped, none for an empty one."""
+    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"\s+"))
 
 
-def suggestions(understood: DataFrame) -> DataFrame:
-    """Three next queries for each query (C17)."""
-    core = F.array_join(F.slice("keywords", 1, 3), " ")
-    return understood.select("query_id", F.array(F.concat_ws(" ", core, F.lit("benchmark")), F.concat_ws(" ", core, F.lit("large scale")), F.concat_ws(" ", core, F.lit("with labels"))).alias("suggestions"))
+def follow_ups(queries: DataFrame, session: str = "session_id", order: tuple[str, ...] = ("ts",), raw: str = "raw_query") -> DataFrame:
+    """Queries with previous_query and merged_query.
+
+    A query that is a refinement phrase or has at most three words is put behind the one before it with a dash, one of
+    four or five words with a space; others stand alone, as do empty queries and those behind an empty one.
+    """
+    d = queries.withColumn("previous_query", F.lag(raw).over(Window.partitionBy(session).orderBy(*order)))
+    now, before = stripped(raw), stripped("previous_query")
+    n = F.size(word_list(now))
+    refines = F.lower(now).isin(*listed(vocab.REFINEMENTS)) | (n <= 3)
+    joined = F.when(refines, F.concat(before, F.lit(" \u2014 "), now)).when(n < 6, F.concat(before, F.lit(" "), now)).otherwise(now)
+    return d.withColumn("merged_query", F.when((now == "") | (before == ""), now).otherwise(joined))
+
+
+def no_result_help(queries: DataFrame, hits: DataFrame, raw: str = "raw_query", sources: str = "Kaggle, HuggingFace, and OpenML") -> DataFrame:
+    """(query_id, core_terms, hint, message) for queries without hits.
+
+    Core terms are the first three words of over three characters, or else the query; the hint is the first task
+    that has a stem in the query.
+    """
+    none = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    q = F.coalesce(F.col(raw), F.lit(""))
+    long = F.slice(F.filter(word_list(stripped(F.lower(q))), lambda w: F.length(w) > 3), 1, 3)
+    hint = F.coalesce(*[F.when(F.lower(q).rlike("|".join(stems)), task) for task, stems in parsed(vocab.TASK_STEMS)], F.lit("classification"))
+    d = none.select("query_id", q.alias("q"), F.when(F.size(long) > 0, F.array_join(long, " ")).otherwise(q).alias("core_terms"), hint.alias("hint"))
+    return d.select("query_id", "core_terms", "hint", F.format_string("No datasets were found for '%s' across %s. Try '%s data' or the task type '%s'.", "q", F.lit(sources), "core_terms", "hint").alias("message"))
+
+
+def suggestions(expanded: DataFrame) -> DataFrame:
+    """(query_id, suggestions): a benchmark of the first three keywords, then the first two domains' datasets (C17)."""
+    first = F.when(F.size("keywords") > 0, F.array(F.concat(F.array_join(F.slice("keywords", 1, 3), " "), F.lit(" benchmark")))).otherwise(F.array().cast("array<string>"))
+    return expanded.select("query_id", F.concat(first, F.transform(F.slice("domains", 1, 2), lambda d: F.concat(d, F.lit(" dataset")))).alias("suggestions"))
+
+
+def research_suggestions(queries: DataFrame, raw: str = "raw_query") -> DataFrame:
+    """(query_id, suggestions): up to four next searches built of a query's words of over three characters (C17)."""
+    q = F.coalesce(F.col(raw), F.lit(""))
+    w = F.filter(word_list(stripped(F.lower(q))), lambda x: F.length(x) > 3)
+    parts = F.array(F.when(F.size(w) > 0, F.concat(q, F.lit(" benchmark"))), F.concat(F.get(w, F.lit(0)), F.lit(" labeled dataset")), F.when(F.size(w) > 1, F.concat(F.element_at(F.when(F.size(w) > 0, w), -1), F.lit(" annotations"))), F.concat(q, F.lit(" evaluation")))
+    return queries.select("query_id", F.array_compact(parts).alias("suggestions"))
 
 
 def compatibility_table(spark: SparkSession) -> DataFrame:

@@ -33,15 +33,21 @@ def catalog_derive(spark, sf_dir):
     return catalog(spark, sf_dir).select("canonical_id", "dataset_fingerprint", "description_clean", "description_short", F.array_join("tags_primary", ",").alias("tags_primary"), "description_length", "tag_count", "missing_fields_count", "has_description", "has_schema_info", "has_size_info", "has_license_info")
 
 
+@register(f"{WITH} SELECT canonical_id, md5(coalesce(title, '') || ' ' || coalesce(description_clean, '') || CASE WHEN len(tags_primary) > 0 THEN ' ' || array_to_string(tags_primary, ' ') ELSE '' END) AS searchable FROM catalog")
+def searchable_text(spark, sf_dir):
+    return catalog(spark, sf_dir).select("canonical_id", F.md5(derive.joined_text()).alias("searchable"))
+
+
 @register(f"{WITH} SELECT canonical_id, metadata_completeness, CASE WHEN metadata_completeness >= 0.85 THEN 'gold' WHEN metadata_completeness >= 0.65 THEN 'silver' WHEN metadata_completeness >= 0.45 THEN 'bronze' ELSE 'incomplete' END AS tier FROM catalog")
 def completeness_tier(spark, sf_dir):
     return catalog(spark, sf_dir).select("canonical_id", "metadata_completeness", derive.tier("metadata_completeness").alias("tier"))
 
 
 _GATES = filters.Gates(sources=("src0", "src1", "src2", "src3", "src4", "src5"), require_description=True, min_rows=200, max_rows=6000, min_completeness=0.5, min_quality=60, commercial=True, required_modalities=("text", "tabular"), updated_after="1996-01-01", strict_task="text_classification")
-_GATE_SQL = f"""{WITH}, judged AS (SELECT *, CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') THEN 'source' WHEN NOT has_description THEN 'description' WHEN row_count < 200 THEN 'min_rows' WHEN row_count > 6000 THEN 'max_rows'
+_JUDGED_SQL = """judged AS (SELECT *, CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') THEN 'source' WHEN NOT has_description THEN 'description' WHEN row_count < 200 THEN 'min_rows' WHEN row_count > 6000 THEN 'max_rows'
   WHEN metadata_completeness < 0.5 THEN 'min_completeness' WHEN metadata_completeness * 100 < 60 THEN 'min_quality' WHEN license_type IN ('cc_by_nc', 'cc_by_nc_sa') THEN 'non_commercial' WHEN len(modalities) = 0 THEN 'required_modality'
   WHEN last_updated < TIMESTAMP '1996-01-01' THEN 'updated_after' WHEN list_contains(modalities, 'tabular') THEN 'task' END AS reject_reason FROM catalog)"""
+_GATE_SQL = f"{WITH}, {_JUDGED_SQL}"
 
 
 @register(f"{_GATE_SQL} SELECT canonical_id, reject_reason FROM judged")

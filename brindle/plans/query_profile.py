@@ -90,7 +90,7 @@ def class_balance_labels(spark, sf_dir):
     return profiling.class_balance(table(spark, sf_dir, "labels"), "quality")
 
 
-@register("WITH g AS (SELECT count(*) AS n FROM (SELECT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem) GROUP BY l_returnflag, l_linestatus, l_quantity, l_discount) SELECT sum(n)::BIGINT AS total_rows, sum(n - 1)::BIGINT AS duplicate_count, round(sum(n - 1) * 100.0 / sum(n), 2) AS duplicate_percentage, round(sum(n - 1) * 100.0 / sum(n), 2) >= 5 AS warning FROM g")
+@register("WITH g AS (SELECT count(*) AS n FROM (SELECT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem) GROUP BY l_returnflag, l_linestatus, l_quantity, l_discount) SELECT sum(n)::BIGINT AS total_rows, sum(n - 1)::BIGINT AS duplicate_count, round(sum(n - 1) * 100.0 / sum(n), 2) AS duplicate_percentage, round(sum(n - 1) * 100.0 / sum(n), 2) >= 5 AS warning, round(100.0 - round(sum(n - 1) * 100.0 / sum(n), 2), 2) AS uniqueness_score FROM g")
 def dup_rows(spark, sf_dir):
     return dedup.duplicate_rows(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explain, filters, ranking, retrieval, scoring
 from .catalog_view import AS_OF, CATALOG_SQL, catalog, table
-from .query_catalog import WITH
+from .query_catalog import _GATES, _JUDGED_SQL, WITH
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,10 +86,22 @@ def relevance_gate(spark, sf_dir):
     return filters.relevance_gate(ranking.rank(scored(spark, sf_dir), 10)).select("query_id", "best_match", "no_results")
 
 
-@register(f"{_RANKED_SQL} SELECT query_id, count(*) AS n, round(1e-9 + max(composite), 3) AS top_score, round(1e-9 + round(avg(composite), 4), 3) AS avg_score, count(*) FILTER (composite < 0.4) AS low_scores, count(*) >= 3 AND max(composite) >= 0.4 AS sufficient FROM ranked GROUP BY query_id")
+@register(f"{_RANKED_SQL}, e AS (SELECT query_id, count(*) AS n, max(composite) AS top_score, round(round(avg(composite), 6)::DECIMAL(18, 6), 3)::DOUBLE AS avg_score, count(*) FILTER (composite < 0.4) AS low_scores FROM ranked GROUP BY query_id) SELECT *, top_score >= 0.4 AND low_scores < n AS sufficient, ((top_score < 0.4)::INT + (low_scores > n // 2)::INT)::INT AS n_issues FROM e")
 def evaluate_results(spark, sf_dir):
-    d = ranking.evaluate_results(ranking.rank(scored(spark, sf_dir), 10))
-    return d.withColumns({"top_score": scoring.half_up(F.col("top_score"), 3), "avg_score": scoring.half_up(F.col("avg_score"), 3)})
+    return ranking.evaluate_results(ranking.rank(scored(spark, sf_dir), 10)).withColumn("n_issues", F.size("issues")).drop("issues")
+
+
+@register(f"""{_SCORED_SQL}, {_JUDGED_SQL}, ps AS (SELECT * FROM scored WHERE canonical_id IN (SELECT canonical_id FROM judged WHERE reject_reason IS NULL)),
+nth AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS candidates, row_number() OVER (PARTITION BY query_id, source ORDER BY gated, composite DESC, seq) AS nth FROM ps),
+adj AS (SELECT *, CASE WHEN candidates > 10 THEN composite * pow(0.7::DOUBLE, nth - 1) ELSE composite END AS adjusted FROM nth), ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, gated, composite DESC, seq) AS rank FROM adj) WHERE rank <= 10),
+r AS (SELECT query_id, count(*) AS total_ranked, max(candidates) AS total_scored, max(adjusted) FILTER (rank = 1) - max(adjusted) FILTER (rank = 2) AS gap FROM ranked GROUP BY query_id), j AS (SELECT count(*) AS total_input, count(*) FILTER (reject_reason IS NULL) AS total_after_filter FROM judged)
+SELECT query_id, total_input, total_after_filter, total_scored, total_ranked, round(total_after_filter / total_input, 3) AS filter_pass_rate, '{','.join(reason for reason, _ in _GATES.active())}' AS filters_applied, total_scored > total_ranked AS diversity_applied,
+  CASE WHEN total_ranked = 1 OR round(gap, 10) >= 0.2 THEN 'high' WHEN round(gap, 10) >= 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM r, j""")
+def pipeline_diagnostics(spark, sf_dir):
+    ranked = ranking.rank(filters.passed(filters.judge(scored(spark, sf_dir), _GATES)), 10)
+    return ranking.diagnostics(filters.judge(catalog(spark, sf_dir), _GATES), ranked, [reason for reason, _ in _GATES.active()]).select(
+        "query_id", "total_input", "total_after_filter", "total_scored", "total_ranked", "filter_pass_rate", "filters_applied", "diversity_applied", "confidence"
+    )
 
 
 @register(f"{_RANKED_SQL}, per AS (SELECT query_id, source, count(*) AS n, sum(metadata_completeness) AS s FROM ranked GROUP BY ALL) SELECT query_id, string_agg(source || ':' || n, ' ' ORDER BY n DESC, source) AS by_source, round(sum(s) / sum(n), 3) AS avg_completeness, count(*) AS n_sources FROM per GROUP BY query_id")

@@ -106,10 +106,15 @@ def count_extract(spark, sf_dir):
     return d.withColumn("c", signals.described_counts(F.lit(""), "d")).select("o_orderkey", "c.total_images", "c.num_classes")
 
 
-@register("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_query, CASE WHEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND len(regexp_split_to_array(trim(text), '\\s+')) <= 6 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) || ' ' || text ELSE text END AS merged_query FROM conversations WHERE role = 'user'")
+#: Sentences of users' turns as queries of one session each.
+@register(f"""WITH a AS (SELECT conv_id, turn, regexp_split_to_array(text, '[.\n]+') AS a FROM conversations WHERE role = 'user'), s AS (SELECT conv_id, turn, unnest(a) AS raw_query, generate_subscripts(a, 1) - 1 AS i FROM a),
+l AS (SELECT *, lag(raw_query) OVER (PARTITION BY conv_id ORDER BY turn, i) AS previous_query FROM s), t AS (SELECT *, regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g') AS now, regexp_replace(coalesce(previous_query, ''), '^\\s+|\\s+$', '', 'g') AS before FROM l),
+n AS (SELECT *, len(regexp_split_to_array(now, '\\s+')) AS n FROM t)
+SELECT conv_id, turn, i::INT AS i, previous_query, CASE WHEN now = '' OR before = '' THEN now WHEN n <= 3 OR lower(now) IN ({', '.join(map(_q, listed(vocab.REFINEMENTS)))}) THEN before || ' ' || chr(8212) || ' ' || now WHEN n < 6 THEN before || ' ' || now ELSE now END AS merged_query FROM n""")
 def session_followups(spark, sf_dir):
     u = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return understanding.follow_ups(u, "conv_id", "turn", "text", 6).select("conv_id", "turn", "previous_query", "merged_query")
+    u = u.select("conv_id", "turn", F.posexplode(F.split("text", "[.\n]+")).alias("i", "raw_query"))
+    return understanding.follow_ups(u, "conv_id", ("turn", "i")).select("conv_id", "turn", "i", "previous_query", "merged_query")
 
 
 _STOP = "(" + ", ".join(_q(w) for w in listed(vocab.STOP_WORDS)) + ")"
@@ -167,11 +172,32 @@ def provider_weights(spark, sf_dir):
     return u.withColumn("w", understanding.provider_weights(F.col("cleaned_text"))).select("query_id", "w.huggingface", "w.kaggle", "w.openml")
 
 
+_HINT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(raw_query), {_q('|'.join(stems))}) THEN {_q(task)}" for task, stems in parsed(vocab.TASK_STEMS)) + " ELSE 'classification' END"
+
+
+@register(f"""WITH {_TURNS_SQL}, held AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\\s]+')) AS w FROM documents), none AS (SELECT *, list_filter(string_split(trim(regexp_replace(raw_query, '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 3)[1:3] AS long FROM turns WHERE regexp_split_to_array(raw_query, '\\s+')[-1] NOT IN (SELECT w FROM held)),
+c AS (SELECT query_id, raw_query, CASE WHEN len(long) > 0 THEN array_to_string(long, ' ') ELSE raw_query END AS core_terms, {_HINT_SQL} AS hint FROM none)
+SELECT query_id, core_terms, hint, md5('No datasets were found for ''' || raw_query || ''' across Kaggle, HuggingFace, and OpenML. Try ''' || core_terms || ' data'' or the task type ''' || hint || '''.') AS message FROM c""")
+def no_result_help(spark, sf_dir):
+    """Turns whose last word no document holds."""
+    q = _turns(spark, sf_dir)
+    held = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).distinct()
+    hits = q.withColumn("w", F.element_at(F.split("raw_query", r"\s+"), -1)).join(held, "w", "left_semi")
+    return understanding.no_result_help(q, hits).withColumn("message", F.md5("message"))
+
+
+@register(f"""WITH {_TURNS_SQL}, w AS (SELECT query_id, raw_query AS q, list_filter(regexp_split_to_array(raw_query, '\\s+'), lambda w: length(w) > 3) AS w FROM turns)
+SELECT query_id, md5(array_to_string(list_filter([CASE WHEN len(w) > 0 THEN q || ' benchmark' END, CASE WHEN len(w) > 0 THEN w[1] || ' labeled dataset' END, CASE WHEN len(w) > 1 THEN w[-1] || ' annotations' END, q || ' evaluation'], lambda x: x IS NOT NULL), ';')) AS suggestions FROM w""")
+def research_suggestions(spark, sf_dir):
+    return understanding.research_suggestions(_turns(spark, sf_dir)).withColumn("suggestions", F.md5(F.array_join("suggestions", ";")))
+
+
 @register()
 def enrich_terms(spark, sf_dir):
     """Expansion is a fold whose state decides what comes next; tests hold it against a plain loop, so rows only."""
     u = understanding.expand(understanding.understand(_turns(spark, sf_dir)))
-    return u.select("query_id", F.array_join("domains", ",").alias("domains"), F.array_join("expansion_terms", ",").alias("terms"), "expanded_query")
+    u = u.join(understanding.suggestions(u), "query_id")
+    return u.select("query_id", F.array_join("suggestions", ",").alias("suggestions"), F.array_join("domains", ",").alias("domains"), F.array_join("expansion_terms", ",").alias("terms"), "expanded_query")
 
 
 @register(f"""WITH {_TURNS_SQL}, p AS (SELECT query_id, [array_to_string(keywords[1:3], ' '), CASE WHEN len(keywords) > 3 THEN array_to_string(keywords[3:5], ' ') END, CASE WHEN len(keywords) > 3 THEN keywords[1] || ' ' || array_to_string(keywords[-2:], ' ') END] AS p FROM ng), f AS (SELECT query_id, list_filter(p, lambda x: x IS NOT NULL AND x <> '') AS p FROM p), d AS (SELECT query_id, list_filter(p, lambda x, i: list_position(p, x) = i) AS p FROM f)

@@ -116,7 +116,7 @@ def test_dedup_variants(spark):
     again = dedup.best_by_fingerprint(dedup.best_by_fingerprint(d))
     assert again.count() == 2
     r = dedup.duplicate_rows(spark.createDataFrame([(1,), (1,), (2,)], "x int")).first()
-    assert (r["duplicate_count"], r["duplicate_percentage"], r["warning"]) == (1, 33.33, True)
+    assert (r["duplicate_count"], r["duplicate_percentage"], r["warning"]) == (1, 33.33, True) and r["uniqueness_score"] == 66.67
 
 
 def test_profile_types(spark):
@@ -175,6 +175,33 @@ def test_understanding(spark):
     assert {r["query_id"] for r in understanding.short_queries(u).collect()} == {1, 2}
 
 
+def test_follow_ups_and_suggestions(spark):
+    said = ["plant disease images", "Show more", "only from one source", "in four words now please", "one that is long enough to stand alone", "", "show me"]
+    q = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)] + [(2, 0, "more"), (3, 0, None)], "session_id int, ts int, raw_query string")
+    got = {(r["session_id"], r["ts"]): r["merged_query"] for r in understanding.follow_ups(q).collect()}
+    assert [got[1, i] for i in range(7)] == [said[0], "plant disease images \u2014 Show more", "Show more only from one source", "only from one source in four words now please", said[4], "", "show me"]
+    assert got[2, 0] == "more" and got[3, 0] == ""
+    q = spark.createDataFrame([(1, "Detect the speech of birds"), (2, "a b"), (3, "known"), (4, None)], "query_id int, raw_query string")
+    r = {x["query_id"]: x for x in understanding.no_result_help(q, q.filter("query_id = 3")).collect()}
+    assert set(r) == {1, 2, 4} and (r[1]["core_terms"], r[1]["hint"]) == ("detect speech birds", "classification")
+    assert (r[2]["core_terms"], r[2]["hint"], r[4]["core_terms"]) == ("a b", "classification", "") and "'a b data'" in r[2]["message"]
+    r = {x["query_id"]: x["suggestions"] for x in understanding.research_suggestions(q).collect()}
+    assert r[1] == ["Detect the speech of birds benchmark", "detect labeled dataset", "birds annotations", "Detect the speech of birds evaluation"] and r[2] == ["a b evaluation"]
+    e = spark.createDataFrame([(1, ["a", "b", "c", "d"], ["x", "y", "z"]), (2, [], [])], "query_id int, keywords array<string>, domains array<string>")
+    assert {x["query_id"]: x["suggestions"] for x in understanding.suggestions(e).collect()} == {1: ["a b c benchmark", "x dataset", "y dataset"], 2: []}
+
+
+def test_result_evaluation_and_stage_counts(spark):
+    d = spark.createDataFrame([(1, 0.9, 1), (1, 0.1, 2), (1, 0.2, 3), (2, 0.3, 1)], "query_id int, composite double, rank int").withColumns({"adjusted": F.col("composite"), "candidates": F.lit(3)})
+    r = {x["query_id"]: x for x in ranking.evaluate_results(d).collect()}
+    assert (r[1]["sufficient"], r[1]["avg_score"], r[1]["issues"]) == (True, 0.4, ["Majority of results (2/3) below threshold"])
+    assert not r[2]["sufficient"] and r[2]["issues"] == ["Top score (0.30) below minimum threshold (0.40)", "Majority of results (1/1) below threshold"]
+    judged = spark.createDataFrame([(None,), (None,), (None,), ("source",)], "reject_reason string")
+    g = {x["query_id"]: x for x in ranking.diagnostics(judged, d, ["source"]).collect()}
+    assert (g[1]["total_input"], g[1]["total_after_filter"], g[1]["total_scored"], g[1]["total_ranked"], g[1]["filter_pass_rate"], g[1]["diversity_applied"], g[1]["confidence"]) == (4, 3, 3, 3, 0.75, False, "high")
+    assert g[2]["diversity_applied"] and g[2]["filters_applied"] == "source"
+
+
 def test_landed_dumps(spark, tmp_path):
     k = tmp_path / "k.json"
     k.write_text('{"ref": "o/leaf-images", "title": "null", "description": "54,000 images", "tags": ["Image"], "totalBytes": "1,000", "lastUpdated": "2020-01-02", "licenseName": "CC0"}\n{"ref": "bad"}\n{oops\n')
