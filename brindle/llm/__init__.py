@@ -8,8 +8,9 @@ _MODULES = (quality_rules, secrets, url_filter, mixing, quality_classifier, minh
 
 
 def queries() -> dict:
-    """The opN_<name> functions of the operator modules, by name."""
-    return {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
+    """The opN_<name> functions of the operator modules, by name, and the queries beside them."""
+    dealt = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
+    return dealt | {name: f for m in _MODULES for name, f in getattr(m, "QUERIES", {}).items()}
 
 
 def oracle_sql() -> dict[str, str]:

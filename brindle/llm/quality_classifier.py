@@ -8,7 +8,7 @@ The model is fitted on at most ``MAX_LABELLED`` labelled documents and ``MAX_PAI
 are parameters. Everything else is DataFrame functions over all documents, without a shuffle.
 
 Defined results: null and empty texts are measured as 0 words and scored like all others; without labels of both
-kinds every document scores 0.5; null labels teach nothing, and repeated label rows count once, with the smaller
+kinds every document scores 0.5; labels other than 0 and 1 (null too) teach nothing, and repeated label rows count once, with the smaller
 label; repeated documents are repeated in the result; an empty table gives an empty result; labels, language,
 source and id are no inputs of a score.
 """
@@ -105,7 +105,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Ranker:
     """A Ranker from the labelled rows outside the held-out fold; at most ``max_labelled`` rows reach the driver."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label_col).alias("y"))
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label_col).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     known = F.broadcast(known.select("doc_id", F.col("y").alias("__y")))
     sample = docs.select("doc_id", F.col(text_col).alias("text")).join(known, "doc_id")

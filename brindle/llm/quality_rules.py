@@ -49,6 +49,8 @@ class Policy:
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 PROSE = Policy("prose", 1, tuple(BIT))
+#: The second version lets texts in capitals and lively ones pass.
+PROSE_2 = Policy("prose", 2, tuple(r for r in BIT if r not in ("capitals", "exclamations")))
 
 
 def _pairs(a: Column, step: int) -> Column:
@@ -99,16 +101,17 @@ def passes(policy: Policy, bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
-def ablations(entries: DataFrame, policy: Policy = PROSE) -> DataFrame:
-    """(policy, version, rule, n_failed, n_only): documents that fail a rule of the policy, and those it alone rejects.
+def ablations(entries: DataFrame, *policies: Policy) -> DataFrame:
+    """(policy, version, rule, n_failed, n_only): documents that fail a rule of a policy, and those it alone rejects.
 
-    The ledger is first counted per bit pattern (at most 2 ** rules rows), with map-side partial sums.
+    The ledger is counted once per bit pattern (at most 2 ** rules rows), with map-side partial sums; all policies are
+    then applied to the patterns. An empty ledger gives an empty result.
     """
-    held = entries.groupBy(F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
-    named = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for r in sorted(set(policy.rules), key=BIT.get)])
-    each = held.withColumn("r", F.explode(named)).select("bits", "n", "r.*")
-    hit = F.col("bits").bitwiseAND(F.col("bit")) != 0
-    return each.groupBy("rule").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only")).select(F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"), "rule", "n_failed", "n_only")
+    held = entries.groupBy("failed_bits").agg(F.count("*").alias("n"))
+    named = F.array(*[F.struct(F.lit(p.name).alias("policy"), F.lit(p.version).alias("version"), F.lit(p.mask).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for p in policies for r in sorted(set(p.rules), key=BIT.get)])
+    each = held.withColumn("r", F.explode(named)).select("failed_bits", "n", "r.*")
+    hit, alone = F.col("failed_bits").bitwiseAND(F.col("bit")) != 0, F.col("failed_bits").bitwiseAND(F.col("mask")) == F.col("bit")
+    return each.groupBy("policy", "version", "rule").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n_only"))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -116,7 +119,15 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), passes(PROSE).alias("kept"), "failed_bits")
 
 
-ORACLE = {"op1_quality_rules": r"""
+def rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule decides in every policy, from one ledger of all documents."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), BASE, PROSE, PROSE_2)
+
+
+#: Queries beside the dealt one.
+QUERIES = {"rule_ablations": rule_ablations}
+
+_LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -131,6 +142,10 @@ a AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_capitals, n_exclamation
   FROM m LEFT JOIN cov ON m.doc_id = cov.doc_id),
 b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (2 * n_symbols > n_words)::INT
   + 8 * (10 * n_dup_lines > 6 * n_lines)::INT + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT
-  + 32 * (2 * n_capitals > word_chars)::INT + 64 * (2 * n_exclamations > n_words)::INT AS BIGINT) AS failed_bits FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
-"""}
+  + 32 * (2 * n_capitals > word_chars)::INT + 64 * (2 * n_exclamations > n_words)::INT AS BIGINT) AS failed_bits FROM a)"""
+
+_RULES_SQL = ", ".join(f"('{p.name}', {p.version}, {p.mask}, '{r}', {BIT[r]})" for p in (BASE, PROSE, PROSE_2) for r in p.rules)
+ORACLE = {
+    "op1_quality_rules": f"{_LEDGER_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b",
+    "rule_ablations": f"{_LEDGER_SQL}, p(policy, version, mask, rule, bit) AS (VALUES {_RULES_SQL}) SELECT policy, version, rule, sum(((failed_bits & bit) <> 0)::INT)::BIGINT AS n_failed, sum(((failed_bits & mask) = bit)::INT)::BIGINT AS n_only FROM b CROSS JOIN p GROUP BY ALL",
+}

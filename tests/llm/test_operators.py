@@ -53,7 +53,9 @@ def test_ablations_count_what_a_rule_decides_alone(spark):
     led = spark.createDataFrame([(1,), (3,), (2,), (0,), (1,)], "failed_bits long")
     got = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_rules.ablations(led, quality_rules.BASE).collect()}
     assert got == {"few_words": (3, 2), "repeated_windows": (2, 1)}
-    assert quality_rules.ledger(frame(spark, [])).count() == 0
+    both = {(r["version"], r["rule"]): (r["n_failed"], r["n_only"]) for r in quality_rules.ablations(spark.createDataFrame([(32,), (36,), (4,)], "failed_bits long"), quality_rules.PROSE, quality_rules.PROSE_2).collect()}
+    assert (both[1, "symbols"], both[2, "symbols"], both[1, "capitals"]) == ((2, 1), (2, 2), (2, 1)) and (2, "capitals") not in both
+    assert quality_rules.ledger(frame(spark, [])).count() == 0 == quality_rules.ablations(led.limit(0), quality_rules.PROSE).count()
 
 
 # ---- secrets
@@ -259,6 +261,29 @@ def test_classifier_learns_and_survives_odd_rows(spark):
     flat = quality_classifier.fit(d, labels.filter("quality = 1"))
     assert {r["score"] for r in quality_classifier.classify(d, flat).collect()} == {0.5}
     assert quality_classifier.accepted(d, ranker).columns == d.columns
+    odd = quality_classifier.fit(d, labels.withColumn("quality", F.col("quality") * 2))
+    assert {r["score"] for r in quality_classifier.classify(d, odd).collect()} == {0.5}
+    empty = d.limit(0)
+    assert quality_classifier.classify(empty, ranker).count() == 0 == quality_classifier.accepted(empty, ranker).count()
+
+
+def test_pairwise_fit_matches_plain_gradient_descent():
+    rng = np.random.default_rng(3)
+    n, f = 80, len(quality_classifier.FEATURES)
+    y = (rng.random(n) < 0.7).astype(int)
+    x = rng.normal(size=(n, f)) * 3 + 1 + y[:, None] * np.linspace(-1, 1, f)
+    got = quality_classifier.fit_pairs(x, y, ridge=0.01)
+    z = (x - x.mean(0)) / x.std(0)
+    draw = np.random.default_rng(7)
+    pairs = [(a, b) for a, b in zip(draw.choice([i for i in range(n) if y[i] == 1], 20 * n), draw.choice([i for i in range(n) if y[i] == 0], 20 * n))]
+    d = np.array([z[a] - z[b] for a, b in pairs])
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 0.005 * w @ w
+    w = np.zeros(f)
+    for _ in range(4000):
+        w += 0.1 * ((d / (1 + np.exp(d @ w))[:, None]).mean(0) - 0.01 * w)
+    assert np.allclose(got.weights, w, atol=1e-4) and loss(np.array(got.weights)) <= loss(w) + 1e-9
+    s, at = sorted(z @ np.array(got.weights)), quality_classifier.CAUTION * (n - y.sum()) / n * (n - 1)
+    assert abs(got.cut - (s[int(at)] + (at - int(at)) * (s[int(at) + 1] - s[int(at)]))) < 1e-9
 
 
 # ---- near duplicates
