@@ -95,7 +95,7 @@ def evaluate_results(spark, sf_dir):
 nth AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS candidates, row_number() OVER (PARTITION BY query_id, source ORDER BY gated, composite DESC, seq) AS nth FROM ps),
 adj AS (SELECT *, CASE WHEN candidates > 10 THEN composite * pow(0.7::DOUBLE, nth - 1) ELSE composite END AS adjusted FROM nth), ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, gated, composite DESC, seq) AS rank FROM adj) WHERE rank <= 10),
 r AS (SELECT query_id, count(*) AS total_ranked, max(candidates) AS total_scored, max(adjusted) FILTER (rank = 1) - max(adjusted) FILTER (rank = 2) AS gap FROM ranked GROUP BY query_id), j AS (SELECT count(*) AS total_input, count(*) FILTER (reject_reason IS NULL) AS total_after_filter FROM judged)
-SELECT query_id, total_input, total_after_filter, total_scored, total_ranked, round(total_after_filter / total_input, 3) AS filter_pass_rate, '{','.join(reason for reason, _ in _GATES.active())}' AS filters_applied, total_scored > total_ranked AS diversity_applied,
+SELECT query_id, total_input, total_after_filter, total_scored, total_ranked, round(total_after_filter / total_input, 3) AS filter_pass_rate, 'source,description,min_rows,max_rows,min_completeness,min_quality,non_commercial,required_modality,updated_after,task' AS filters_applied, total_scored > total_ranked AS diversity_applied,
   CASE WHEN total_ranked = 1 OR round(gap, 10) >= 0.2 THEN 'high' WHEN round(gap, 10) >= 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM r, j""")
 def pipeline_diagnostics(spark, sf_dir):
     ranked = ranking.rank(filters.passed(filters.judge(scored(spark, sf_dir), _GATES)), 10)

@@ -296,6 +296,15 @@ def test_entry_registers_queries():
     assert {"rank_diverse_topk", "bm25_topk", "profile_lineitem"} <= names and set(e.oracle_sql()) <= names
 
 
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True, timeout=120)
+
+
 @pytest.mark.parametrize("name", ["rank_diverse_topk", "search_plan"])
 def test_flagship_runs(spark, name):
     import os
