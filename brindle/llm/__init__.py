@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, neighbors, pieces, quality_classifier, quality_rules, secrets, sharding, suffixes, url_filter
+from . import exact_dedup, minhash, mixing, neighbors, periodic_runs, pieces, quality_classifier, quality_rules, secrets, sharding, spelling, suffixes, url_filter
 
-_MODULES = (quality_rules, secrets, url_filter, mixing, quality_classifier, minhash, neighbors, pieces, sharding, suffixes)
+_MODULES = (quality_rules, secrets, url_filter, mixing, quality_classifier, minhash, neighbors, pieces, sharding, suffixes, exact_dedup, periodic_runs, spelling)
 
 
 def queries() -> dict:

@@ -56,3 +56,10 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+#: CRC-32 of an ASCII or UTF-8 blob in DuckDB: a table of 256 steps and a fold over the bytes.
+CRC_TABLE = """crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({x}))),
+  lambda i: CAST('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, v: xor(c >> 8, steps[1 + (xor(c, v) & 255)])))"""
