@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,32 +9,12 @@ from . import vocab
 from .text import col
 
 
-def parsed(table: str) -> list[tuple[str, list[str]]]:
-    """``name: item, item`` lines; a line without a name goes on with the one before."""
-    out: list[tuple[str, str]] = []
-    for line in table.strip().splitlines():
-        if m := re.match(r"([^,:]+):(?: (.*))?$", line):
-            out.append((m[1], m[2] or ""))
-        else:
-            out[-1] = (out[-1][0], f"{out[-1][1]} {line}")
-    return [(name, [x.strip() for x in rest.split(",") if x.strip()]) for name, rest in out]
-
-
-def listed(table: str, sep: str = ",") -> list[str]:
-    return [x.strip() for x in table.replace("\n", " ").split(sep) if x.strip()]
-
-
-def keyword_rules(table: str) -> list[tuple[str, str]]:
-    """(keyword, value) in order."""
-    return [(k, v) for v, ks in parsed(table) for k in ks]
-
-
 #: Members of the vocabularies.
 DOMAINS = "computer_vision nlp tabular time_series audio multimodal geospatial medical finance scientific social other".split()
 FORMATS = "csv json jsonl parquet arrow images audio_files video hdf5 sqlite arff xlsx xml text other".split()
 LICENSES = "cc0 cc_by cc_by_sa cc_by_nc cc_by_nc_sa cc_by_nd mit apache_2 gpl_2 gpl_3 lgpl bsd proprietary unknown".split()
 MODALITIES = "text image audio video tabular time_series graph multimodal other".split()
-TASKS = [t for t, _ in parsed(vocab.TASK_NEEDS)]
+TASKS = list(vocab.TASK_NEEDS)
 #: Licenses that allow commercial use, and display names.
 COMMERCIAL = ("cc0", "cc_by", "cc_by_sa", "mit", "apache_2", "bsd")
 LICENSE_NAMES = {"cc0": "CC0 (Public Domain)", "cc_by": "CC BY 4.0", "cc_by_sa": "CC BY-SA 4.0", "cc_by_nc": "CC BY-NC 4.0", "cc_by_nc_sa": "CC BY-NC-SA 4.0", "cc_by_nd": "CC BY-ND 4.0", "mit": "MIT License", "apache_2": "Apache 2.0", "gpl_2": "GPL v2", "gpl_3": "GPL v3", "lgpl": "LGPL", "bsd": "BSD License", "proprietary": "Proprietary", "unknown": "Unknown"}
@@ -56,32 +34,32 @@ def _plain(c: Column | str, under: str = "") -> Column:
 
 
 def domain(c: Column | str) -> Column:
-    return by_rules(_plain(c, " "), DOMAINS, keyword_rules(vocab.DOMAIN_RULES), "other")
+    return by_rules(_plain(c, " "), DOMAINS, vocab.DOMAIN_RULES, "other")
 
 
 def data_format(c: Column | str) -> Column:
-    return by_rules(_plain(c), FORMATS, keyword_rules(vocab.FORMAT_RULES), "other")
+    return by_rules(_plain(c), FORMATS, vocab.FORMAT_RULES, "other")
 
 
 def license_type(c: Column | str) -> Column:
-    return by_rules(_plain(c), LICENSES, keyword_rules(vocab.LICENSE_RULES), "unknown")
+    return by_rules(_plain(c), LICENSES, vocab.LICENSE_RULES, "unknown")
 
 
 def task_type(c: Column | str) -> Column:
-    return by_rules(_plain(c, " -"), TASKS, keyword_rules(vocab.TASK_RULES), "other")
+    return by_rules(_plain(c, " -"), TASKS, vocab.TASK_RULES, "other")
 
 
 def modality(c: Column | str) -> Column:
-    return by_rules(_plain(c, " -"), MODALITIES, keyword_rules(vocab.MODALITY_RULES), "other")
+    return by_rules(_plain(c, " -"), MODALITIES, vocab.MODALITY_RULES, "other")
 
 
 def query_task_type(c: Column | str) -> Column:
     members = [t for t in TASKS if t not in ("relation_extraction", "coreference_resolution")] + ["unknown"]
-    return by_rules(_plain(c, " -"), members, keyword_rules(vocab.QUERY_TASK_RULES), "unknown")
+    return by_rules(_plain(c, " -"), members, vocab.QUERY_TASK_RULES, "unknown")
 
 
 def query_modality(c: Column | str) -> Column:
-    return by_rules(_plain(c, " -"), [*MODALITIES, "unknown"], keyword_rules(vocab.QUERY_MODALITY_RULES), "unknown")
+    return by_rules(_plain(c, " -"), [*MODALITIES, "unknown"], vocab.QUERY_MODALITY_RULES, "unknown")
 
 
 def commercial_use(c: Column | str) -> Column:
@@ -102,9 +80,8 @@ def tag_tasks(tags: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(col(tags), task_type), lambda x: x != "other"))
 
 
-FAMILY = {t: f for f, ts in parsed(vocab.TASK_FAMILIES) for t in ts}
-NEEDS = {t: ms for t, ms in parsed(vocab.TASK_NEEDS)}
-SERVES = {t: {x.rsplit(" ", 1)[0]: float(x.rsplit(" ", 1)[1]) for x in ms} for t, ms in parsed(vocab.TASK_SERVES)} | {t: dict.fromkeys(MODALITIES, 0.5) for t in ("other", "unknown")}
+FAMILY, NEEDS = vocab.TASK_FAMILIES, vocab.TASK_NEEDS
+SERVES = vocab.TASK_SERVES | {t: dict.fromkeys(MODALITIES, 0.5) for t in ("other", "unknown")}
 
 
 def literal_map(d: dict[str, str]) -> Column:

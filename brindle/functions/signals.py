@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .rules import listed, parsed
 from .text import col
 
 KINDS = ("image", "tabular", "text", "audio", "video")
@@ -19,15 +18,14 @@ CAPS = (0.40, 0.25, 0.25, 0.10)
 THRESHOLD, OPENML_FLOOR, OPENML_BELOW = 0.20, 0.30, 0.3
 
 
-def _hits(text: Column, table: str) -> Column:
+def _hits(text: Column, patterns: list[str]) -> Column:
     """How many of the patterns the text matches."""
-    patterns = [p for p in re.split(r"\s{2,}|\n", table.strip()) if p]
     return sum((F.when(text.rlike(p), 1).otherwise(0) for p in patterns[1:]), F.when(text.rlike(patterns[0]), 1).otherwise(0))
 
 
 def _points_to(kind: str):
     """Whether a tag, or the tag with underscores, holds a word of the kind."""
-    words = "|".join(re.escape(w) for w in listed(getattr(vocab, f"TAG_{kind.upper()}")))
+    words = "|".join(re.escape(w) for w in getattr(vocab, f"TAG_{kind.upper()}"))
     return lambda t: F.lower(t).rlike(words) | F.translate(F.lower(t), "- ", "__").rlike(words)
 
 
@@ -84,7 +82,7 @@ def region_bias(fields: dict[str, Column | str], word_boundary: bool = False) ->
     """struct<regions, evidence, confidence, single_region> from region words in named text fields."""
     texts = {name: F.lower(F.coalesce(col(c), F.lit(""))) for name, c in fields.items()}
     has = lambda t, w: t.rlike(rf"\b{re.escape(w)}\b") if word_boundary else F.contains(t, F.lit(w))
-    named = F.filter(F.array(*[F.when(has(t, w), F.struct(F.lit(region).alias("region"), F.lit(f"Found '{w}' in {name}").alias("evidence"))) for region, words in parsed(vocab.REGIONS) for name, t in texts.items() for w in words]), lambda x: x.isNotNull())
+    named = F.filter(F.array(*[F.when(has(t, w), F.struct(F.lit(region).alias("region"), F.lit(f"Found '{w}' in {name}").alias("evidence"))) for region, words in vocab.REGIONS.items() for name, t in texts.items() for w in words]), lambda x: x.isNotNull())
     return F.transform(F.array(named), lambda x: F.struct(F.array_distinct(F.transform(x, lambda y: y["region"])).alias("regions"), F.transform(x, lambda y: y["evidence"]).alias("evidence"), F.when(F.size(x) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.round(0.3 + F.size(x) * 0.1, 6))).alias("confidence"), (F.size(F.array_distinct(F.transform(x, lambda y: y["region"]))) == 1).alias("single_region")))[0]
 
 

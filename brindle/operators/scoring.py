@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, vocab
-from ..functions.rules import parsed
 from ..functions.text import age_days
 
 #: Weights, gates and normalisers of the score.
@@ -69,11 +68,11 @@ def description_match(keywords: Column) -> Column:
     """Share of the keywords that the record's text holds: 1 for the word or a synonym, 0.5 for its first five letters."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "description_short", "description")] + [F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("tags_primary", "task_types", "modalities")]
     full = F.lower(F.concat_ws(" ", *parts))
-    generic = [w for w in rules.listed(vocab.GENERIC_WORDS)]
+    generic = vocab.GENERIC_WORDS
     low = F.transform(keywords, lambda k: F.lower(k))
     special = F.filter(low, lambda k: ~k.isin(generic))
     used = F.when(F.size(special) > 0, special).otherwise(low)
-    synonyms = F.create_map(*[x for k, vs in parsed(vocab.MATCH_SYNONYMS) for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))])
+    synonyms = F.create_map(*[x for k, vs in vocab.MATCH_SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))])
 
     def points(text: Column, tokens: Column, k: Column) -> Column:
         near = F.exists(F.coalesce(synonyms[k], F.array().cast("array<string>")), lambda s: F.contains(text, s))

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, vocab
-from ..functions.rules import keyword_rules, listed, literal_map, parsed
+from ..functions.rules import literal_map
 from ..functions.text import plain_ascii
 
 MOST_CHARS = 500
 TASK_FLOOR, MODALITY_FLOOR, FULL = 0.40, 0.35, 1.5
 
 
-def signals(table: str) -> list[tuple[int, str, str, float]]:
+def signals(table: list[tuple[str, str, float]]) -> list[tuple[int, str, str, float]]:
     """(order, token, label, weight) of a rule table."""
-    return [(i, k.rsplit(" ", 1)[0], label, float(k.rsplit(" ", 1)[1])) for i, (k, label) in enumerate(keyword_rules(table))]
+    return [(i, *row) for i, row in enumerate(table)]
 
 
 def cleaned(raw: Column, fold_accents: bool = True) -> Column:
@@ -34,8 +34,8 @@ def grams(words: Column, n: int) -> Column:
 
 def understand(queries: DataFrame, raw: str = "raw_query", fold_accents: bool = True) -> DataFrame:
     """Queries with cleaned_text, tokens, keywords, normalized, bigrams and trigrams."""
-    replace = literal_map({k: v for v, ks in parsed(vocab.QUERY_SYNONYMS) for k in ks})
-    stop = listed(vocab.STOP_WORDS)
+    replace = literal_map(vocab.QUERY_SYNONYMS)
+    stop = vocab.STOP_WORDS
     q = queries.withColumn("cleaned_text", cleaned(F.col(raw), fold_accents))
     q = q.withColumn("tokens", F.filter(F.split("cleaned_text", r"\s+"), lambda t: F.length(t) >= 2))
     q = q.withColumn("keywords", F.filter("tokens", lambda t: ~t.isin(stop)))
@@ -43,7 +43,7 @@ def understand(queries: DataFrame, raw: str = "raw_query", fold_accents: bool =
     return q.withColumns({"bigrams": grams(F.col("normalized"), 2), "trigrams": grams(F.col("normalized"), 3)})
 
 
-def detect(understood: DataFrame, table: str, floor: float, name: str, unknown: str = "unknown") -> DataFrame:
+def detect(understood: DataFrame, table: list[tuple[str, str, float]], floor: float, name: str, unknown: str = "unknown") -> DataFrame:
     """(query_id, name, name_confidence): the label with the most weight of fired rules.
 
     Words and runs of words are exploded and joined to the broadcast rule table (some hundred rows).
@@ -73,7 +73,7 @@ def confidence_bucket(c: Column) -> Column:
 
 def phrases() -> list[tuple[int, str, list[str]]]:
     """Expansion phrases, longest first."""
-    ordered = sorted(parsed(vocab.EXPANSIONS), key=lambda x: -len(x[0]))
+    ordered = sorted(vocab.EXPANSIONS.items(), key=lambda x: -len(x[0]))
     return [(i, p, terms) for i, (p, terms) in enumerate(ordered)]
 
 
@@ -104,8 +104,7 @@ def expand(queries: DataFrame, text_col: str = "cleaned_text", each: int = 4, mo
 
 def provider_weights(text: Column) -> Column:
     """struct<huggingface, kaggle, openml>: boosts by maximum and penalties by minimum, in rule order."""
-    rows = [r.split() for r in listed(vocab.PROVIDER_WEIGHTS, ";")]
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(w)) for w in ws]).alias("w")) for k, *ws in rows])
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(w) for w in ws]).alias("w")) for k, *ws in vocab.PROVIDER_WEIGHTS])
     low = F.lower(F.coalesce(text, F.lit("")))
     step = lambda s, r: F.zip_with(s, r["w"], lambda a, b: F.when(b > 1.0, F.greatest(a, b)).otherwise(F.least(a, b)))
     w = F.aggregate(F.filter(table, lambda r: F.contains(low, r["k"])), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)), step)
@@ -154,7 +153,7 @@ def follow_ups(queries: DataFrame, session: str = "session_id", order: tuple[str
     d = queries.withColumn("previous_query", F.lag(raw).over(Window.partitionBy(session).orderBy(*order)))
     now, before = stripped(raw), stripped("previous_query")
     n = F.size(word_list(now))
-    refines = F.lower(now).isin(*listed(vocab.REFINEMENTS)) | (n <= 3)
+    refines = F.lower(now).isin(*vocab.REFINEMENTS) | (n <= 3)
     joined = F.when(refines, F.concat(before, F.lit(" \u2014 "), now)).when(n < 6, F.concat(before, F.lit(" "), now)).otherwise(now)
     return d.withColumn("merged_query", F.when((now == "") | (before == ""), now).otherwise(joined))
 
@@ -168,7 +167,7 @@ def no_result_help(queries: DataFrame, hits: DataFrame, raw: str = "raw_query",
     none = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     q = F.coalesce(F.col(raw), F.lit(""))
     long = F.slice(F.filter(word_list(stripped(F.lower(q))), lambda w: F.length(w) > 3), 1, 3)
-    hint = F.coalesce(*[F.when(F.lower(q).rlike("|".join(stems)), task) for task, stems in parsed(vocab.TASK_STEMS)], F.lit("classification"))
+    hint = F.coalesce(*[F.when(F.lower(q).rlike("|".join(stems)), task) for task, stems in vocab.TASK_STEMS.items()], F.lit("classification"))
     d = none.select("query_id", q.alias("q"), F.when(F.size(long) > 0, F.array_join(long, " ")).otherwise(q).alias("core_terms"), hint.alias("hint"))
     return d.select("query_id", "core_terms", "hint", F.format_string("No datasets were found for '%s' across %s. Try '%s data' or the task type '%s'.", "q", F.lit(sources), "core_terms", "hint").alias("message"))
 

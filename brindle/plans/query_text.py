@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, signals, text, vocab
-from ..functions.rules import keyword_rules, listed, parsed
 from ..operators import understanding
 from .catalog_view import table
 
@@ -27,8 +26,8 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _rules_sql(x: str, members: list[str], table_: str, default: str) -> str:
-    tried = " ".join(f"WHEN contains({x}, {_q(k)}) THEN {_q(v)}" for k, v in keyword_rules(table_))
+def _rules_sql(x: str, members: list[str], table_: list[tuple[str, str]], default: str) -> str:
+    tried = " ".join(f"WHEN contains({x}, {_q(k)}) THEN {_q(v)}" for k, v in table_)
     return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {_q(default)} WHEN {x} IN ({', '.join(map(_q, members))}) THEN {x} {tried} ELSE {_q(default)} END"
 
 
@@ -60,10 +59,8 @@ def pii_redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact("text")).alias("redacted"))
 
 
-def _hits_sql(x: str, table_: str) -> str:
-    import re
-
-    return " + ".join(f"regexp_matches({x}, {_q(p)})::INT" for p in re.split(r"\s{2,}|\n", table_.strip()) if p)
+def _hits_sql(x: str, patterns: list[str]) -> str:
+    return " + ".join(f"regexp_matches({x}, {_q(p)})::INT" for p in patterns)
 
 
 def _modality_sql() -> str:
@@ -88,7 +85,7 @@ def modality_detect(spark, sf_dir):
 
 
 def _region_sql() -> str:
-    hits = [f"CASE WHEN contains({f}, {_q(w)}) THEN {_q(r)} END" for r, ws in parsed(vocab.REGIONS) for f in ("d", "t") for w in ws]
+    hits = [f"CASE WHEN contains({f}, {_q(w)}) THEN {_q(r)} END" for r, ws in vocab.REGIONS.items() for f in ("d", "t") for w in ws]
     return f"WITH x AS (SELECT conv_id, turn, lower(text) AS d, lower(role || ' naro ' || CASE WHEN conv_id % 5 = 0 THEN 'kenya' ELSE '' END) AS t FROM conversations), h AS (SELECT conv_id, turn, list_filter([{', '.join(hits)}], lambda r: r IS NOT NULL) AS h FROM x) SELECT conv_id, turn, len(h) AS hits, len(list_distinct(h)) AS regions, round(CASE WHEN len(h) = 0 THEN 0.0 ELSE least(1.0, 0.3 + len(h) * 0.1) END, 4) AS confidence, len(list_distinct(h)) = 1 AS single_region FROM h"
 
 
@@ -110,15 +107,15 @@ def count_extract(spark, sf_dir):
 @register(f"""WITH a AS (SELECT conv_id, turn, regexp_split_to_array(text, '[.\n]+') AS a FROM conversations WHERE role = 'user'), s AS (SELECT conv_id, turn, unnest(a) AS raw_query, generate_subscripts(a, 1) - 1 AS i FROM a),
 l AS (SELECT *, lag(raw_query) OVER (PARTITION BY conv_id ORDER BY turn, i) AS previous_query FROM s), t AS (SELECT *, regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g') AS now, regexp_replace(coalesce(previous_query, ''), '^\\s+|\\s+$', '', 'g') AS before FROM l),
 n AS (SELECT *, len(regexp_split_to_array(now, '\\s+')) AS n FROM t)
-SELECT conv_id, turn, i::INT AS i, previous_query, CASE WHEN now = '' OR before = '' THEN now WHEN n <= 3 OR lower(now) IN ({', '.join(map(_q, listed(vocab.REFINEMENTS)))}) THEN before || ' ' || chr(8212) || ' ' || now WHEN n < 6 THEN before || ' ' || now ELSE now END AS merged_query FROM n""")
+SELECT conv_id, turn, i::INT AS i, previous_query, CASE WHEN now = '' OR before = '' THEN now WHEN n <= 3 OR lower(now) IN ({', '.join(map(_q, vocab.REFINEMENTS))}) THEN before || ' ' || chr(8212) || ' ' || now WHEN n < 6 THEN before || ' ' || now ELSE now END AS merged_query FROM n""")
 def session_followups(spark, sf_dir):
     u = table(spark, sf_dir, "conversations").filter("role = 'user'")
     u = u.select("conv_id", "turn", F.posexplode(F.split("text", "[.\n]+")).alias("i", "raw_query"))
     return understanding.follow_ups(u, "conv_id", ("turn", "i")).select("conv_id", "turn", "i", "previous_query", "merged_query")
 
 
-_STOP = "(" + ", ".join(_q(w) for w in listed(vocab.STOP_WORDS)) + ")"
-_SYN = "map_from_entries([" + ", ".join(f"({_q(k)}, {_q(v)})" for v, ks in parsed(vocab.QUERY_SYNONYMS) for k in ks) + "])"
+_STOP = "(" + ", ".join(_q(w) for w in vocab.STOP_WORDS) + ")"
+_SYN = "map_from_entries([" + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in vocab.QUERY_SYNONYMS.items()) + "])"
 #: Turns as queries: each gets words that rules know, chosen by its numbers.
 _TAILS = ["house price prediction", "crop disease image detection", "hindi speech recognition", "sentiment of reviews", "the forecast of stock", "tabular fraud table"]
 _TURNS_SQL = f"""turns AS (SELECT conv_id * 1000 + turn AS query_id, [{', '.join(map(_q, _TAILS))}][CAST((conv_id + turn) % 6 AS INT) + 1] || ' ' || regexp_replace(lower(trim(text)), '[^ -~]', '', 'g') AS raw_query FROM conversations),
@@ -140,7 +137,7 @@ def query_clean(spark, sf_dir):
     return u.select("query_id", "cleaned_text", *[F.array_join(c, " ").alias(c) for c in ("keywords", "normalized", "bigrams", "trigrams")])
 
 
-def _detect_sql(table_: str, floor: float, name: str) -> str:
+def _detect_sql(table_: list[tuple[str, str, float]], floor: float, name: str) -> str:
     rows = ", ".join(f"({i}, {_q(k)}, {_q(v)}, {w}::DOUBLE)" for i, k, v, w in understanding.signals(table_))
     return f"""WITH {_TURNS_SQL}, rules(o, token, label, weight) AS (VALUES {rows}), said AS (SELECT DISTINCT query_id, unnest(list_concat(normalized, bigrams, trigrams)) AS token FROM ng),
 per AS (SELECT query_id, label, round(sum(weight), 6) AS w, min(o) AS o FROM said JOIN rules USING (token) GROUP BY ALL), best AS (SELECT query_id, arg_min(label, (-w, o)) AS label, round(least(max(w) / 1.5, 1.0), 3) AS share FROM per GROUP BY query_id)
@@ -160,8 +157,7 @@ def modality_of_queries(spark, sf_dir):
 
 
 def _weights_sql() -> str:
-    rows = [r.split() for r in listed(vocab.PROVIDER_WEIGHTS, ";")]
-    table_ = "[" + ", ".join(f"{{'k': {_q(k)}, 'w': [{', '.join(f'{float(w)}::DOUBLE' for w in ws)}]}}" for k, *ws in rows) + "]"
+    table_ = "[" + ", ".join(f"{{'k': {_q(k)}, 'w': [{', '.join(f'{w}::DOUBLE' for w in ws)}]}}" for k, *ws in vocab.PROVIDER_WEIGHTS) + "]"
     fold = lambda i: f"list_reduce(list_transform(h, lambda r: r.w[{i}]), lambda a, b: CASE WHEN b > 1.0 THEN greatest(a, b) ELSE least(a, b) END, 1.0::DOUBLE)"
     return f"WITH {_TURNS_SQL}, hits AS (SELECT query_id, list_filter({table_}, lambda r: contains(cleaned_text, r.k)) AS h FROM ng) SELECT query_id, {fold(1)} AS huggingface, {fold(2)} AS kaggle, {fold(3)} AS openml FROM hits"
 
@@ -172,7 +168,7 @@ def provider_weights(spark, sf_dir):
     return u.withColumn("w", understanding.provider_weights(F.col("cleaned_text"))).select("query_id", "w.huggingface", "w.kaggle", "w.openml")
 
 
-_HINT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(raw_query), {_q('|'.join(stems))}) THEN {_q(task)}" for task, stems in parsed(vocab.TASK_STEMS)) + " ELSE 'classification' END"
+_HINT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(raw_query), {_q('|'.join(stems))}) THEN {_q(task)}" for task, stems in vocab.TASK_STEMS.items()) + " ELSE 'classification' END"
 
 
 @register(f"""WITH {_TURNS_SQL}, held AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\\s]+')) AS w FROM documents), none AS (SELECT *, list_filter(string_split(trim(regexp_replace(raw_query, '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 3)[1:3] AS long FROM turns WHERE regexp_split_to_array(raw_query, '\\s+')[-1] NOT IN (SELECT w FROM held)),
