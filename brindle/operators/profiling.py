@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stages import ranged, small, staged
+
 #: Names that hint at a target or an id, and thresholds of semantic types.
 TARGET_HINTS = "target label labels class classes y output result outcome response dependent survived churn fraud diagnosis disease price salary score rating".split()
 ID_NAMES = "id idx index uuid guid key user_id item_id product_id customer_id".split()
@@ -32,53 +34,141 @@ def _number(df: DataFrame, c: str) -> Column:
     return F.when(v.cast("string").rlike(NUMBER), v.cast("string").try_cast("double")) if _is(df, c, T.StringType) else F.lit(None).cast("double")
 
 
+def value_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(dataset, column, position, kind, v, x, n): how often each value occurs in each column of each table.
+
+    ``v`` is the value as text, null for nulls and nan, ``x`` its number if it is one. All tables are unpivoted into one
+    grouping, which has partial sums and spreads over all values; each table is read once.
+    """
+    every = None
+    for name, df in tables.items():
+        wanted = (columns or {}).get(name) or df.columns
+        cells = [F.struct(F.lit(c).alias("column"), F.lit(df.columns.index(c) if not columns else i).alias("position"), F.lit(_kind(df, c)).alias("kind"), _value(df, c).cast("string").alias("v"), (_number(df, c) + F.lit(0.0)).alias("x")) for i, c in enumerate(wanted)]
+        one = df.select(F.lit(name).alias("dataset"), F.explode(F.array(*cells)).alias("u")).select("dataset", "u.*")
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("dataset", "column", "position", "kind", "v", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], probabilities: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(by, q): linearly interpolated quantiles of ``x``, given ``counts`` (by, x, n).
+
+    Rank selection: the counts are split into ranges of (by, x); sums per range, added up over the ranges, tell in which
+    range each wanted rank lies, and only those ranges are gone through. No task has more than one range of a column.
+    """
+    parts = ranged(counts.filter("x IS NOT NULL").select(*by, "x", "n"), *by, "x")
+    sums = parts.groupBy("part", *by).agg(F.sum("n").alias("held"))
+    w = Window.partitionBy(*by).orderBy("part")
+    sums = sums.withColumns({"until": F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("held").over(Window.partitionBy(*by))})
+    sums = staged(sums.withColumn("before", F.col("until") - F.col("held")))
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), f(place(p)).cast("long").alias("rank"), (place(p) - F.floor(place(p))).alias("share")) for i, p in enumerate(probabilities) for k, f in enumerate((F.floor, F.ceil))])
+    wanted = sums.select("part", *by, "before", "until", F.explode(ranks).alias("r")).select("part", *by, "before", "until", "r.*").filter("rank >= before AND rank < until")
+    wanted = staged(wanted)
+    within = Window.partitionBy("part", *by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = parts.join(small(wanted.select("part", *by, "before").distinct()), ["part", *by]).withColumn("upto", F.col("before") + F.sum("n").over(within))
+    hit = near.drop("before").join(small(wanted.drop("before", "until")), ["part", *by]).filter("rank < upto AND rank >= upto - n")
+    pair = hit.groupBy(*by, "i").agg(F.max(F.when(F.col("k") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("k") == 1, F.col("x"))).alias("high"), F.first("share").alias("share"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
+    return pair.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("q")))), lambda e: e["q"]).alias("q"))
+
+
+def _semantic_type(float_id: bool) -> Column:
+    """Type of a column from its measures (H1)."""
+    share = F.col("share")
+    numeric = F.when((share >= ID_SHARE) & (F.lit(float_id) | (F.col("kind") != "float")), "id").otherwise("numeric")
+    by_share = F.when(share >= ID_SHARE, "id").when(share <= FEW_SHARE, "categorical").when(share <= SOME_SHARE, "text").when(F.col("len") > LONG_TEXT, "text").otherwise("categorical")
+    return (
+        F.when(F.col("n") == 0, "unknown").when(F.col("kind") == "boolean", "boolean").when(F.col("kind").isin("int", "float"), numeric).when(F.col("kind") == "time", "datetime")
+        .when(F.col("kind") != "string", "unknown").when(F.col("bool"), "boolean").when(F.col("nums") > 0.9 * F.col("n"), numeric).when(F.col("dates") > 0.8 * F.col("n"), "datetime").otherwise(by_share)
+    )
+
+
+def _measured(counts: DataFrame) -> DataFrame:
+    """Measures of each column from the counts of its values."""
+    key, text = ["dataset", "column", "position", "kind"], F.col("kind") == "string"
+    n, x = F.col("n"), F.col("x")
+    s = F.lower(F.trim("v"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    sets = [F.coalesce(F.bool_and(s.isin(*pair)), F.lit(False)) for pair in (("true", "false"), ("yes", "no"), ("0", "1"))]
+    one = counts.groupBy(*key).agg(
+        F.sum("n").alias("rows"), of(F.col("v").isNotNull()).alias("n"), F.count("v").alias("d"), of(x.isNotNull()).alias("nums"), F.try_divide(F.sum(x * n), of(x.isNotNull())).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.try_divide(of(x == 0), of(x.isNotNull())).alias("zero"), F.try_divide(of(x < 0), of(x.isNotNull())).alias("neg"), of(text & F.col("v").rlike(DATE)).alias("dates"), F.try_divide(F.sum(F.length("v") * n), of(F.col("v").isNotNull())).alias("len"),
+        (F.first("kind") == "string").alias("is_text"), (sets[0] | sets[1] | sets[2]).alias("sets"),
+    )
+    one = staged(one.withColumn("bool", F.col("is_text") & F.col("sets")).drop("is_text", "sets"))
+    # deviations from the mean in a second pass over the counts
+    off = counts.filter("x IS NOT NULL").join(small(one.select("dataset", "column", "mean", "nums")), ["dataset", "column"])
+    spread = off.groupBy("dataset", "column").agg(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("ss"), F.first("nums").alias("m"))
+    std = spread.select("dataset", "column", F.when(F.col("m") > 1, F.sqrt(F.col("ss") / (F.col("m") - 1))).alias("std"))
+    return one.join(std, ["dataset", "column"], "left").withColumn("std", F.coalesce("std", F.lit(0.0)))
+
+
+def profile_counts(counts: DataFrame, float_id: bool = True) -> DataFrame:
+    """Profiles of all columns of all tables from ``value_counts``: one row a dataset and column.
+
+    The counts are staged once and gone through three times: measures, deviations, and ranks of the quantiles, these of
+    columns of numeric type only.
+    """
+    counts = staged(counts)
+    p = _measured(counts)
+    p = p.withColumn("share", F.coalesce(F.try_divide("d", "rows"), F.lit(0.0)))
+    p = staged(p.withColumn("type", _semantic_type(float_id)))
+    numeric = p.filter("type = 'numeric' AND nums > 0").select("dataset", "column")
+    q = exact_quantiles(counts.join(small(numeric), ["dataset", "column"], "left_semi"), ["dataset", "column"])
+    return _reported(p.join(q, ["dataset", "column"], "left"))
+
+
+def _reported(p: DataFrame) -> DataFrame:
+    """The profile's columns from measures, type and quantiles."""
+    stat = lambda c, k=4: F.when((F.col("type") == "numeric") & (F.col("nums") > 0), F.round(c, k))
+    low = F.lower(F.trim("column"))
+    return p.select(
+        "dataset", "column", "position", "type", F.col("rows").alias("total_count"), (F.col("rows") - F.col("n")).alias("null_count"), F.when(F.col("rows") > 0, F.round((F.col("rows") - F.col("n")) * 100.0 / F.col("rows"), 2)).otherwise(100.0).alias("missing_percentage"),
+        F.col("d").alias("unique_count"), F.round("share", 4).alias("cardinality_ratio"), stat(F.col("mean")).alias("mean"), stat(F.col("std")).alias("std"), stat(F.col("min")).alias("min"), stat(F.col("max")).alias("max"),
+        stat(F.get("q", 1)).alias("median"), stat(F.get("q", 0)).alias("q25"), stat(F.get("q", 2)).alias("q75"), stat(F.col("zero") * 100, 2).alias("zeros_percentage"), stat(F.col("neg") * 100, 2).alias("negatives_percentage"),
+        F.exists(F.array(*[F.lit(h) for h in TARGET_HINTS]), lambda h: F.contains(low, h)).alias("is_likely_target"), ((F.col("type") == "id") | low.isin(*ID_NAMES)).alias("is_likely_id"),
+    )
+
+
 def profile(df: DataFrame, float_id: bool = True, mode: str = "exact", columns: list[str] | None = None) -> DataFrame:
     """One row a column: counts, semantic type, numeric statistics, hints (H1-H4, H7).
 
-    All measures of all columns come from one aggregation, so the table is read once; distinct counts are exact, or
-    HyperLogLog with ``mode="approx"`` (then also approximate percentiles). Exact distinct counts go through an
-    unpivoted (column, value) grouping, which has partial aggregation and spreads over all values.
+    ``exact`` counts all values of all columns in one grouping (``profile_counts``); a table without rows has a row for
+    each column too. ``approx`` is one pass of sketches: HyperLogLog counts and approximate percentiles.
     """
     names = columns or df.columns
-    exact = mode == "exact"
+    if mode == "approx":
+        return _reported(_sketched(df, names).withColumn("type", _semantic_type(float_id))).drop("dataset")
+    out = profile_counts(value_counts({"": df}, {"": names}), float_id).drop("dataset")
+    return _with_all(out, df, names)
+
+
+def _with_all(profiled: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
+    """The profile, and rows of unknown type for columns of a table that has no rows."""
+    if not df.isEmpty():
+        return profiled
+    none = _reported(_sketched(df, names).withColumn("type", F.lit("unknown"))).drop("dataset")
+    return profiled.unionByName(none)
+
+
+def _sketched(df: DataFrame, names: list[str]) -> DataFrame:
+    """Measures of all columns in one pass, by sketches where exact ones would need all values."""
     measures = []
     for i, c in enumerate(names):
         v, x = _value(df, c), _number(df, c)
         s = F.lower(F.trim(v.cast("string")))
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx(x, [0.25, 0.5, 0.75], 1000)
         text = _is(df, c, T.StringType)
         sets = [F.coalesce(F.bool_and(s.isin(*pair)), F.lit(False)) for pair in (("true", "false"), ("yes", "no"), ("0", "1"))] if text else []
         measures += [
-            F.count(v).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), q.alias(f"q{i}"),
-            F.avg((x == 0).cast("double")).alias(f"zero{i}"), F.avg((x < 0).cast("double")).alias(f"neg{i}"), F.count(x).alias(f"nums{i}"),
+            F.count(v).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}"),
+            F.avg((x == 0).cast("double")).alias(f"zero{i}"), F.avg((x < 0).cast("double")).alias(f"neg{i}"), F.count(x).alias(f"nums{i}"), F.approx_count_distinct(v).alias(f"d{i}"),
             (F.count_if(s.rlike(DATE)) if text else F.lit(0).cast("bigint")).alias(f"dates{i}"), F.avg(F.length(v.cast("string"))).alias(f"len{i}"), (sets[0] | sets[1] | sets[2] if text else F.lit(False)).alias(f"bool{i}"),
         ]
-        if not exact:
-            measures.append(F.approx_count_distinct(v).alias(f"d{i}"))
     one = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-    fields = ["n", "mean", "std", "min", "max", "zero", "neg", "nums", "dates", "len", "bool"] + ([] if exact else ["d"])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(_kind(df, c)).alias("kind"), F.col(f"q{i}").cast("array<double>").alias("q"), *[F.col(f"{f}{i}").alias(f) for f in fields]) for i, c in enumerate(names)])
+    fields = ["n", "mean", "std", "min", "max", "zero", "neg", "nums", "dates", "len", "bool", "d"]
+    each = F.array(*[F.struct(F.lit("").alias("dataset"), F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(_kind(df, c)).alias("kind"), F.col(f"q{i}").cast("array<double>").alias("q"), *[F.col(f"{f}{i}").alias(f) for f in fields]) for i, c in enumerate(names)])
     p = one.select("rows", F.explode(each).alias("p")).select("rows", "p.*")
-    if exact:
-        values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _value(df, c).cast("string").alias("v")) for c in names])).alias("u")).select("u.*").filter("v IS NOT NULL")
-        p = p.join(values.groupBy("column", "v").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("d")), "column", "left")
-    d = F.coalesce(F.col("d"), F.lit(0))
-    share = F.coalesce(F.try_divide(d, "rows"), F.lit(0.0))
-    numeric = F.when((share >= ID_SHARE) & (F.lit(float_id) | (F.col("kind") != "float")), "id").otherwise("numeric")
-    by_share = F.when(share >= ID_SHARE, "id").when(share <= FEW_SHARE, "categorical").when(share <= SOME_SHARE, "text").when(F.col("len") > LONG_TEXT, "text").otherwise("categorical")
-    kind = (
-        F.when(F.col("n") == 0, "unknown").when(F.col("kind") == "boolean", "boolean").when(F.col("kind").isin("int", "float"), numeric).when(F.col("kind") == "time", "datetime")
-        .when(F.col("kind") != "string", "unknown").when(F.col("bool"), "boolean").when(F.col("nums") > 0.9 * F.col("n"), numeric).when(F.col("dates") > 0.8 * F.col("n"), "datetime").otherwise(by_share)
-    )
-    p = p.withColumn("type", kind)
-    stat = lambda c, k=4: F.when((F.col("type") == "numeric") & (F.col("nums") > 0), F.round(c, k))
-    low = F.lower(F.trim("column"))
-    return p.select(
-        "column", "position", "type", F.col("rows").alias("total_count"), (F.col("rows") - F.col("n")).alias("null_count"), F.when(F.col("rows") > 0, F.round((F.col("rows") - F.col("n")) * 100.0 / F.col("rows"), 2)).otherwise(100.0).alias("missing_percentage"),
-        d.alias("unique_count"), F.round(share, 4).alias("cardinality_ratio"), stat(F.col("mean")).alias("mean"), stat(F.col("std")).alias("std"), stat(F.col("min")).alias("min"), stat(F.col("max")).alias("max"),
-        stat(F.get("q", 1)).alias("median"), stat(F.get("q", 0)).alias("q25"), stat(F.get("q", 2)).alias("q75"), stat(F.col("zero") * 100, 2).alias("zeros_percentage"), stat(F.col("neg") * 100, 2).alias("negatives_percentage"),
-        F.exists(F.array(*[F.lit(h) for h in TARGET_HINTS]), lambda h: F.contains(low, h)).alias("is_likely_target"), ((F.col("type") == "id") | low.isin(*ID_NAMES)).alias("is_likely_id"),
-    )
+    return p.withColumn("share", F.coalesce(F.try_divide("d", "rows"), F.lit(0.0)))
 
 
 def _kind(df: DataFrame, c: str) -> str:
@@ -186,13 +276,9 @@ def fixes(profiled: DataFrame, balance: DataFrame, duplicates: DataFrame, most:
     return every.select(F.row_number().over(Window.orderBy("g", "i")).alias("place"), "fix")  # over at most ``most`` rows
 
 
-def profile_many(tables: dict[str, DataFrame], **options) -> DataFrame:
-    """Profiles of several tables in one frame."""
-    out = None
-    for name, df in tables.items():
-        one = profile(df, **options).withColumn("dataset", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def profile_many(tables: dict[str, DataFrame], float_id: bool = True) -> DataFrame:
+    """Profiles of several tables, told apart by ``dataset``, from one grouping over all their values."""
+    return profile_counts(value_counts(tables), float_id)
 
 
 def class_summary(classes: DataFrame, by: list[str]) -> DataFrame:

@@ -171,16 +171,6 @@ def in_order(wanted: DataFrame, catalog: DataFrame, id_col: str = "canonical_id"
     return each.join(catalog, id_col).orderBy("query_id", "pos")
 
 
-def field_search(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, float], k: int) -> DataFrame:
-    """Best single field's boosted BM25 (D16): fields maps a text column to its boost."""
-    parts = [bm25_scores(queries, docs, id_col, f).select("query_id", "doc", (F.col("score") * b).alias("score")) for f, b in fields.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = every.groupBy("query_id", "doc").agg(F.round(F.max("score"), 6).alias("score"))
-    return top_k(best.filter("score > 0"), k, [F.desc("score"), F.col("doc")])
-
-
 def like_search(catalog: DataFrame, words: str, limit: int, offset: int = 0, filters: Column | None = None) -> DataFrame:
     """Substring search without case over title, description and tags, most complete first."""
     like = f"%{words}%"

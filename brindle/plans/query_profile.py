@@ -103,6 +103,16 @@ def dup_hashes(spark, sf_dir):
 _P = _profile_sql("orders", TABLES["orders"])
 
 
+MANY = ("orders", "part", "customer", "supplier", "events")
+
+
+@register(" UNION ALL ".join(f"SELECT '{t}' AS dataset, * FROM ({_profile_sql(t, TABLES[t])})" for t in MANY))
+def profile_many(spark, sf_dir):
+    """Five tables profiled in one grouping over all their values."""
+    p = profiling.profile_many({t: table(spark, sf_dir, t).select(*TABLES[t]) for t in MANY})
+    return p.withColumns({c: F.round(c, 2) for c in ("mean", "std")})
+
+
 @register(f"WITH p AS ({_P}) SELECT count(*) AS total_columns, count(*) FILTER (type = 'numeric') AS numeric_columns, count(*) FILTER (type = 'categorical') AS categorical_columns, count(*) FILTER (type = 'text') AS text_columns, count(*) FILTER (type = 'datetime') AS datetime_columns, count(*) FILTER (type = 'id') AS id_columns, count(*) FILTER (type = 'boolean') AS boolean_columns, round(avg(missing_percentage), 2) AS overall_missing, round(100 - avg(missing_percentage), 2) AS completeness_score FROM p")
 def table_rollup(spark, sf_dir):
     return profiling.table_rollup(profiling.profile(table(spark, sf_dir, "orders"), columns=list(TABLES["orders"])))

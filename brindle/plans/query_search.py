@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import explain, filters, ranking, retrieval, scoring
+from ..operators import explain, filters, inverted, ranking, retrieval, scoring, stages
 from .catalog_view import AS_OF, CATALOG_SQL, catalog, table
 from .query_catalog import _GATES, _JUDGED_SQL, WITH
 
@@ -165,6 +167,18 @@ def bm25_topk(spark, sf_dir):
     return d.select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _new_folder(spark) -> str:
+    return f"{stages.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+@register(f"{_BM25_SQL} SELECT query_id, doc, round(1e-9 + score, 4) AS score, rank FROM bt WHERE rank <= 20")
+def bm25_stored(spark, sf_dir):
+    """The same as bm25_topk, from an index that is written first and read by the buckets of the terms."""
+    inverted.write_index(table(spark, sf_dir, "documents"), "doc_id", {"text": False}, path := _new_folder(spark))
+    d = inverted.stored_top(spark, path, asked(spark), 20)
+    return d.select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @register(f"{_BM25_SQL} SELECT query_id, doc_id AS doc, round(1e-9 + coalesce(score, 0), 4) AS score FROM asked CROSS JOIN documents LEFT JOIN bm USING (query_id) WHERE bm.doc = doc_id OR bm.doc IS NULL".replace(" LEFT JOIN bm USING (query_id) WHERE bm.doc = doc_id OR bm.doc IS NULL", " LEFT JOIN bm ON bm.query_id = asked.query_id AND bm.doc = doc_id").replace("SELECT query_id, doc_id AS doc", "SELECT asked.query_id, doc_id AS doc"))
 def bm25_all(spark, sf_dir):
     return retrieval.bm25_all(asked(spark), table(spark, sf_dir, "documents"), "doc_id", "text").select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"))
@@ -230,14 +244,38 @@ def hybrid_fallback(spark, sf_dir):
     return retrieval.hybrid(asked(spark), text, vector.filter("query_id <> 2"), 10, _n_docs(spark, sf_dir)).select("query_id", "id", "mode")
 
 
-@register(f"""{WITH}, {_ASKED_SQL}, fields AS (SELECT seq AS doc, 'title' AS f, 3.0 AS boost, {_TOK.format('title')} AS t FROM catalog UNION ALL SELECT seq, 'description', 1.0, {_TOK.format('description')} FROM catalog),
-st AS (SELECT f, count(*) AS n, avg(len(t)) AS avgdl FROM fields GROUP BY f), tf AS (SELECT f, boost, term, doc, dl, count(*) AS tf FROM (SELECT f, boost, doc, len(t) AS dl, unnest(t) AS term FROM fields) GROUP BY ALL),
-raw AS (SELECT f, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN st USING (f) GROUP BY f, term), mi AS (SELECT f, avg(raw) AS m FROM raw GROUP BY f), idf AS (SELECT f, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN mi USING (f)),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format('query_text')}) AS term FROM asked) GROUP BY ALL),
-s AS (SELECT query_id, doc, boost * round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN idf USING (f, term) JOIN st USING (f) GROUP BY query_id, doc, f, boost), b AS (SELECT query_id, doc, round(max(score), 6) AS score FROM s GROUP BY ALL)
-SELECT query_id, doc, round(1e-9 + score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM b WHERE score > 0) WHERE rank <= 10""")
+#: The block asked of the fields: also whole tags, which the keyword field is looked up by.
+SEARCHED = [*[(i, t) for i, t, *_ in ASKED], (4, "that"), (5, "heit"), (6, "with")]
+_FIELD_SQL = f"""{WITH}, searched(query_id, query_text) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in SEARCHED)}),
+fields AS (SELECT seq AS doc, 'title' AS f, 3.0 AS boost, false AS whole, {_TOK.format('title')} AS t FROM catalog
+  UNION ALL SELECT seq, 'description', 1.0, false, {_TOK.format('description')} FROM catalog UNION ALL SELECT seq, 'tags', 2.0, true, coalesce(tags, []) FROM catalog),
+st AS (SELECT f, count(*) AS n, avg(len(t)) AS avgdl FROM fields GROUP BY f),
+tf AS (SELECT f, boost, whole, term, doc, dl, count(*) AS tf FROM (SELECT f, boost, whole, doc, len(t) AS dl, unnest(t) AS term FROM fields) GROUP BY ALL),
+raw AS (SELECT f, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN st USING (f) GROUP BY f, term), mi AS (SELECT f, avg(raw) AS m FROM raw GROUP BY f),
+idf AS (SELECT f, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN mi USING (f)),
+q AS (SELECT query_id, whole, term, count(*) AS qtf FROM (SELECT query_id, false AS whole, unnest({_TOK.format('query_text')}) AS term FROM searched
+  UNION ALL SELECT query_id, true, query_text FROM searched) GROUP BY ALL),
+s AS (SELECT query_id, doc, boost * round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * CASE WHEN whole THEN 1 ELSE 0.25 + 0.75 * dl / avgdl END)), 6) AS score, f
+  FROM q JOIN tf USING (whole, term) JOIN idf USING (f, term) JOIN st USING (f) GROUP BY query_id, doc, f, boost),
+b AS (SELECT query_id, doc, round(max(score), 6) AS score, arg_max(f, score) AS f FROM s GROUP BY ALL)"""
+
+
+@register(f"{_FIELD_SQL} SELECT query_id, doc, round(1e-9 + score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM b WHERE score > 0) WHERE rank <= 10")
 def text_search(spark, sf_dir):
-    return retrieval.field_search(asked(spark), catalog(spark, sf_dir), "seq", {"title": 3.0, "description": 1.0}, 10).select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"))
+    """Title, description and tags, the last as a keyword field, from one pass over the records."""
+    inverted.write_index(catalog(spark, sf_dir), "seq", {"title": False, "description": False, "tags": True}, path := _new_folder(spark))
+    d = inverted.stored_field_search(spark, path, spark.createDataFrame(SEARCHED, "query_id int, query_text string"), {"title": 3.0, "description": 1.0, "tags": 2.0}, 10)
+    return d.select("query_id", "doc", scoring.half_up(F.col("score")).alias("score"))
+
+
+@register(f"{_FIELD_SQL} SELECT query_id, count(*) AS n, count(*) FILTER (f = 'tags') AS by_tag FROM b WHERE score > 0 GROUP BY query_id")
+def text_search_fields(spark, sf_dir):
+    """How many records each query finds, and how many of them best by a whole tag."""
+    inverted.write_index(catalog(spark, sf_dir), "seq", {"title": False, "description": False, "tags": True}, path := _new_folder(spark))
+    boosts = F.create_map(F.lit("title"), F.lit(3.0), F.lit("description"), F.lit(1.0), F.lit("tags"), F.lit(2.0))
+    s = inverted.stored_scores(spark, path, spark.createDataFrame(SEARCHED, "query_id int, query_text string")).withColumn("score", boosts[F.col("field")] * F.col("score"))
+    b = s.groupBy("query_id", "doc").agg(F.max("score").alias("score"), F.max_by("field", "score").alias("f")).filter("score > 0")
+    return b.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("f") == "tags").alias("by_tag"))
 
 
 @register(f"{WITH} SELECT canonical_id, metadata_completeness FROM catalog WHERE title ILIKE '%ther%' OR description ILIKE '%ther%' OR len(list_filter(tags, lambda x: x ILIKE '%ther%')) > 0 ORDER BY metadata_completeness DESC, canonical_id LIMIT 30 OFFSET 10")
