@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import query_catalog, query_profile, query_search, query_text
+from .plans import query_catalog, query_jobs, query_profile, query_search, query_text
 
-_MODULES = (query_catalog, query_search, query_profile, query_text)
+_MODULES = (query_catalog, query_search, query_profile, query_text, query_jobs)
 
 
 def queries() -> dict:

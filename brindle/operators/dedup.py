@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import staged
+
 
 def first_by(df: DataFrame, keys: list[str | Column], order: list[Column | str]) -> DataFrame:
     """The first row of each key (F1, F3, F4). A limit below the shuffle keeps one row a key and task."""
@@ -23,20 +26,60 @@ def first_by_either(df: DataFrame, fingerprint: str = "dataset_fingerprint", key
     """First row by fingerprint and by id (F2).
 
     Two window passes. They differ from taking rows in turn only where a row that was dropped for its id would have
-    hidden a later one of its fingerprint; ``exact`` folds rows that share a key in turn instead, a group of one id's
-    fingerprints at a time.
+    hidden a later one of its fingerprint; ``exact`` takes them in turn (``greedy_first``).
     """
     if not exact:
         return first_by(first_by(df, [fingerprint], [F.col(seq)]), [key], [F.col(seq)])
-    from .components import linked_groups
-
-    groups = linked_groups(df, [fingerprint, key], seq)
-    fields = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(fingerprint).alias("f"), F.col(key).alias("k"))))
-    zero = F.struct(F.array().cast("array<string>").alias("f"), F.array().cast("array<string>").alias("k"), F.array().cast("array<bigint>").alias("keep"))
-    fresh = lambda a, x: ~F.array_contains(a["f"], x["f"]) & ~F.array_contains(a["k"], x["k"])
-    step = lambda a, x: F.when(fresh(a, x), F.struct(F.array_append(a["f"], x["f"]).alias("f"), F.array_append(a["k"], x["k"]).alias("k"), F.array_append(a["keep"], x["s"].cast("bigint")).alias("keep"))).otherwise(a)
-    kept = groups.groupBy("group").agg(F.aggregate(fields, zero, step, lambda a: a["keep"]).alias("keep")).select(F.explode("keep").alias(seq))
-    return df.join(kept, seq, "left_semi")
+    return df.join(greedy_first(df, [fingerprint, key], seq), seq, "left_semi")
+
+
+def _folded(keys: list[str], seq: str):
+    """Rows in turn: each is kept unless a kept one has one of its keys."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        seen, kept = [set() for _ in keys], []
+        for r in rows.sort_values(seq).itertuples(index=False):
+            own = [getattr(r, k) for k in keys]
+            if not any(v is not None and v in s for v, s in zip(own, seen, strict=True)):
+                for v, s in zip(own, seen, strict=True):
+                    if v is not None:
+                        s.add(v)
+                kept.append(getattr(r, seq))
+        return pd.DataFrame({seq: kept})
+
+    return run
+
+
+def greedy_first(df: DataFrame, keys: list[str], seq: str = "seq", few: int = 20_000) -> DataFrame:
+    """``seq`` of the rows that stay if rows are taken in turn and each that shares a key with one taken before is left out.
+
+    Conflicts are resolved in rounds: an undecided row without an earlier undecided row under any of its keys is taken,
+    and all that share a key with a row taken are left out. A round decides at least the first row of every group of
+    linked rows, most often nearly all; least ``seq`` by key has partial sums, so a key with a third of all rows costs no
+    task more than others. Once at most ``few`` rows are undecided they are taken in turn in one task. Null keys link
+    nothing; an empty table gives an empty result; ``seq`` must be distinct.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    left = staged(df.select(F.col(seq).alias("seq"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]))
+    taken = []
+    while (n := left.count()) > few:
+        first = left
+        for k in names:
+            least = left.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias(f"least_{k}"))
+            first = first.join(least, k, "left")
+        now = staged(first.filter(reduce(lambda a, b: a & b, [F.coalesce(F.col(f"least_{k}") == F.col("seq"), F.lit(True)) for k in names])).select("seq", *names))
+        taken.append(now.select("seq"))
+        left = left.join(now.select("seq"), "seq", "left_anti")
+        for k in names:
+            left = left.join(now.filter(F.col(k).isNotNull()).select(k), k, "left_anti")
+        left = staged(left.select("seq", *names))
+    if n:
+        kind = dict(left.dtypes)["seq"]
+        text = left.select("seq", *[F.col(k).cast("string").alias(k) for k in names])
+        taken.append(text.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_folded(names, "seq"), f"seq {kind}"))  # at most ``few`` rows
+    if not taken:
+        return df.select(seq).limit(0)
+    return reduce(lambda a, b: a.unionByName(b), taken).select(F.col("seq").alias(seq))
 
 
 def by_id_or_title(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profiling import weighted_score
+
 PENALTY = 0.7
 
 
@@ -58,9 +60,9 @@ def image_scale(n: Column) -> Column:
     return F.when(n >= 50_000, 0.90).when(n >= 10_000, 0.75).when(n >= 1_000, 0.55).when(n >= 100, 0.35).when(n > 0, 0.15)
 
 
-def quality_adjusted(ranked: DataFrame, profiles: DataFrame) -> DataFrame:
+def quality_adjusted(ranked: DataFrame, profiles: DataFrame, on: str | list[str] = "canonical_id") -> DataFrame:
     """Half base score, half the weighted mean of the profile signals that are there; without any, the base."""
-    d = ranked.join(profiles, "canonical_id", "left")
+    d = ranked.join(profiles, on, "left")
     parts = [(F.col("deep_score") / 100, 0.35), (F.col("balance_score") / 100, 0.25), (F.col("uniqueness_score") / 100, 0.20), (F.col("completeness_score") / 100, 0.10), (image_scale(F.col("total_images")), 0.25)]
     held = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in parts[1:]), F.when(parts[0][0].isNotNull(), parts[0][1]).otherwise(0.0))
     total = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))
@@ -69,9 +71,25 @@ def quality_adjusted(ranked: DataFrame, profiles: DataFrame) -> DataFrame:
     return d.withColumn("quality_adjusted", new).withColumn("new_rank", F.row_number().over(w))
 
 
-def two_stage(ranked: DataFrame, profile, most: int = 2) -> DataFrame:
-    """Profile the first ``most`` hits only and rank again (G26). ``profile`` maps those rows to profile rows."""
-    return quality_adjusted(ranked, profile(ranked.filter(F.col("rank") <= most)))
+def dataset_signals(profiles: DataFrame) -> DataFrame:
+    """(dataset, completeness_score, deep_score) of profiled tables (G26): mean share of values that are there, and the
+    weighted score of that and of the share of columns that are neither ids nor constant."""
+    told = 100.0 - F.avg(F.when((F.col("type") == "id") | (F.col("unique_count") <= 1), 100.0).otherwise(0.0))
+    d = profiles.groupBy("dataset").agg((100.0 - F.avg("missing_percentage")).alias("c"), told.alias("m"))
+    return d.select("dataset", F.round("c", 2).alias("completeness_score"), weighted_score(completeness=F.col("c"), metadata=F.col("m")).alias("deep_score"))
+
+
+def two_stage(ranked: DataFrame, light: DataFrame, deep: DataFrame, most: int = 2) -> DataFrame:
+    """Rank by the light signals of all hits, then again with the deep ones of the new first ``most``.
+
+    Both have canonical_id and the signals of ``quality_adjusted``; deep signals take the place of light ones.
+    """
+    first = quality_adjusted(ranked, light)
+    top = first.filter(F.col("new_rank") <= most).select("query_id", "canonical_id")
+    again = ranked.select("query_id", "canonical_id").join(light, "canonical_id")
+    better = top.join(deep, "canonical_id")
+    chosen = again.join(better, ["query_id", "canonical_id"], "left_anti").unionByName(better)
+    return quality_adjusted(ranked, chosen, ["query_id", "canonical_id"])
 
 
 def spread_sources(ranked: DataFrame, each: int = 2, order: str = "rank") -> DataFrame:

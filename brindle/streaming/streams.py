@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .breakers import failure_runs
+
 
 def ingest(records: DataFrame, late: str = "1 hour") -> DataFrame:
     """Records without exact re-deliveries inside the watermark (K1). The best of each fingerprint is chosen by the upsert."""
@@ -36,11 +38,9 @@ def sessions(events: DataFrame, ts: str, by: str, gap: str = "30 minutes", late:
 
 
 def failure_streaks(events: DataFrame, by: str, ts: str, failed: str, key: str, opens: int = 3) -> DataFrame:
-    """Batch twin of K5: (by, first, last, length) of runs of consecutive failures of at least ``opens``."""
-    w = Window.partitionBy(by).orderBy(ts, key)
-    run = F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = events.withColumn("run", run).filter(F.col(failed))
-    return d.groupBy(by, "run").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= opens).drop("run")
+    """(by, first, last, length) of runs of consecutive failures of at least ``opens`` (K5), from prefix sums over ranges of time."""
+    runs = failure_runs(events, by, ts, failed, key).filter(F.col("length") >= opens)
+    return runs.select(F.col("source").alias(by), F.col("first"), F.col("last"), "length")
 
 
 def stream_streaks(events: DataFrame, by: str, opens: int = 3) -> DataFrame:
