@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .profiling import weighted_score
+from .retrieval import QUERY_BLOCK
+from .stages import staged
 
 PENALTY = 0.7
 
@@ -19,13 +21,14 @@ def rank(scored: DataFrame, k: int, seq: str = "seq", diversity: bool = True) ->
     """The ``k`` best rows of each query with rank and adjusted score.
 
     The nth row of a source counts 0.7 ** (n - 1) of its score, if a query has more than ``k`` rows (G10). Ranks are
-    partitioned by query, so the work of many queries is spread.
+    partitioned by query, so the work of many queries is spread. ``candidates`` counts k + 1 rows of a source at most,
+    which tells whether there are more than ``k`` without a second pass over all rows.
     """
     if diversity:
         of_source = Window.partitionBy("query_id", "source").orderBy(*ordered(seq))
-        count = scored.groupBy("query_id").agg(F.count("*").alias("candidates"))
         # a query keeps at most k rows of one source, so the first window can drop the others before the next shuffle
-        d = scored.withColumn("nth", F.row_number().over(of_source)).filter(F.col("nth") <= k).join(F.broadcast(count), "query_id")
+        d = scored.withColumn("nth", F.row_number().over(of_source)).filter(F.col("nth") <= k + 1)
+        d = d.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).filter(F.col("nth") <= k)
         d = d.withColumn("adjusted", F.when(F.col("candidates") > k, F.col("composite") * F.pow(F.lit(PENALTY), F.col("nth") - 1)).otherwise(F.col("composite"))).drop("nth")
     else:
         d = scored.withColumn("adjusted", F.col("composite"))
@@ -135,6 +138,33 @@ def diagnostics(judged: DataFrame, ranked: DataFrame, filters_applied: list[str]
     return d.join(scored.groupBy("query_id").agg(F.count("*").alias("total_scored")), "query_id")
 
 
+def observed_run(judged: DataFrame, k: int, filters_applied: list[str], query_ids: list) -> tuple[DataFrame, DataFrame]:
+    """(ranked, diagnostics) of one run: rows and time of each stage are observed in flight.
+
+    ``judged`` has a row for each query and record with reject_reason. Nothing is computed again to be counted: rows are
+    counted as they pass, and the first and last time a row passed a stage give its elapsed milliseconds (a task that
+    is run again counts again). ``query_ids`` names the block of queries, of bounded number.
+    """
+    if len(query_ids) > QUERY_BLOCK:
+        raise ValueError(f"rank at most {QUERY_BLOCK} queries at a time")
+    ok = F.col("reject_reason").isNull()
+    span = [F.min("__at").alias("began"), F.max("__at").alias("ended")]
+    clock = F.expr("CAST(reflect('java.lang.System', 'currentTimeMillis') AS LONG)")
+    seen, kept = Observation(), Observation()
+    per = [F.count_if(ok & F.col("query_id").eqNullSafe(F.lit(q))).alias(f"q{i}") for i, q in enumerate(query_ids)]
+    d = judged.withColumn("__at", clock).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"), *span, *per).drop("__at")
+    d = rank(d.filter(ok).drop("reject_reason"), k)
+    ranked = staged(d.withColumn("__at", clock).observe(kept, F.count(F.lit(1)).alias("n"), *span).drop("__at"))
+    a, b, n = seen.get, kept.get, len(query_ids)
+    took = lambda x: (x["ended"] - x["began"]) if x["began"] is not None else 0
+    rows = [(q, a["n"] // n, a["passed"] // n, a[f"q{i}"], round(a["passed"] / a["n"], 3) if a["n"] else 0.0, ",".join(filters_applied), took(a), took(b)) for i, q in enumerate(query_ids)]
+    kind = dict(judged.dtypes)["query_id"]
+    out = judged.sparkSession.createDataFrame(rows, f"query_id {kind}, total_input long, total_after_filter long, total_scored long, filter_pass_rate double, filters_applied string, score_ms long, rank_ms long")
+    top = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_ranked"))
+    d = out.join(top, "query_id", "left").join(confidence(ranked), "query_id", "left").withColumn("total_ranked", F.coalesce("total_ranked", F.lit(0)))
+    return ranked, d.withColumn("diversity_applied", F.col("total_scored") > F.col("total_ranked"))
+
+
 def result_summary(ranked: DataFrame) -> DataFrame:
     """For each query: hits by source, most first; mean completeness; number of sources."""
     per = ranked.groupBy("query_id", "source").agg(F.count("*").alias("n"), F.sum("metadata_completeness").alias("s"))

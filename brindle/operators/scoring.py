@@ -64,10 +64,18 @@ def freshness(as_of: str, variant: str = "half_life") -> Column:
     return F.when(F.col("last_updated").isNull(), 0.5).otherwise(half_up(F.least(score, F.lit(1.0))))
 
 
+def with_match_text(catalog: DataFrame) -> DataFrame:
+    """``catalog`` with the text that keywords are looked for in, and its distinct words of five letters or more.
+
+    Added on the side of the records, before they are joined to queries, so that each text is lowered and split once.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "description_short", "description")] + [F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("tags_primary", "task_types", "modalities")]
+    d = catalog.withColumn("match_text", F.lower(F.concat_ws(" ", *parts)))
+    return d.withColumn("match_words", F.array_distinct(F.filter(F.split("match_text", r"\s+"), lambda t: F.length(t) >= 5)))
+
+
 def description_match(keywords: Column) -> Column:
     """Share of the keywords that the record's text holds: 1 for the word or a synonym, 0.5 for its first five letters."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "description_short", "description")] + [F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("tags_primary", "task_types", "modalities")]
-    full = F.lower(F.concat_ws(" ", *parts))
     generic = vocab.GENERIC_WORDS
     low = F.transform(keywords, lambda k: F.lower(k))
     special = F.filter(low, lambda k: ~k.isin(generic))
@@ -76,15 +84,14 @@ def description_match(keywords: Column) -> Column:
 
     def points(text: Column, tokens: Column, k: Column) -> Column:
         near = F.exists(F.coalesce(synonyms[k], F.array().cast("array<string>")), lambda s: F.contains(text, s))
-        start = F.exists(tokens, lambda t: (F.length(t) >= 5) & F.contains(t, F.substring(k, 1, 5)))
+        start = F.exists(tokens, lambda t: F.contains(t, F.substring(k, 1, 5)))
         return F.when(F.contains(text, k) | near, 1.0).when(start, 0.5).otherwise(0.0)
 
     def matched(x: Column) -> Column:
         total = F.aggregate(x["used"], F.lit(0.0), lambda s, k: s + points(x["text"], x["tokens"], k))
         return F.when(F.coalesce(F.size(x["used"]), F.lit(0)) <= 0, 0.5).when(F.trim(x["text"]) == "", 0.0).otherwise(half_up(F.least(total / F.size(x["used"]), F.lit(1.0))))
 
-    # the text is built once for each row, whatever the number of keywords
-    return F.transform(F.array(F.struct(full.alias("text"), F.split(full, r"\s+").alias("tokens"), used.alias("used"))), matched)[0]
+    return F.transform(F.array(F.struct(F.col("match_text").alias("text"), F.col("match_words").alias("tokens"), used.alias("used"))), matched)[0]
 
 
 def modality_factor(modality: Column) -> Column:
@@ -96,13 +103,15 @@ def modality_factor(modality: Column) -> Column:
 def score(pairs: DataFrame, as_of: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Rows of (query, record) with the five dimensions, the composite and whether the row is gated.
 
-    ``pairs`` holds record columns and the query's query_id, task, modality and keywords. One projection.
+    ``pairs`` holds record columns, best with those of ``with_match_text``, and the query's query_id, task, modality and
+    keywords. One projection.
     """
     w = normalized(weights)
-    d = pairs.withColumns({"task_relevance": task_relevance(F.col("task")), "quality": quality(), "popularity": popularity(), "freshness": freshness(as_of), "description_match": description_match(F.col("keywords"))})
+    known = "match_text" in pairs.columns
+    d = (pairs if known else with_match_text(pairs)).withColumns({"task_relevance": task_relevance(F.col("task")), "quality": quality(), "popularity": popularity(), "freshness": freshness(as_of), "description_match": description_match(F.col("keywords"))})
     total = sum((F.col(k) * F.lit(v) for k, v in list(w.items())[1:]), F.col("task_relevance") * F.lit(w["task_relevance"]))
     gated = (F.coalesce(F.size("keywords"), F.lit(0)) > 0) & (F.col("description_match") < GATE)
-    d = d.withColumn("gated", gated)
+    d = d.withColumn("gated", gated).drop("match_text", "match_words")
     return d.withColumn("composite", F.when(F.col("gated"), 0.0).otherwise(half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * modality_factor(F.col("modality")))))))
 
 

@@ -37,9 +37,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
     """``df`` split into ranges of its order, staged, with the number of the range in ``part``.
 
-    Ranges are balanced by Spark's sample; rows of equal order share a range. Results do not depend on the cuts.
+    There are spark.sql.shuffle.partitions ranges, balanced by Spark's sample; rows of equal order share a range. Results
+    do not depend on the cuts.
     """
-    return staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
 
 
 def running(parts: DataFrame, by: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ def register(sql: str | None = None):
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    return scoring.score(catalog(spark, sf_dir).crossJoin(F.broadcast(asked(spark))), AS_OF)
+    return scoring.score(scoring.with_match_text(catalog(spark, sf_dir)).crossJoin(F.broadcast(asked(spark))), AS_OF)
 
 
 _SCORED_SQL = f"""{WITH}, {_ASKED_SQL},
@@ -106,6 +106,20 @@ def pipeline_diagnostics(spark, sf_dir):
     )
 
 
+@register(f"""{_SCORED_SQL}, {_JUDGED_SQL}, ps AS (SELECT * FROM scored WHERE canonical_id IN (SELECT canonical_id FROM judged WHERE reject_reason IS NULL)),
+nth AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS candidates, row_number() OVER (PARTITION BY query_id, source ORDER BY gated, composite DESC, seq) AS nth FROM ps),
+adj AS (SELECT *, CASE WHEN candidates > 10 THEN composite * pow(0.7::DOUBLE, nth - 1) ELSE composite END AS adjusted FROM nth), ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, gated, composite DESC, seq) AS rank FROM adj) WHERE rank <= 10),
+r AS (SELECT query_id, count(*) AS total_ranked, max(candidates) AS total_scored, max(adjusted) FILTER (rank = 1) - max(adjusted) FILTER (rank = 2) AS gap FROM ranked GROUP BY query_id), j AS (SELECT count(*) AS total_input, count(*) FILTER (reject_reason IS NULL) AS total_after_filter FROM judged)
+SELECT query_id, total_input, total_after_filter, total_scored, total_ranked, round(total_after_filter / total_input, 3) AS filter_pass_rate, 'source,description,min_rows,max_rows,min_completeness,min_quality,non_commercial,required_modality,updated_after,task' AS filters_applied, total_scored > total_ranked AS diversity_applied, true AS timed,
+  CASE WHEN total_ranked = 1 OR round(gap, 10) >= 0.2 THEN 'high' WHEN round(gap, 10) >= 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM r, j""")
+def pipeline_observed(spark, sf_dir):
+    """The same stage counts, observed in the one run that ranks."""
+    judged = filters.judge(scored(spark, sf_dir), _GATES)
+    _, d = ranking.observed_run(judged, 10, [reason for reason, _ in _GATES.active()], [i for i, *_ in ASKED])
+    timed = (F.col("score_ms") >= 0) & (F.col("rank_ms") >= 0)
+    return d.select("query_id", "total_input", "total_after_filter", "total_scored", "total_ranked", "filter_pass_rate", "filters_applied", "diversity_applied", timed.alias("timed"), "confidence")
+
+
 @register(f"{_RANKED_SQL}, per AS (SELECT query_id, source, count(*) AS n, sum(metadata_completeness) AS s FROM ranked GROUP BY ALL) SELECT query_id, string_agg(source || ':' || n, ' ' ORDER BY n DESC, source) AS by_source, round(sum(s) / sum(n), 3) AS avg_completeness, count(*) AS n_sources FROM per GROUP BY query_id")
 def result_summary(spark, sf_dir):
     return ranking.result_summary(ranking.rank(scored(spark, sf_dir), 10)).withColumn("by_source", F.array_join("by_source", " "))
