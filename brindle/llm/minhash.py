@@ -7,9 +7,10 @@
    probability below 1e-6. First each is compared, on full sets, with the least one of each of its keys: that is one
    pair a member, and links most members of a group of near copies.
 3. Keys whose further members still lie in different components are gone through by task: where the signatures (all
-   minima) of two members that no link joins yet agree often enough, the pair is compared on full sets. Only links that
-   join two parts are returned, at most one for each member. Large keys are cut into chunks by hash, each pair of
-   chunks being a task. So the cost follows the keys that are shared; a chain of unlike texts is no group.
+   minima) of two members that no link joins yet agree often enough, the pair is compared on full sets, under the first
+   of its common keys only. Only links that join two parts are returned, at most one for each member. Large keys are cut
+   into chunks by hash, by members and by shingles, each pair of chunks being a task. So the cost follows the pairs
+   that share a key; a chain of unlike texts is no group.
 4. Components of all links, by large-star and small-star, are the near-duplicate groups.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a text of fewer than five
@@ -137,31 +138,56 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=["id", "digest", "text", "signature"])
 
 
+def to_compare(m: np.ndarray, bands: np.ndarray, slot: int, part: np.ndarray, sizes: np.ndarray, own: np.ndarray | None, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(row, later rows): the pairs of a band key that are compared on full sets here.
+
+    They lie in different parts (and in different chunks, if ``own`` is given), their sizes and signatures allow the
+    similarity, and they share no key of an earlier band: of all keys of a pair only the first compares it.
+    """
+    share, out = percent / 100, []
+    limit = share - SLACK * np.sqrt(share * (1 - share) / MINIMA)
+    for i in range(len(sizes) - 1):
+        near = (part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
+        if own is not None:
+            near &= own[i + 1 :] != own[i]
+        near = np.flatnonzero(near) + i + 1
+        if slot and len(near):
+            near = near[(bands[near, :slot] != bands[i, :slot]).all(1)]
+        near = near[(m[near] == m[i]).mean(1) >= limit] if len(near) else near
+        if len(near):
+            out.append((i, near))
+    return out
+
+
 def _joining(percent: int):
     """Links, of one pair of chunks of a band key, that join different components."""
-    share = percent / 100
-    limit = share - SLACK * np.sqrt(share * (1 - share) / MINIMA)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "digest"], kind="stable").reset_index(drop=True)
-        ids, own, sizes = list(zip(rows["id"], rows["digest"], strict=True)), rows["chunk"].to_numpy(), rows["n"].to_numpy()
-        part, texts, known, sets, out = rows["part"].to_numpy().copy(), rows["text"], WordHashes(), {}, []
+        ids, sizes, part = list(zip(rows["id"], rows["digest"], strict=True)), rows["n"].to_numpy(), rows["part"].to_numpy().copy()
         m = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), MINIMA)
-        for i in range(len(rows) - 1):
-            near = (part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
-            if key[1] != key[2]:
-                near &= own[i + 1 :] != own[i]
-            near = np.flatnonzero(near) + i + 1
-            for j in near[(m[near] == m[i]).mean(1) >= limit]:
+        own = rows["chunk"].to_numpy() if key[1] != key[2] else None
+        pairs = to_compare(m, np.stack(rows["bands"].to_list()), int(rows["slot"][0]) - 1, part, sizes, own, percent)
+        if not pairs:
+            return _frame([])
+        # shingles as small numbers; those of a row are marked, and looked up for all its partners at once
+        known, used = WordHashes(), np.unique(np.concatenate([[i for i, _ in pairs], *[js for _, js in pairs]]))
+        sets = [shingles(rows["text"][k], known) for k in used]
+        at = dict(zip(used.tolist(), np.cumsum([0, *map(len, sets[:-1])]).tolist(), strict=True))
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        marked, out = np.zeros(int(numbers.max()) + 1, np.uint8), []
+        for i, js in pairs:
+            js = js[part[js] != part[i]]
+            if not len(js):
+                continue
+            mine = numbers[at[i] : at[i] + sizes[i]]
+            marked[mine] = 1
+            both = np.array([marked[numbers[at[j] : at[j] + sizes[j]]].sum(dtype=np.int64) for j in js.tolist()])
+            marked[mine] = 0
+            for j in js[100 * both >= percent * (sizes[i] + sizes[js] - both)].tolist():
                 if part[j] != part[i]:
-                    for k in (i, j):
-                        if k not in sets:
-                            sets[k] = shingles(texts[k], known)
-                    both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        out.append((*ids[i], *ids[j]))
-                        part[part == part[j]] = part[i]
-            sets.pop(i, None)
+                    out.append((*ids[i], *ids[j]))
+                    part[part == part[j]] = part[i]
         return _frame(out)
 
     return run
@@ -245,11 +271,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     mixed = rest.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("band")
     rest = materialize(rest.join(mixed, "band"))
     signed_ = held.join(rest.select("rep").distinct(), "rep").select("rep.id", "rep.digest", "text").mapInArrow(_signatures, "id long, digest binary, text string, signature binary")
-    signed_ = materialize(signed_.select(F.struct("id", "digest").alias("rep"), "text", "signature"))
-    chunks = F.ceil(F.col("members") / CHUNK_DOCS).cast("int")
-    chunked = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(signed_, "rep")
+    signed_ = signed_.select(F.struct("id", "digest").alias("rep"), "text", "signature").join(first.select("rep", "bands"), "rep")
+    signed_ = materialize(signed_)
+    held_n = rest.groupBy("band").agg(F.sum("n").alias("shingles"))
+    chunks = F.ceil(F.greatest(F.col("members") / CHUNK_DOCS, F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    chunked = rest.join(held_n, "band").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(signed_, "rep")
     sides = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    tasks = chunked.withColumn("p", F.explode(sides)).select("band", "p.i", "p.j", "chunk", "rep.id", "rep.digest", "part", "n", "text", "signature")
+    tasks = chunked.withColumn("p", F.explode(sides)).select("band", "p.i", "p.j", "chunk", "rep.id", "rep.digest", "part", "n", "text", "signature", "bands", F.array_position("bands", F.col("band")).alias("slot"))
     joining = tasks.groupBy("band", "i", "j").applyInPandas(_joining(percent), PAIRS).select(_node("u"), _node("v"))
     grouped = components(links.unionByName(joining))
 
