@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stages import shared_dir
+
 #: The six white-space characters that separate words, as a Java regular expression class body.
 WS = r" \x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -27,12 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where unset, as in tests, a local one."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+def at(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, beside ``more``: so no column of the caller meets one of the operator."""
+    return docs.select(F.struct(*[at(c) for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``packed`` put into ``row``, those named in ``changed`` replaced."""
+    return df.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in columns])
 
 
 def materialize(df: DataFrame) -> DataFrame:

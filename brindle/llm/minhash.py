@@ -15,7 +15,9 @@
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a text of fewer than five
 words is one shingle; repeated rows (of one id or several) fall in one component; rows of one id with different
-texts are compared as different documents; a row without an id is kept and in no component; an empty table gives an empty result; other columns are ignored, and kept by ``deduplicate``.
+texts are compared as different documents; a row without an id is kept and in no component; ids that are no integers are
+compared as strings; an empty table gives an empty result; other columns are ignored, and kept by ``deduplicate``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ships, table
+from .common import at, materialize, packed, ships, table, unpacked
 from .components import components
 
 ships(__name__)
@@ -102,12 +104,12 @@ def _signed(percent: int):
     """doc_id, text_hash, text to doc_id, text_hash, n_shingles, digest, bands."""
     n_rows, n_bands = shape(percent)
 
-    def flush(ids: list, hashes: list, sets: list) -> pa.RecordBatch:
+    def flush(ids: list, hashes: list, sets: list, kind: pa.DataType) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
         m = minima(full).reshape(len(full), n_bands, n_rows)
         keys = iter([[xxhash.xxh64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(row)] for row in m])
         return pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array(ids, kind), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
             pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         ], names=["doc_id", "text_hash", "n_shingles", "digest", "bands"])
@@ -122,10 +124,10 @@ def _signed(percent: int):
                 sets.append(shingles(text.as_py(), known))
                 held += len(sets[-1])
                 if held > BATCH:
-                    yield flush(ids, hashes, sets)
+                    yield flush(ids, hashes, sets, batch.column(0).type)
                     ids, hashes, sets, held = [], [], [], 0
             if ids:
-                yield flush(ids, hashes, sets)
+                yield flush(ids, hashes, sets, batch.column(0).type)
 
     return run
 
@@ -194,10 +196,16 @@ def _joining(percent: int):
 
 
 def _frame(pairs: list) -> pd.DataFrame:
-    return pd.DataFrame(pairs, columns=["u_id", "u_digest", "v_id", "v_digest"]).astype({"u_id": "int64", "v_id": "int64"})
+    return pd.DataFrame(pairs, columns=["u_id", "u_digest", "v_id", "v_digest"], dtype=object)
 
 
-PAIRS = "u_id long, u_digest binary, v_id long, v_digest binary"
+def _id_kind(docs: DataFrame, id_col: str) -> str:
+    """Integers are compared as long; ids of any other kind as their strings."""
+    return "bigint" if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def _pairs(kind: str) -> str:
+    return f"u_id {kind}, u_digest binary, v_id {kind}, v_digest binary"
 
 
 def _confirmed(percent: int):
@@ -222,7 +230,7 @@ def _node(x: str) -> Column:
     return F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_digest").alias("digest")).alias(x)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, kind: str) -> DataFrame:
     """Links (u, v) among distinct ``pairs`` (u, v, n): the pairs of one u are tasks of bounded size, with u's text in each.
 
     ``texts`` has rep, text, one row each; n is the size of v's set.
@@ -232,11 +240,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rest = dealt.join(texts, dealt["v"] == texts["rep"]).select("u", "chunk", F.lit(False).alias("first"), "rep.id", "rep.digest", "text")
     head = count.join(texts, count["u"] == texts["rep"]).select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("first"), "rep.id", "rep.digest", "text")
     # of a u with several chunks one may be empty
-    return materialize(rest.unionByName(head).groupBy("u", "chunk").applyInPandas(_confirmed(percent), PAIRS).select(_node("u"), _node("v")))
+    return materialize(rest.unionByName(head).groupBy("u", "chunk").applyInPandas(_confirmed(percent), _pairs(kind)).select(_node("u"), _node("v")))
 
 
 def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    return F.xxhash64(F.coalesce(at(text_col), F.lit("")), at(text_col).isNull())
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -246,8 +254,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(_signed(percent), "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"))
+    kind = _id_kind(docs, id_col)
+    texts = docs.select(at(id_col).cast(kind).alias("doc_id"), _text_hash(text_col).alias("text_hash"), at(text_col).alias("text"))
+    signed = materialize(texts.mapInArrow(_signed(percent), f"doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>"))
     sets = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("id")).select("digest", F.struct("id", "digest").alias("rep")))
 
@@ -262,7 +271,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
 
     ratio = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = near.filter("rep <> least.rep").select(F.col("least.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("least.n").alias("m")).filter(ratio).select("u", "v", "n").distinct()
-    links = _verified(materialize(pairs), held, percent)
+    links = _verified(materialize(pairs), held, percent, kind)
     parts = components(links).withColumnRenamed("component", "part")
 
     # keys of three members or more, the least one apart (its pairs are done), with members in different components
@@ -270,7 +279,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     rest = materialize(rest.join(parts, rest["rep"] == parts["node"], "left").select("band", "rep", "n", "members", F.xxhash64(F.coalesce("part", "rep")).alias("part")))
     mixed = rest.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("band")
     rest = materialize(rest.join(mixed, "band"))
-    signed_ = held.join(rest.select("rep").distinct(), "rep").select("rep.id", "rep.digest", "text").mapInArrow(_signatures, "id long, digest binary, text string, signature binary")
+    signed_ = held.join(rest.select("rep").distinct(), "rep").select("rep.id", "rep.digest", "text").mapInArrow(_signatures, f"id {kind}, digest binary, text string, signature binary")
     signed_ = signed_.select(F.struct("id", "digest").alias("rep"), "text", "signature").join(first.select("rep", "bands"), "rep")
     signed_ = materialize(signed_)
     held_n = rest.groupBy("band").agg(F.sum("n").alias("shingles"))
@@ -278,7 +287,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     chunked = rest.join(held_n, "band").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(signed_, "rep")
     sides = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
     tasks = chunked.withColumn("p", F.explode(sides)).select("band", "p.i", "p.j", "chunk", "rep.id", "rep.digest", "part", "n", "text", "signature", "bands", F.array_position("bands", F.col("band")).alias("slot"))
-    joining = tasks.groupBy("band", "i", "j").applyInPandas(_joining(percent), PAIRS).select(_node("u"), _node("v"))
+    joining = tasks.groupBy("band", "i", "j").applyInPandas(_joining(percent), _pairs(kind)).select(_node("u"), _node("v"))
     grouped = components(links.unionByName(joining))
 
     of = reps.join(grouped, reps["rep"] == grouped["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -298,12 +307,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id; rows without an id stay."""
+    kind = _id_kind(docs, id_col)
     rows = _grouped(docs, id_col, text_col, percent).filter("doc_id IS NOT NULL")
     linked = rows.filter("doc_id = component.id AND digest = component.digest").groupBy("component").agg(F.min("text_hash").alias("h")).select(F.col("component.id").alias("__keep"), F.col("h").alias("__hash"))
     keep = linked.unionByName(rows.filter("digest IS NULL").select(F.col("doc_id").alias("__keep"), F.col("text_hash").alias("__hash")).distinct())
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__hash", _text_hash(text_col))
-    named = named.join(keep.withColumnRenamed("__hash", "__kept"), (F.col(id_col) == F.col("__keep")) & (F.col("__hash") == F.col("__kept")))
-    return named.dropDuplicates([id_col, "__hash"]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    named = packed(docs.filter(at(id_col).isNotNull()), __id=at(id_col).cast(kind), __hash=_text_hash(text_col))
+    named = named.join(keep.withColumnRenamed("__keep", "__id"), ["__id", "__hash"])
+    return unpacked(named.dropDuplicates(["__id", "__hash"]), docs.columns).unionByName(docs.filter(at(id_col).isNull()))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ are parameters. Everything else is DataFrame functions over all documents, witho
 Defined results: null and empty texts are measured as 0 words and scored like all others; without labels of both
 kinds every document scores 0.5; labels other than 0 and 1 (null too) teach nothing, and repeated label rows count once, with the smaller
 label; repeated documents are repeated in the result; an empty table gives an empty result; labels, language,
-source and id are no inputs of a score.
+source and id are no inputs of a score; ``accepted`` keeps the caller's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, table, words
+from .common import WS, at, packed, table, unpacked, words
 
 MAX_LABELLED = 20_000
 MAX_PAIRS = 200_000
@@ -36,7 +36,7 @@ FEATURES = ("log_words", "symbols", "bars", "exclamations", "capitals", "stutter
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the struct ``__x`` of measurements."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(at(text_col), F.lit(""))
     d = docs.withColumns({"__w": words(text), "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))})
     gone = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double")
     n = F.greatest(F.size("__w"), F.lit(1)).cast("double")
@@ -116,13 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
 
 def classify(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-    d = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    d = measured(docs.select(at(id_col).alias("doc_id"), at(text_col).alias("text")))
     return d.select("doc_id", held_out().alias("held_out"), ranker.score().alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def accepted(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the ranker predicts as 1, with their own columns."""
-    return measured(docs, text_col).filter(ranker.score() >= CUT).select(*docs.columns)
+    return unpacked(measured(packed(docs, text=at(text_col))).filter(ranker.score() >= CUT), docs.columns)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Base kinds are regular expressions. Further candidates are long runs of key-like characters: for each character
 class a window slides over the run, its character counts and the sum of c * log2(c) are updated by the character
 that enters and the one that leaves, and the run is reported if any window's Shannon entropy reaches the class's
-limit. Runs that an allow-list pattern fits, or that overlap a base span, are not reported again by ``scan``, as
-operator 2's SQL has it. ``redact`` is stricter (``whole``): slashes alone excuse no run, only several of them between
-word-like parts do, and a run that touches a base span is masked to its ends.
+limit. Runs that the allow-list knows are left out: slashes alone excuse no run, only several of them between word-like
+parts do. A run may overlap a base span; both are reported, and ``redact`` masks what they cover together. The query,
+its SQL and ``redact`` share this one scan.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; repeated rows give
-repeated results; an empty table gives an empty result; other columns are ignored, and kept by ``redact``.
+repeated results; an empty table gives an empty result; other columns are ignored, and kept by ``redact``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import at, packed, table, unpacked
 
 #: The kinds that the contract names, in its order, with the group whose length is tested and its least.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,12 +27,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Character class: the characters, and the least entropy in bits of a window.
 CLASSES = {"hex": ("0123456789abcdefABCDEF", 3.05), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.85)}
-#: Key-like runs that are no secrets: UUIDs, documented example keys, integrity digests, paths, numbers.
-ALLOW = r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*EXAMPLE.*|sha(?:256|384|512)-.*|.*(?://|\.\.).*|/.*|[0-9+/_=-]*)$"
-#: The same, but paths are runs with two slashes or more between words (of one case or CamelCase) and short numbers.
-_WORD = "(?:[a-z]+|[A-Z]+)?(?:[A-Z][a-z]{2,})*[0-9]{0,8}"
-_PART = f"{_WORD}(?:[_=-]+{_WORD})*"
-ALLOW_WHOLE = ALLOW.replace(r".*(?://|\.\.).*|/.*", f"(?=[^/]*/[^/]*/)(?:{_PART}/)+{_PART}")
+#: Key-like runs that are no secrets: UUIDs, documented example keys, integrity digests, numbers.
+ALLOW = r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*EXAMPLE.*|sha(?:256|384|512)-.*|[0-9+/_=-]*)$"
+#: And paths: two slashes or more, and between separators nothing but words, of one case or CamelCase, with short numbers.
+SEPARATOR = "[/_=-]"
+WORD = "^(?:[a-z]+|[A-Z]+)?(?:[A-Z][a-z]{2,})*[0-9]{0,8}$"
+LONGEST_WORD = 200
 MASK = "[SECRET]"
 CHUNK = 256
 
@@ -105,16 +106,23 @@ def _entropic(run: Column, chars: str, least: float) -> Column:
     return F.when(F.length(run) >= WINDOW, let(codes, slide)).otherwise(F.lit(False))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def _allowed(run: Column) -> Column:
+    """Whether the allow-list knows the run; words are matched one by one, so that long runs need no deep matching."""
+    slashes = F.length(run) - F.length(F.replace(run, F.lit("/"), F.lit("")))
+    words = F.forall(F.split(run, SEPARATOR), lambda w: (F.length(w) <= LONGEST_WORD) & w.rlike(WORD))
+    return run.rlike(ALLOW) | ((slashes >= 2) & words)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, found): arrays of struct<start, kind, end> in order; found holds base and the method's own.
 
     No shuffle. Texts without the characters that a kind needs skip its expressions.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    return _with_spans(d, whole).select("doc_id", F.col("__base").alias("base"), F.col("__found").alias("found"))
+    d = docs.select(at(id_col).alias("doc_id"), F.coalesce(at(text_col), F.lit("")).alias("__t"))
+    return _with_spans(d).select("doc_id", F.col("__base").alias("base"), F.col("__found").alias("found"))
 
 
-def _with_spans(d: DataFrame, whole: bool = False) -> DataFrame:
+def _with_spans(d: DataFrame) -> DataFrame:
     text = F.col("__t")
     tag = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     assign = F.filter(_found(text, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
@@ -124,11 +132,10 @@ def _with_spans(d: DataFrame, whole: bool = False) -> DataFrame:
         tag(_found(text, F.lit(True), "[0-9a-f]{24,}"), 2),
     )))
     run = "[A-Za-z0-9+/_=-]{%d,}" % WINDOW
-    key = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~x["match"].rlike(ALLOW_WHOLE if whole else ALLOW)
+    key = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~_allowed(x["match"])
     high = lambda x: F.reduce(F.array(*[_entropic(x["match"], *c) for c in CLASSES.values()]), F.lit(False), lambda a, b: a | b)
     d = d.withColumn("__runs", F.filter(_found(text, F.lit(True), run), key))
-    apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    own = F.when(F.size("__runs") > 0, F.filter("__runs" if whole else F.filter("__runs", apart), high)).otherwise(F.array().cast(NONE))
+    own = F.when(F.size("__runs") > 0, F.filter("__runs", high)).otherwise(F.array().cast(NONE))
     return d.withColumn("__found", F.array_sort(F.concat("__base", tag(own, 3))))
 
 
@@ -139,7 +146,7 @@ def spelled(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with each maximal run of overlapping spans replaced by ``mask``; null texts stay null."""
-    d = _with_spans(docs.withColumn("__t", F.coalesce(text_col, F.lit(""))), whole=True)
+    d = _with_spans(packed(docs, __t=F.coalesce(at(text_col), F.lit(""))))
 
     def cut(text: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -147,8 +154,8 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFra
         step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(gap(s, x), F.lit(mask))).alias("parts"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts")))
         return F.aggregate("__found", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.lit(2**31 - 1))))
 
-    new = F.when(F.size("__found") > 0, let(F.col("__t"), cut)).otherwise(F.col(text_col))
-    return d.withColumn("__new", new).select(*[F.col("__new").alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    new = F.when(F.size("__found") > 0, let(F.col("__t"), cut)).otherwise(F.col("row")[text_col])
+    return unpacked(d, docs.columns, **{text_col: new})
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
@@ -175,7 +182,8 @@ k AS ({_oracle_spans(1, "AKIA[A-Z0-9]{16,}", "true")}),
 h AS ({_oracle_spans(2, "[0-9a-f]{24,}", "true")}),
 b AS (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM h),
 c AS ({_oracle_spans(3, "[A-Za-z0-9+/_=-]{20,}", f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, $r${ALLOW}$r$)")}),
-e AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)
+e AS (SELECT * FROM c WHERE NOT (length(m) - length(replace(m, '/', '')) >= 2
+    AND len(list_filter(string_split_regex(m, '{SEPARATOR}'), lambda w: length(w) > {LONGEST_WORD} OR NOT regexp_matches(w, '{WORD}'))) = 0)
   AND ({_WINDOWS("0-9a-fA-F", 3.05)} OR {_WINDOWS("A-Za-z0-9+/_=-", 3.85)})),
 u AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || stop AS s FROM (SELECT * FROM b UNION ALL SELECT * FROM e)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

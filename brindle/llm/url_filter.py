@@ -2,11 +2,12 @@
 
 Each rule names literal tokens that any URL it fits must hold as whole tokens. One pass over the table counts
 the rules' tokens; a rule is filed under the rarest of its own. A URL's tokens then fetch its candidate rules,
-and only these run their regular expressions. The pass over the URLs needs no shuffle, and what is sent to the
+and only these run their regular expressions. A rule without a literal is a candidate for every URL. The pass over the URLs needs no shuffle, and what is sent to the
 tasks is the rule list, whose length is a parameter of the caller's and is checked.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule; it is allowed. Repeated
-rows give repeated results; an empty table gives an empty result; other columns are ignored.
+rows give repeated results; an empty table gives an empty result; other columns are ignored. Literals other than
+runs of a-z and 0-9 are refused, as no URL's tokens could fetch their rules.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import at, table
 
 MAX_RULES = 100_000
 TOKEN = re.compile("[a-z0-9]+")
+#: Where rules without a literal are filed.
+ANYWHERE = ""
 
 
 @dataclass(frozen=True)
@@ -90,13 +93,15 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + WORDS, id_co
     """(page_id, host, path, rule, verdict, pattern_rule): rule names the site rule that won, pattern_rule any other."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; the tasks hold at most {MAX_RULES}")
-    sites = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    if odd := [r.name for r in rules if not all(TOKEN.fullmatch(t) for t in r.literals)]:
+        raise ValueError(f"literals are runs of a-z and 0-9, unlike those of {odd[:5]}")
+    sites = pages.select(at(id_col).alias("page_id"), at(url_col).alias("url"))
     host, path = host_path(F.col("url"))
     sites = sites.select("page_id", host.alias("host"), path.alias("path"))
     counts = token_counts(sites, rules)
     filed: dict[str, list[tuple]] = {}
     for r in rules:
-        rarest = min(r.literals, key=lambda t: (counts[t], t))
+        rarest = min(r.literals, key=lambda t: (counts[t], t), default=ANYWHERE)
         filed.setdefault(rarest, []).append((r.base, r.rank, r.name, r.verdict, r.pattern))
 
     @F.pandas_udf("name string, base boolean, verdict string")
@@ -105,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + WORDS, id_co
         for urls in batches:
             won = []
             for url in urls:
-                near = [r for t in set(TOKEN.findall(url.lower())) & index.keys() for r in index[t]]
+                near = [r for t in {ANYWHERE, *TOKEN.findall(url.lower())} & index.keys() for r in index[t]]
                 fits = max((r[:4] for r in near if r[4].search(url)), default=None)
                 won.append((fits[2], fits[0], fits[3]) if fits else (None, None, otherwise))
             yield pd.DataFrame(won, columns=["name", "base", "verdict"])
