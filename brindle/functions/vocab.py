@@ -910,3 +910,12 @@ TASK_STEMS: dict[str, list[str]] = {
     "speech recognition": ["speech", "audio", "asr", "wav"],
     "regression": ["regress", "predict", "forecast"],
 }
+
+#: Words of a record's title, description and tags that speak for images, and for tables, where no tag does.
+IMAGE_WORDS = [
+    "image", "images", "photo", "photos", "photograph", "visual", "picture", "pictures", "computer-vision", "computer vision",
+    "cv", "vision", "object detection", "segmentation", "cnn", "convolutional", "jpg", "jpeg", "png", "tiff", "bmp",
+    "leaf", "leaves", "plant", "flower", "satellite", "aerial", "medical image", "chest xray", "mri", "retinal", "fundus",
+    "microscopy", "histology", "pathology slide", "dermoscopy", "face", "facial", "emotion recognition", "gesture",
+]
+TABULAR_WORDS = ["csv", "tabular", "spreadsheet", "excel", "survey", "census", "sales", "financial", "stock", "price", "revenue", "transaction"]

@@ -281,6 +281,29 @@ def profile_many(tables: dict[str, DataFrame], float_id: bool = True) -> DataFra
     return profile_counts(value_counts(tables), float_id)
 
 
+def group_signals(rows: DataFrame, by: str, columns: list[str], target: str, key: str, most: int = 10) -> DataFrame:
+    """(by, completeness_score, balance_score, uniqueness_score, deep_score, fixes, partial) of datasets that are groups of rows.
+
+    Values that are there, classes of ``target`` and copies of ``key`` (null counts as one value) are each counted in one
+    grouping with partial sums, so no dataset is gathered in one task; copies are told by SHA-256.
+    """
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *[F.count(_value(rows, c)).alias(f"n{i}") for i, c in enumerate(columns)])
+    classes = rows.filter(_value(rows, target).isNotNull()).groupBy(by, F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    most_of = F.min_by("class", F.struct((-F.col("n")).alias("o"), "class"))
+    balance = classes.groupBy(by).agg(F.when(F.count(F.lit(1)) > 1, F.round(F.min("n") * 100.0 / F.max("n"), 2)).otherwise(0.0).alias("balance_score"), most_of.alias("dominant"))
+    copies = rows.groupBy(by, F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    extra = copies.groupBy(by).agg(F.sum(F.col("n") - 1).alias("extra"))
+    d = n.join(balance, by, "left").join(extra, by)
+    missing = lambda i: (F.col("rows") - F.col(f"n{i}")) * 100.0 / F.col("rows")
+    total = sum((missing(i) for i in range(1, len(columns))), missing(0))
+    d = d.withColumns({"completeness_score": F.round(100 - total / len(columns), 2), "uniqueness_score": F.round(100 - F.col("extra") * 100.0 / F.col("rows"), 2)})
+    said = [F.when(missing(i) > 20, F.concat(F.lit(f"Column '{c}' has "), (F.col("rows") - F.col(f"n{i}")).cast("string"), F.lit(" null values"))) for i, c in enumerate(columns)]
+    said += [F.when(F.col("balance_score") < IMBALANCED, F.concat(F.lit("Class imbalance: '"), "dominant", F.lit("' dominates"))), F.when(F.col("extra") > 0, F.concat(F.col("extra").cast("string"), F.lit(" duplicate rows")))]
+    fixes_ = F.slice(F.filter(F.array(*said), lambda x: x.isNotNull()), 1, most)
+    deep = weighted_score(completeness=F.col("completeness_score"), balance=F.col("balance_score"), uniqueness=F.col("uniqueness_score"))
+    return d.select(by, "completeness_score", "balance_score", "uniqueness_score", deep.alias("deep_score"), fixes_.alias("fixes"), F.lit(False).alias("partial"))
+
+
 def class_summary(classes: DataFrame, by: list[str]) -> DataFrame:
     """(by, total, largest, smallest, classes) of (by, class, n) rows."""
     order = lambda s: F.struct((s * F.col("n")).alias("o"), F.col("class").alias("c"))

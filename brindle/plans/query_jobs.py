@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, profiling, ranking, scoring, stages
+from ..operators import dedup, explain, profiling, ranking, scoring, stages
+from ..sources import files
 from ..streaming import breakers, snapshots
 from .catalog_view import catalog, table
 from .query_catalog import WITH
@@ -103,3 +104,53 @@ def two_stage_rerank(spark, sf_dir):
     deep = of.select("canonical_id", "deep_score", none.alias("balance_score"), none.alias("uniqueness_score"), "completeness_score", F.lit(None).cast("bigint").alias("total_images"))
     d = ranking.two_stage(ranked, deep.withColumn("deep_score", none), deep)
     return d.select("query_id", "canonical_id", scoring.half_up(F.col("quality_adjusted"), 3).alias("quality_adjusted"), F.col("new_rank").cast("bigint").alias("new_rank"))
+
+
+@register("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority AS target FROM orders")
+def features_with_target(spark, sf_dir):
+    """Orders landed as CSV files of features and, apart from them and cut in another way, of the target; joined row by row."""
+    root = f"{stages.shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "orders")
+    for name, columns, most in (("features", ["o_orderkey", "o_custkey", "o_totalprice"], 2_000_000), ("target", ["o_orderpriority"], 3_000_000)):
+        d.select(*columns).write.option("header", True).option("maxRecordsPerFile", most).csv(f"{root}/{name}")
+    return files.with_target(spark, f"{root}/features", f"{root}/target")
+
+
+KNOWN = ("row_count", "column_count", "file_size_bytes", "data_format", "license_type", "data_domain")
+_MISSING = [f"(n - n{i}) * 100.0::DOUBLE / n" for i in range(len(KNOWN))]
+_TWO = "CAST(round(CAST({0} AS DECIMAL(18, 6)), 2) AS DECIMAL(5, 2))"
+_NARRATED = ", ".join(f"{{'s': -CAST({k} AS DOUBLE), 'i': {i}, 't': '{k.replace('_', ' ')} (' || {_TWO.format(k)} || ')'}}" for i, k in enumerate(explain.DIMENSIONS))
+
+
+@register(f"""{_RANKED_SQL},
+gn AS (SELECT source, count(*) AS n, {", ".join(f"count({c}) AS n{i}" for i, c in enumerate(KNOWN))} FROM catalog GROUP BY source),
+gc AS (SELECT source, license_type AS class, count(*) AS k FROM catalog WHERE license_type IS NOT NULL GROUP BY ALL),
+gb AS (SELECT source, CASE WHEN count(*) > 1 THEN round(min(k) * 100.0::DOUBLE / max(k), 2) ELSE 0 END AS bal, first(class ORDER BY k DESC, class) AS dominant FROM gc GROUP BY source),
+gd AS (SELECT source, sum(k - 1) AS extra FROM (SELECT source, coalesce(description, '') AS t, count(*) AS k FROM catalog GROUP BY ALL) GROUP BY source),
+gs AS (SELECT *, round(100 - ({" + ".join(_MISSING)}) / {len(KNOWN)}, 2) AS comp, round(100 - extra * 100.0::DOUBLE / n, 2) AS uniq FROM gn LEFT JOIN gb USING (source) JOIN gd USING (source)),
+an AS (SELECT source, comp, bal, uniq, round((comp * 0.30::DOUBLE + bal * 0.25::DOUBLE + uniq * 0.25::DOUBLE) / (0.30::DOUBLE + 0.25::DOUBLE + 0.25::DOUBLE), 2) AS deep,
+  list_filter([{", ".join(f"CASE WHEN {m} > 20 THEN 'Column ''{c}'' has ' || (n - n{i}) || ' null values' END" for i, (c, m) in enumerate(zip(KNOWN, _MISSING, strict=True)))},
+    CASE WHEN bal < 30 THEN 'Class imbalance: ''' || dominant || ''' dominates' END, CASE WHEN extra > 0 THEN CAST(extra AS BIGINT) || ' duplicate rows' END], lambda x: x IS NOT NULL)[1:10] AS fixes FROM gs),
+ex AS (SELECT *, lower(array_to_string(coalesce(fixes, []), ' ')) AS said FROM ranked LEFT JOIN an USING (source))
+SELECT query_id, canonical_id,
+  array_to_string(list_filter([CASE WHEN comp >= 90 THEN 'data nearly complete: ' || CAST(100 - comp AS DECIMAL(5, 1)) || '% missing' END, CASE WHEN uniq >= 98 THEN 'hardly any duplicate rows' END,
+    CASE WHEN bal >= 75 THEN 'balanced classes: ' || CAST(round_even(bal, 0) AS INT) || '/100' END, CASE WHEN deep >= 75 THEN 'good data: ' || CAST(round_even(deep, 0) AS INT) || '/100' END,
+    CASE WHEN task_relevance >= 0.80 THEN 'highly relevant task' END, CASE WHEN task_relevance >= 0.65 AND task_relevance < 0.80 THEN 'good task alignment' END, CASE WHEN description_match >= 0.75 THEN 'well described' END,
+    CASE WHEN popularity >= 0.70 THEN 'widely used: ' || download_count || ' downloads' END, CASE WHEN freshness >= 0.75 THEN 'recently updated' END, CASE WHEN quality >= 0.75 AND deep IS NULL THEN 'high quality' END,
+    CASE WHEN has_schema_info THEN 'schema available' END, CASE WHEN license_type IS NOT NULL THEN 'license: ' || license_type END, CASE WHEN row_count >= 10000 THEN 'substantial size' END], lambda x: x IS NOT NULL)[1:7], '; ') AS strengths,
+  array_to_string(list_concat(coalesce(fixes, [])[1:4], list_filter([
+    CASE WHEN comp < 70 AND NOT regexp_matches(said, 'missing|null') THEN 'many missing values: only ' || CAST(round_even(comp, 0) AS INT) || '% there' END,
+    CASE WHEN bal < 50 AND NOT regexp_matches(said, 'balance|samples') THEN 'classes out of balance: ' || CAST(round_even(bal, 0) AS INT) || '/100' END,
+    CASE WHEN uniq < 95 AND NOT regexp_matches(said, 'duplicate') THEN 'duplicate rows: ' || CAST(100 - uniq AS DECIMAL(5, 1)) || '%' END,
+    CASE WHEN freshness < 0.35 THEN 'may be outdated' END, CASE WHEN quality < 0.40 AND deep IS NULL THEN 'low quality' END, CASE WHEN license_type IS NULL AND NOT regexp_matches(said, 'license') THEN 'license not specified' END,
+    CASE WHEN description_length < 20 AND NOT regexp_matches(said, 'description') THEN 'minimal description' END, CASE WHEN NOT has_schema_info AND NOT regexp_matches(said, 'schema|column') THEN 'no column schema' END,
+    CASE WHEN row_count < 500 THEN 'small' END, CASE WHEN task_relevance < 0.40 THEN 'limited task alignment' END], lambda x: x IS NOT NULL))[1:6], '; ') AS weaknesses,
+  'Ranked #' || rank || ' with a composite score of ' || {_TWO.format("composite")} || '. Strongest signal: ' || (list_sort([{_NARRATED}]))[1].t || '.' AS why_ranked,
+  'Task relevance ' || {_TWO.format("task_relevance")} || ': ' || CASE WHEN task_relevance > 0.6 THEN 'strong' ELSE 'moderate' END || ' alignment. Freshness ' || {_TWO.format("freshness")} || ': '
+    || CASE WHEN freshness > 0.6 THEN 'recent maintenance' ELSE 'potentially older data' END || '.' AS score_narrative
+FROM ex""")
+def explanations_sampled(spark, sf_dir):
+    """Explanations with what the data themselves show: the records of a source are taken as its data."""
+    found = profiling.group_signals(catalog(spark, sf_dir), "source", list(KNOWN), "license_type", "description")
+    d = explain.explain(ranking.rank(scored(spark, sf_dir), 10), found, on="source").withColumn("told", explain.narrative())
+    return d.select("query_id", "canonical_id", F.array_join("strengths", "; ").alias("strengths"), F.array_join("weaknesses", "; ").alias("weaknesses"), "told.why_ranked", "told.score_narrative")

@@ -11,9 +11,8 @@ missing_fields_count int, description_length int, tag_count int, usability_ratin
 KAGGLE = """ref string, title string, subtitle string, description string, lastUpdated string, downloadCount string, totalBytes string, voteCount string, ownerName string, ownerRef string,
 usabilityRating string, tags array<string>, licenseName string, kernelCount string, viewCount string, _corrupt_record string"""
 
-_INFO = "struct<splits:array<struct<name:string,num_examples:bigint>>,features:array<struct<name:string>>>"
-HUGGINGFACE = f"""id string, tags array<string>, downloads string, likes string, lastModified string, created_at string, gated string, private string,
-cardData struct<description:string,task_categories:array<string>,modalities:array<string>,license:string,language:array<string>,dataset_info:{_INFO}>, _corrupt_record string"""
+HUGGINGFACE = """id string, tags array<string>, downloads string, likes string, lastModified string, created_at string, gated string, private string,
+cardData struct<description:string,task_categories:array<string>,modalities:array<string>,license:string,language:array<string>,dataset_info:string>, _corrupt_record string"""
 
 OPENML = """did string, name string, description string, tag array<string>, format string, licence string, creator string, uploader string, upload_date string, version string, visibility string,
 NumberOfInstances string, NumberOfFeatures string, NumberOfClasses string, NumberOfMissingValues string, MajorityClassSize string, MinorityClassSize string, _corrupt_record string"""

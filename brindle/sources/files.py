@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import col
+from ..operators.stages import small, staged
 
 
 def detect_formats(files: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def detect_formats(files: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, limit: int | None = None) -> DataFrame:
-    """A table from a CSV, Parquet, JSON or JSONL path; CSV is read as UTF-8 if it is, else as Latin-1."""
+    """A table from a CSV, Parquet, JSON or JSONL path."""
     if fmt is None:
         fmt = detect_formats(spark.read.format("binaryFile").load(path).limit(1)).select("format").first()[0]
     if fmt == "parquet":
@@ -27,11 +28,80 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, limit: in
     elif fmt in ("json", "jsonl"):
         out = spark.read.option("multiLine", fmt == "json").json(path)
     else:
-        broken = spark.read.format("binaryFile").load(path).filter(~F.is_valid_utf8(F.substring("content", 1, 1 << 20).cast("string"))).limit(1).count()
-        out = spark.read.option("header", True).option("inferSchema", True).option("encoding", "ISO-8859-1" if broken else "UTF-8").csv(path)
+        out = read_csv(spark, path)
     return out.limit(limit) if limit else out
 
 
+def _charset_of_name(name: str) -> str:
+    """A header that was read as Latin-1, as UTF-8 if its bytes are."""
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return name
+
+
+def read_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """CSV files, each read as UTF-8 if all of its lines are valid, else as Latin-1 (A2).
+
+    All lines are judged as bytes, split by split: no split cuts a line, and no letter holds a line break. Only names of
+    files that aren't UTF-8 reach the driver, which lists all files anyway. Types are inferred over all files at once; where
+    these have unlike headers, columns are strings, under the names of the first.
+    ``place`` names a column for the row's number, from 0, over all files in order of their paths (``numbered``).
+    """
+    lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    odd = [r[0] for r in lines.select("_metadata.file_path").distinct().collect()]
+    reader = spark.read.option("header", True)
+    schema = reader.option("inferSchema", True).option("encoding", "ISO-8859-1").csv(path).schema
+    names = [_charset_of_name(f.name) for f in schema]
+    if place in names:
+        raise ValueError(f"the files have a column {place}")
+    parts = []
+    for charset, of in (("UTF-8", ~F.col("_metadata.file_path").isin(odd)), ("ISO-8859-1", F.col("_metadata.file_path").isin(odd))):
+        part = spark.read.option("header", True).option("encoding", charset).schema(schema).csv(path)
+        part = part.filter(of) if odd else part
+        at = [F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(place)] if place else []
+        parts.append(part.select("*", *at).toDF(*names, *[place] * len(at)))
+    out = parts[0].unionByName(parts[1]) if odd else parts[0]
+    return numbered(out, place) if place else out
+
+
+def numbered(d: DataFrame, place: str) -> DataFrame:
+    """``d`` with ``place`` = struct<file_path, file_block_start, row> replaced by the number of the row over all files.
+
+    ``row`` rises within a split as it is read. The rows are staged, so that all that follows sees the same splits; then
+    only the row counts of the splits, one row each, are added up in order. No sort, and no shuffle of the rows unless
+    the splits are too many to be broadcast.
+    """
+    d = staged(d)
+    split = [F.col(place)["file_path"].alias("__file"), F.col(place)["file_block_start"].alias("__block")]
+    n = d.groupBy(*split).agg(F.min(F.col(place)["row"]).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)  # over a row a split
+    n = small(staged(n.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")))
+    met = d.join(n, (F.col(place)["file_path"] == F.col("__file")) & (F.col(place)["file_block_start"] == F.col("__block")))
+    return met.withColumn(place, F.col("__before") + F.col(place)["row"] - F.col("__first")).drop("__file", "__block", "__first", "__before")
+
+
+def first_rows(spark: SparkSession, path: str, n: int, seed: int = 42) -> DataFrame:
+    """A sample of ``n`` rows from the first 2n rows of CSV files."""
+    d = read_csv(spark, path, place="__place").filter(F.col("__place") < 2 * n)
+    return sample(d, n, "__place", seed).drop("__place")
+
+
+def with_target(spark: SparkSession, features: str, target: str, name: str = "target", limit: int | None = None) -> DataFrame:
+    """CSV features with the first column of the target's files beside them as ``name``, row by row.
+
+    Rows meet by their number over the files, however these are split. A feature column called ``name`` is replaced;
+    ``limit`` keeps the first rows. Different numbers of rows are refused, as no row would be sure of its target.
+    """
+    x, y = (staged(read_csv(spark, p, place="__place")) for p in (features, target))
+    if (n := x.count()) != (m := y.count()):
+        raise ValueError(f"{n} rows of features, {m} of the target")
+    if limit is not None:
+        x, y = x.filter(F.col("__place") < limit), y.filter(F.col("__place") < limit)
+    y = y.toDF(name, *[f"__{i}" for i in range(1, len(y.columns) - 1)], "__place").select("__place", name)
+    return x.drop(name).join(y, "__place").drop("__place")
+
+
 def sample(df: DataFrame, n: int, order: str, seed: int = 42) -> DataFrame:
     """First n/2 rows by ``order`` and n/2 of the rest by hash: the same rows on every run."""
     first = df.orderBy(order).limit(n // 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import rules, signals, text
+from ..functions.vocab import IMAGE_WORDS, TABULAR_WORDS
 from ..operators.derive import derive
 
 
@@ -40,15 +41,40 @@ def _modalities(tags: Column, title: Column, description: Column, source: str, d
     return F.when(F.size(_hits(tags, rules.modality)) > 0, _hits(tags, rules.modality)).otherwise(guessed)
 
 
+def _signalled(dump: DataFrame, tags: Column, title: Column, description: Column) -> DataFrame:
+    """``dump`` with ``modalities``, those that tags name. Without any, or with tabular alone, the detected one joins them;
+    then image, and where nothing is known yet tabular, if the record's text holds one of their words (B32). Each step is
+    a column of its own, as the next one uses it several times."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), F.array_join(tags, " ")))
+    d = dump.withColumns({"__tagged": _hits(tags, rules.modality), "__found": signals.detect_modality(tags, title, description, F.lit("kaggle"))["modality"], "__said": said})
+    none, found = F.size("__tagged") == 0, F.col("__found")
+    vague = none | ((F.size("__tagged") == 1) & F.array_contains("__tagged", "tabular"))
+    more = F.when(vague & found.isin("image", "text", "audio"), F.array_union("__tagged", F.array(found))).when(none & (found == "tabular"), F.array(found)).otherwise(F.col("__tagged"))
+    d = d.withColumn("__more", more)
+    d = d.withColumn("__shown", F.when(F.col("__said").rlike("|".join(IMAGE_WORDS)), F.array_union("__more", F.array(F.lit("image")))).otherwise(F.col("__more")))
+    return d.withColumn("modalities", F.when((F.size("__shown") == 0) & F.col("__said").rlike("|".join(TABULAR_WORDS)), F.array(F.lit("tabular"))).otherwise(F.col("__shown")))
+
+
+def _card(info: Column) -> tuple[Column, Column]:
+    """(rows, names) of a card's dataset_info, as JSON text: the examples of its splits, which are a list or a map, added up,
+    and the names of its features; of several configurations the first counts (B26)."""
+    one = F.when(F.ltrim(info).startswith("["), F.get_json_object(info, "$[0]")).otherwise(info)
+    splits = F.get_json_object(one, "$.splits")
+    listed = F.from_json(F.when(splits.startswith("["), splits), "array<struct<num_examples:string>>")
+    mapped = F.map_values(F.from_json(F.when(splits.startswith("{"), splits), "map<string,struct<num_examples:string>>"))
+    rows = F.aggregate(F.coalesce(listed, mapped), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(text.to_long(x["num_examples"]), F.lit(0)))
+    return F.when(rows > 0, rows), F.transform(F.from_json(F.get_json_object(one, "$.features"), "array<struct<name:string>>"), lambda f: f["name"])
+
+
 def kaggle(dump: DataFrame) -> DataFrame:
     ref = F.trim("ref")
     tags = text.clean_tags("tags")
     title = text.first_text("title", slug := text.slug_title(ref), default="")
     description = text.first_text("description", "subtitle", default="")
-    modalities = _modalities(tags, title, description, "kaggle")
+    modalities = F.col("modalities")
     api = F.concat(F.lit("https://www.kaggle.com/api/v1/datasets/download/"), ref)
     return _record(
-        dump, "kaggle", source_id=ref, source_url=F.concat(F.lit("https://www.kaggle.com/datasets/"), ref), title=F.coalesce(title, slug), description=description, tags=tags,
+        _signalled(dump, tags, title, description), "kaggle", source_id=ref, source_url=F.concat(F.lit("https://www.kaggle.com/datasets/"), ref), title=F.coalesce(title, slug), description=description, tags=tags,
         file_size_bytes=text.to_long("totalBytes"), data_format=rules.first_hit(tags, rules.data_format), license_type=F.when(text.first_text("licenseName").isNotNull(), rules.license_type("licenseName")),
         data_domain=rules.first_hit(tags, rules.domain), task_types=rules.tag_tasks(tags), modalities=modalities, last_updated=text.to_time("lastUpdated"), download_count=text.to_long("downloadCount"),
         upvote_count=text.to_long("voteCount"), author=text.first_text("ownerName", "ownerRef", text.slug_owner(ref)), usability_rating=text.to_double("usabilityRating"),
@@ -60,14 +86,13 @@ def huggingface(dump: DataFrame) -> DataFrame:
     i, tags, card = F.trim("id"), text.clean_tags("tags"), F.col("cardData")
     category = text.clean_tags(card["task_categories"])
     description = text.first_text(card["description"], default="")
-    # F.aggregate: sum of num_examples over the splits; 0 counts as unknown
-    rows = F.aggregate(F.coalesce(card["dataset_info"]["splits"], F.array().cast("array<struct<name:string,num_examples:bigint>>")), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x["num_examples"], F.lit(0)))
-    columns = F.size(card["dataset_info"]["features"])
+    rows, names = _card(card["dataset_info"])
+    columns = F.size(names)
     extra = {"image": _points(category, "image|visual|vision"), "text": _points(category, "text|nlp|language"), "audio": _points(category, "audio|speech")}
     named = F.array_union(_hits(text.clean_tags(card["modalities"]), rules.modality), F.array().cast("array<string>"))
     return _record(
-        dump, "huggingface", source_id=i, source_url=F.concat(F.lit("https://huggingface.co/datasets/"), i), title=text.slug_title(i), description=description, tags=tags, row_count=F.when(rows > 0, rows),
-        column_count=F.when(columns > 0, columns), column_names=F.transform(card["dataset_info"]["features"], lambda f: f["name"]), license_type=F.when(text.first_text(card["license"]).isNotNull(), rules.license_type(card["license"])),
+        dump, "huggingface", source_id=i, source_url=F.concat(F.lit("https://huggingface.co/datasets/"), i), title=text.slug_title(i), description=description, tags=tags, row_count=rows,
+        column_count=F.when(columns > 0, columns), column_names=names, license_type=F.when(text.first_text(card["license"]).isNotNull(), rules.license_type(card["license"])),
         data_domain=rules.first_hit(tags, rules.domain), task_types=F.array_distinct(F.concat(rules.tag_tasks(category), rules.tag_tasks(tags))), language=F.get(card["language"], 0),
         modalities=F.when(F.size(named) > 0, named).otherwise(_modalities(tags, text.slug_title(i), description, "huggingface", extra=extra)), last_updated=F.coalesce(text.to_time("lastModified"), text.to_time("created_at")),
         download_count=text.to_long("downloads"), upvote_count=text.to_long("likes"), author=text.slug_owner(i), reject_reason=F.when(F.coalesce(i == "", F.lit(True)), "no id"),
