@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import query_catalog, query_jobs, query_profile, query_search, query_text
+from .plans import query_catalog, query_fields, query_jobs, query_profile, query_search, query_sketch, query_text
 
-_MODULES = (query_catalog, query_search, query_profile, query_text, query_jobs)
+_MODULES = (query_catalog, query_search, query_profile, query_text, query_jobs, query_sketch, query_fields)
 
 
 def queries() -> dict:

@@ -106,6 +106,11 @@ def fingerprint(title: Column | str, source: Column | str, row_count: Column | s
     return F.sha2(F.concat(shown, F.lit(', "title": '), json_text(F.lower(F.trim(col(title)))), F.lit("}")), 256)
 
 
+def stripped(c: Column | str) -> Column:
+    """Text without white space around it; null is empty."""
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
+
+
 def embedding_of_size(c: Column | str, n: int) -> Column:
     """Vector padded with zeros or cut to ``n``."""
     return F.slice(F.concat(col(c), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)

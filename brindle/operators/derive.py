@@ -125,10 +125,32 @@ def risk_signals(score: str = "composite") -> Column:
     return _issues((F.col(score) < 0.4, "low score"), (~F.col("has_license_info"), "license unknown"), (F.coalesce(F.col("row_count") < 1000, F.lit(False)), "small"), (F.col("metadata_completeness") < 0.5, "incomplete metadata"))
 
 
-def clamp_requests(queries: DataFrame, most_chars: int = 500, most_results: int = 50) -> DataFrame:
-    """Queries cut and bounded, with a reject reason for ranges that make no sense."""
-    q = queries.withColumn("raw_query", F.substring(F.trim("raw_query"), 1, most_chars)).withColumn("max_results", F.greatest(F.lit(1), F.least(F.lit(most_results), F.coalesce("max_results", F.lit(10)))))
-    return q.withColumn("reject_reason", F.when(F.coalesce(F.col("raw_query") == "", F.lit(True)), "empty query"))
+#: Levels of detail of an explanation that a request may ask for.
+DETAILS = ("minimal", "standard", "detailed")
+
+
+def clamp_requests(queries: DataFrame, most_chars: int = 500, most_results: int = 50, strict: bool = False) -> DataFrame:
+    """Queries stripped, cut and bounded, with a reject reason where a value makes no sense, null for valid ones.
+
+    Checked beside the text: sources, min_completeness, min_rows against max_rows, result_diversity, explanation_detail and
+    priority, each if the column is there; null passes. All reasons are told, in this order. ``strict`` rejects texts that
+    are too long instead of cutting them. One projection.
+    """
+    stripped = text.stripped("raw_query")
+    have = lambda c: F.col(c) if c in queries.columns else F.lit(None)
+    wrong = lambda c: F.coalesce(c, F.lit(False))
+    outside = lambda c, low, high: wrong(~have(c).cast("double").between(low, high))
+    foreign = F.filter(have("sources").cast("array<string>"), lambda s: ~F.coalesce(s.isin(*SOURCES), F.lit(False)))
+    reasons = _issues(
+        (stripped == "", "empty query"), (F.lit(strict) & (F.length(stripped) > most_chars), "query too long"), (F.coalesce(F.size(foreign), F.lit(0)) > 0, "unknown sources"),
+        (outside("min_completeness", 0.0, 1.0), "completeness out of range"), (wrong(have("min_rows").cast("long") > have("max_rows").cast("long")), "more rows at least than at most"),
+        (outside("result_diversity", 0.0, 1.0), "diversity out of range"), (wrong(~have("explanation_detail").cast("string").isin(*DETAILS)), "unknown detail"), (outside("priority", 1, 10), "priority out of range"),
+    )
+    bounded = F.greatest(F.lit(1), F.least(F.lit(most_results), F.coalesce("max_results", F.lit(10))))
+    out = {"raw_query": F.substring(stripped, 1, most_chars), "max_results": bounded, "reject_reason": F.when(F.size(reasons) > 0, F.array_join(reasons, ","))}
+    if "result_diversity" in queries.columns:
+        out["result_diversity"] = F.round("result_diversity", 2)
+    return queries.withColumns(out)
 
 
 def token_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, vocab
 from ..functions.rules import literal_map
-from ..functions.text import plain_ascii
+from ..functions.text import plain_ascii, stripped
 
 MOST_CHARS = 500
 TASK_FLOOR, MODALITY_FLOOR, FULL = 0.40, 0.35, 1.5
@@ -134,11 +134,6 @@ def first_enough(hits: DataFrame, least: int = 1) -> DataFrame:
     return hits.join(per, ["query_id", "variant"], "left_semi")
 
 
-def stripped(x: Column | str) -> Column:
-    """Text without white space around it; null is empty."""
-    return F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"^\s+|\s+$", "")
-
-
 def word_list(x: Column) -> Column:
     """Words of a text that is stripped, none for an empty one."""
     return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"\s+"))
