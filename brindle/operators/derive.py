@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals, text
+from .stages import small
 
 #: Tiers of a score.
 TIERS = ((0.85, "gold"), (0.65, "silver"), (0.45, "bronze"))
@@ -155,4 +156,4 @@ def clamp_requests(queries: DataFrame, most_chars: int = 500, most_results: int
 
 def token_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Cost of logged model calls: rates has model, prompt_rate and completion_rate; unknown models cost nothing."""
-    return usage.join(F.broadcast(rates), "model", "left").withColumn("cost", F.coalesce(F.col("prompt_tokens") * F.col("prompt_rate") + F.col("completion_tokens") * F.col("completion_rate"), F.lit(0.0)))
+    return usage.join(small(rates), "model", "left").withColumn("cost", F.coalesce(F.col("prompt_tokens") * F.col("prompt_rate") + F.col("completion_tokens") * F.col("completion_rate"), F.lit(0.0)))

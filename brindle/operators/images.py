@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .retrieval import cosine
+from .stages import small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -70,7 +71,7 @@ def per_class(inspected: DataFrame) -> DataFrame:
 
 def label_mismatch(images: DataFrame, labels: DataFrame, least: float = 0.20, flagged: float = 25.0) -> DataFrame:
     """(class, mismatch_percentage, flagged): images (class, v) whose cosine with their label's vector is low."""
-    d = images.join(F.broadcast(labels.select("class", F.col("v").alias("lv"))), "class")
+    d = images.join(small(labels.select("class", F.col("v").alias("lv"))), "class")
     share = F.round(F.avg(F.when(cosine(F.col("v"), F.col("lv")) < least, 100.0).otherwise(0.0)), 2)
     return d.groupBy("class").agg(share.alias("mismatch_percentage")).withColumn("flagged", F.col("mismatch_percentage") > flagged)
 

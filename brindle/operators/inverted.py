@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import EPSILON, K1, QUERY_BLOCK, B, tokens, top_k
+from .retrieval import EPSILON, K1, B, block, tokens, top_k
 from .stages import staged
 
 BUCKETS = 64
@@ -58,11 +58,9 @@ def write_index(docs: DataFrame, id_col: str, fields: dict[str, bool], path: str
 
 def asked_terms(queries: DataFrame, fields: DataFrame) -> DataFrame:
     """(query_id, field, term, qtf) of a block of at most QUERY_BLOCK queries."""
-    block = queries.select("query_id", "query_text").limit(QUERY_BLOCK + 1)
-    if block.count() > QUERY_BLOCK:
-        raise ValueError(f"ask at most {QUERY_BLOCK} queries at a time")
+    asked = block(queries.select("query_id", "query_text"))
     text = F.coalesce("query_text", F.lit(""))
-    said = block.crossJoin(F.broadcast(fields.select("field", "keyword"))).select("query_id", "field", F.explode(F.when(F.col("keyword"), F.array(text)).otherwise(tokens("query_text"))).alias("term"))
+    said = asked.crossJoin(F.broadcast(fields.select("field", "keyword"))).select("query_id", "field", F.explode(F.when(F.col("keyword"), F.array(text)).otherwise(tokens("query_text"))).alias("term"))
     return said.groupBy("query_id", "field", "term").agg(F.count("*").alias("qtf"))
 
 

@@ -16,6 +16,13 @@ RRF, TEXT_WEIGHT, VECTOR_WEIGHT = 60, 0.4, 0.6
 QUERY_BLOCK = 1000
 
 
+def block(queries: DataFrame) -> DataFrame:
+    """``queries``, whose rows were counted and found to fit one block, so that they may be broadcast."""
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
+    return queries
+
+
 def tokens(c: Column | str) -> Column:
     """ASCII letters and digits of the lower-cased text."""
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
@@ -54,9 +61,9 @@ def bm25_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | N
 def bm25_scores(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, doc, score) for every document that holds a term of a query; a term said twice counts twice.
 
-    ``queries`` has query_id and query_text, at most QUERY_BLOCK rows a call: the terms are broadcast.
+    ``queries`` has query_id and query_text, at most QUERY_BLOCK rows a call (checked): the terms are broadcast.
     """
-    q = queries.select("query_id", F.explode(tokens("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = block(queries).select("query_id", F.explode(tokens("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     index, stats = bm25_index(docs, id_col, text_col, q)
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     hit = index.join(F.broadcast(q), "term").crossJoin(F.broadcast(stats))
@@ -75,7 +82,7 @@ def bm25_top(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
 
 def bm25_all(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Scores of all documents, 0 included."""
-    every = docs.select(F.col(id_col).alias("doc")).crossJoin(F.broadcast(queries.select("query_id")))
+    every = docs.select(F.col(id_col).alias("doc")).crossJoin(F.broadcast(block(queries).select("query_id")))
     return every.join(bm25_scores(queries, docs, id_col, text_col), ["query_id", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -129,9 +136,7 @@ def load_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
 
 def vector_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top ``k`` (D8, D13). ``queries`` (query_id, qv) is a stated block of queries, checked and broadcast."""
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+    pairs = vectors.crossJoin(F.broadcast(block(queries))).select("query_id", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
     return top_k(pairs, k, [F.desc("score"), F.col("id")])
 
 
@@ -156,7 +161,7 @@ def rrf(text: DataFrame, vector: DataFrame, k: int, n_docs: int, weights: tuple[
 
 def hybrid(queries: DataFrame, text: DataFrame, vector: DataFrame, k: int, n_docs: int) -> DataFrame:
     """Fusion where a query has hits of both kinds, else the kind that it has (D12-D14). Modes are told in ``mode``."""
-    flags = queries.select("query_id").join(text.select("query_id", F.lit(True).alias("t")).distinct(), "query_id", "left").join(vector.select("query_id", F.lit(True).alias("v")).distinct(), "query_id", "left")
+    flags = block(queries).select("query_id").join(text.select("query_id", F.lit(True).alias("t")).distinct(), "query_id", "left").join(vector.select("query_id", F.lit(True).alias("v")).distinct(), "query_id", "left")
     flags = flags.select("query_id", F.when(F.col("t") & F.col("v"), "hybrid").when(F.col("t"), "text").when(F.col("v"), "vector").otherwise("none").alias("mode"))
     both = rrf(text, vector, k, n_docs).select("query_id", "id", "score", "rank", F.lit("hybrid").alias("mode"))
     most = F.max("score").over(Window.partitionBy("query_id"))
@@ -190,7 +195,7 @@ def cursor_page(catalog: DataFrame, cursor: int, n: int, id_col: str = "seq", so
 
 def keyword_match(queries: DataFrame, catalog: DataFrame, k: int, text_col: str = "title", least: int = 3, relaxed: int = 2) -> DataFrame:
     """Records whose name holds a token of the query, or has a word of four letters within it; queries without hits
-    are tried again with tokens of two characters (D21). Most rows first. The queries are a small broadcast side."""
+    are tried again with tokens of two characters (D21). Most rows first. The queries are a block, checked and broadcast."""
 
     def hits(q: DataFrame, n: int) -> DataFrame:
         name = F.lower(F.col(text_col))
@@ -198,7 +203,7 @@ def keyword_match(queries: DataFrame, catalog: DataFrame, k: int, text_col: str
         back = F.exists(F.filter(F.split(name, r"\s+"), lambda w: F.length(w) >= 4), lambda w: F.contains(F.lower("query_text"), w))
         return catalog.join(F.broadcast(q), has | back)
 
-    first = hits(queries, least)
+    first = hits(block(queries), least)
     again = hits(queries.join(first.select("query_id").distinct(), "query_id", "left_anti"), relaxed)
     return top_k(first.unionByName(again), k, [F.desc_nulls_last("row_count"), F.col("canonical_id")])
 
