@@ -69,7 +69,7 @@ WORDS = (
     word_rule("adult", "block", r"^(?:[^/]*[.-])?(?:porn|xxx)[.-]", "xxx"),
     word_rule("adult host", "block", r"^(?:[^/]*[.-])?porn[.-]", "porn"),
     word_rule("feed", "block", r"/(?:feed|rss)/?(?:index\.xml)?$", "feed"),
-    word_rule("numbered mobile page ending in 00", "block", r"^m\.[^/]*\.example\.net/en/\d+00(?:\.html|/)?$", "m", "example", "net", "en"),
+    word_rule("page for printing", "block", r"/print(?:/|\.html?$|$)", "print"),
 )
 
 
@@ -135,11 +135,11 @@ f AS (SELECT *, CASE
   WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule, host || path AS site FROM u),
 g AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
-  WHEN regexp_matches(site, '^m\.[^/]*\.example\.net/en/[0-9]+00(?:\.html|/)?$') THEN 'numbered mobile page ending in 00'
+  WHEN regexp_matches(site, '/print(?:/|\.html?$|$)') THEN 'page for printing'
   WHEN regexp_matches(site, '/cart/(?:checkout|items)(?:[/.]|$)') THEN 'shopping cart'
   WHEN regexp_matches(site, '/signin(?:[/.]|$)') THEN 'sign-in page'
-  WHEN regexp_matches(site, '^(?:[^/]*[.-])?porn[.-]') THEN 'adult host'
   WHEN regexp_matches(site, '/login(?:[/.]|$)') THEN 'login page'
+  WHEN regexp_matches(site, '^(?:[^/]*[.-])?porn[.-]') THEN 'adult host'
   WHEN regexp_matches(site, '^(?:[^/]*[.-])?casino[.-]') THEN 'casino'
   WHEN regexp_matches(site, '^(?:[^/]*[.-])?xxx[.-]') THEN 'adult'
   WHEN regexp_matches(site, '/feed/?(?:index\.xml)?$') THEN 'feed' END AS pattern_rule FROM f)

@@ -89,3 +89,9 @@ def test_rules_with_and_without_literals(spark):
     assert len(rows) == 7 and got == {0: ("deep", "block"), 1: ("b rare", "block"), 2: ("b tie", "block"), 3: ("b tie", "block"), 4: (None, "allow"), 5: (None, "allow")}
     with pytest.raises(ValueError, match="odd"):
         url_filter.filter_urls(d, (url_filter.word_rule("odd", "block", "x", "A-b"),), url_col="u.rl")
+
+
+def test_own_url_rules_and_the_order_of_equal_ranks(spark):
+    urls = ["http://a.net/x/print.html", "http://a.net/print", "http://a.net/printer", "http://porn.net/login/", "http://a.net/cart/items", "https://m.a.net/en/100.html"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()
+    assert [r.pattern_rule for r in sorted(got)] == ["page for printing", "page for printing", None, "login page", "shopping cart", None]
