@@ -151,9 +151,18 @@ def explanations(spark, sf_dir):
     return d.select("query_id", "canonical_id", F.array_join("weaknesses", "; ").alias("weaknesses"), F.array_join("strengths", "; ").alias("strengths"))
 
 
-@register()
+_DIMS = {"task_relevance": "task relevance", "quality": "data quality", "popularity": "popularity", "freshness": "freshness", "description_match": "description match"}
+_DIM_LIST = "list_sort([" + ", ".join(f"{{{{'s': -CAST({c} AS DOUBLE), 'i': {i}, 'c': '{c}', 't': '{t}'}}}}" for i, (c, t) in enumerate(_DIMS.items())) + "])"
+#: CTEs after ``{0}``, the ranked rows: label, best and worst dimension, and the paragraph of why a row was selected.
+_SAID_SQL = f"""said AS (SELECT *, {_DIM_LIST} AS dims_, CASE WHEN composite >= 0.85 THEN 'Excellent' WHEN composite >= 0.70 THEN 'Good' WHEN composite >= 0.50 THEN 'Fair' WHEN composite >= 0.30 THEN 'Weak' ELSE 'Poor' END
+  || ' (' || CAST(round(composite * 100) AS INT) || '%)' AS label, CASE rank WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END AS suffix FROM {{0}}),
+told AS (SELECT *, list_transform(list_filter(dims_[1:2], lambda x: x.s < 0), lambda x: x.t || ' (' || CAST(round(x.s * -100) AS INT) || '%)') AS named FROM said),
+why AS (SELECT *, dims_[1].c AS best, dims_[5].c AS worst, title || ' ranks ' || rank || suffix || ' with ' || label || '.' || CASE WHEN len(named) > 0 THEN ' Strongest: ' || array_to_string(named, ' and ') || '.' ELSE '' END AS why_selected FROM told)"""
+
+
+@register(f"{_RANKED_SQL}, {_SAID_SQL.format('ranked')} SELECT query_id, CAST(rank AS INT) AS rank, canonical_id, label, why_selected, best, worst FROM why")
 def why_selected(spark, sf_dir):
-    """Paragraphs over a ranked list: text of doubles is formatted by each engine in its own way, so rows only."""
+    """Paragraphs over a ranked list."""
     d = explain.explain(ranking.rank(scored(spark, sf_dir), 10))
     return d.select("query_id", "rank", "canonical_id", "label", "why_selected", "extremes.best", "extremes.worst")
 
@@ -333,11 +342,17 @@ def text_vectors(spark, sf_dir):
     return v.join(n, "item_id").select("item_id", F.round(retrieval.cosine(F.col("v"), F.col("next")), 6).alias("cosine"))
 
 
-@register()
+_PLAN_SQL = f"""{_SCORED_SQL}, {_BM25_SQL.removeprefix(f'WITH {_ASKED_SQL}, ')}, pairs AS (SELECT s.* FROM scored s JOIN bt ON bt.query_id = s.query_id AND bt.doc = s.seq AND bt.rank <= 100 WHERE has_description),
+nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY gated, composite DESC, seq) AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM pairs),
+adj AS (SELECT *, composite * CASE WHEN n > 10 THEN pow(0.7::DOUBLE, nth - 1) ELSE 1 END AS adjusted FROM nth),
+best10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, gated, composite DESC, seq) AS rank FROM adj) WHERE rank <= 10), {_SAID_SQL.format('best10')}"""
+
+
+@register(f"{_PLAN_SQL} SELECT query_id, CAST(rank AS INT) AS rank, canonical_id, composite, round(1e-9 + adjusted, 3) AS adjusted, label, why_selected FROM why")
 def search_plan(spark, sf_dir):
     """The whole plan for a block of queries: gates, retrieval, scores, diverse ranks, explanations."""
     c = filters.passed(filters.judge(catalog(spark, sf_dir), filters.Gates(require_description=True)))
     hits = retrieval.bm25_top(asked(spark), c, "seq", "description", 100).select("query_id", F.col("doc").alias("seq"))
     pairs = c.join(hits, "seq").join(F.broadcast(asked(spark)), "query_id")
     d = explain.explain(ranking.rank(scoring.score(pairs, AS_OF), 10))
-    return d.select("query_id", "rank", "canonical_id", "composite", "adjusted", "label", "why_selected")
+    return d.select("query_id", "rank", "canonical_id", "composite", scoring.half_up(F.col("adjusted"), 3).alias("adjusted"), "label", "why_selected")
