@@ -19,7 +19,7 @@ QUERY_BLOCK = 1000
 def block(queries: DataFrame) -> DataFrame:
     """``queries``, whose rows were counted and found to fit one block, so that they may be broadcast."""
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
+        raise ValueError(f"more than {QUERY_BLOCK} queries: search at most so many at a time, in blocks")
     return queries
 
 
