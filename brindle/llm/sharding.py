@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,8 +35,10 @@ FAN_IN, SIMILAR = 4, 1.5
 #: A run is ragged if it has more than so many times the files that its bytes fill; a merged run never has.
 RAGGED = 3
 FIELDS = "name string, path string, rows bigint, bytes bigint, files bigint"
-#: Of the registered query: how often arrivals are added and the store is compacted.
-WAVES = 3
+#: Of the registered query: a block of arrivals has four of each weight. The largest have half the target at most.
+WEIGHTS, EACH = (1, 4, 11), 4
+#: Arrivals come in so many waves at least, and in more if a wave would have more than so many arrivals; the store is compacted after each.
+WAVES, WAVE_RUNS = 3, 48
 
 
 @dataclass(frozen=True)
@@ -125,8 +128,8 @@ def land(df: DataFrame, root: str, run: Column | None = None) -> list[Run]:
     df.withColumn(name, (run if run is not None else F.lit(0)).cast("int")).write.partitionBy(name).parquet(folder)
     written = spark.read.schema(df.withColumn(name, F.lit(0)).schema).parquet(folder)
     sizes = written.groupBy(F.col(name).alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum(_size(df.dtypes)).alias("b")).collect()
-    tag = folder[-12:]
-    return [Run(f"{tag}-{r['run']:04d}", path := f"{folder}/{name}={r['run']}", r["n"], r["b"], n_files(spark, path)) for r in sorted(sizes, key=lambda r: r["run"])]
+    tag, files = folder[-12:], Counter(f.split("/")[-2] for f in written.inputFiles())
+    return [Run(f"{tag}-{r['run']:04d}", f"{folder}/{name}={r['run']}", r["n"], r["b"], files[f"{name}={r['run']}"]) for r in sorted(sizes, key=lambda r: r["run"])]
 
 
 def add(spark: SparkSession, root: str, runs: list[Run]) -> list[Run]:
@@ -201,42 +204,68 @@ def read(spark: SparkSession, root: str, schema, version: int, run_col: str | No
     runs = manifest(spark, root, version)
     if run_col is None:
         return read_runs(spark, schema, runs)
-    out = None
-    for r in runs:
-        one = read_runs(spark, schema, [r]).withColumn(run_col, F.lit(r.name))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], schema).withColumn(run_col, F.lit(None).cast("string"))
+    if not runs:
+        return read_runs(spark, schema, runs).withColumn(run_col, F.lit(None).cast("string"))
+    # one scan, however many runs there are: a row's run is that of its file's folder
+    d, key = read_runs(spark, schema, runs), _unused("__path", [*schema.names, run_col])
+    names = spark.createDataFrame([(r.path.rpartition("/runs/")[2], r.name) for r in runs], [key, run_col])
+    d = d.withColumn(key, F.regexp_extract(d.metadataColumn("_metadata")["file_path"], "^.*/runs/(.*)/[^/]*$", 1))
+    return d.join(F.broadcast(names), key, "left").select(*[at(c) for c in schema.names], at(run_col))
 
 
 def shares(n_bytes: int = 0, target: int = TARGET) -> list[int]:
-    """Weights of the arrival sizes, four arrivals of each: 1, 4 and 11, and further ones until the least is an eighth of the target."""
-    sizes = [1, 4, 11]
-    while n_bytes / (4 * sum(sizes)) > target / 8:
-        sizes.append(4 * sizes[-1])
-    return sizes
+    """Weights of the arrival sizes, four arrivals of each: 1, 4 and 11, again and again until none is above half the target.
+
+    So the number of arrivals grows with the input, not their size, and all of them are there to be merged.
+    """
+    return [*WEIGHTS] * max(1, math.ceil(n_bytes * max(WEIGHTS) / (EACH * sum(WEIGHTS)) / (target / 2)))
 
 
 def arrivals(sizes: list[int] | None = None) -> Column:
-    """Four arrivals of each size; by default four of 1/64 of the rows, four of 4/64 and four of 11/64."""
+    """Four arrivals of each size, by hash of the id; by default four of 1/64 of the rows, four of 4/64 and four of 11/64."""
     sizes = shares() if sizes is None else sizes
-    k = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4 * sum(sizes))).cast("int")
+    k = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(EACH * sum(sizes))).cast("int")
     out, start = None, 0
     for i, size in enumerate(sizes):
-        at = (4 * i + F.floor((k - start) / size)).cast("int")
-        start += 4 * size
+        at = (EACH * i + F.floor((k - start) / size)).cast("int")
+        start += EACH * size
         out = F.when(k < start, at) if out is None else out.when(k < start, at)
     return out
 
 
+def spread(blocks: int, parts: int) -> Column:
+    """The arrivals of so many blocks at least, for a table read in ``parts`` partitions.
+
+    A block takes whole partitions, or a partition has whole blocks: each task writes the arrivals of its own blocks
+    only, so files grow with the input and not with its square, and nothing is shuffled.
+    """
+    together, apart = max(1, parts // blocks), max(1, math.ceil(blocks / max(1, parts)))
+    inner = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(apart)).cast("int")
+    return (F.floor(F.spark_partition_id() / together).cast("int") * apart + inner) * (EACH * len(WEIGHTS)) + arrivals()
+
+
+def waves(runs: list[Run]) -> list[list[Run]]:
+    """Landed runs, in the order in which they are added: neighbours together, so that a wave has runs of similar size."""
+    n = min(len(runs), max(WAVES, math.ceil(len(runs) / WAVE_RUNS)))
+    return [runs[i * len(runs) // n : (i + 1) * len(runs) // n] for i in range(n)]
+
+
+def store(docs: DataFrame, root: str, target: int = TARGET) -> list[Run]:
+    """All ``docs`` as arrivals of a store at ``root``, which is compacted after each wave of them; the live runs."""
+    spark = docs.sparkSession
+    n_bytes, last = docs.select(_size(docs.dtypes).alias("b"), F.spark_partition_id().alias("p")).agg(F.sum("b"), F.max("p")).first()
+    live = add(spark, root, [])
+    for wave in waves(land(docs, root, spread(len(shares(n_bytes or 0, target)) // len(WEIGHTS), (last or 0) + 1))):
+        add(spark, root, wave)
+        live = compact(spark, root, docs.schema, target)
+    return live
+
+
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents through a store: they land as runs of several sizes; in turn some are added and the store is
-    compacted; read back from the last version."""
+    """All documents through a store: they land as small runs of several sizes, the more of them the more documents there
+    are; wave by wave they are added and the store is compacted; read back from the last version."""
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    n_bytes = docs.agg(F.sum(_size(docs.dtypes))).first()[0] or 0
-    runs = land(docs, root, arrivals(shares(n_bytes)))
-    for wave in range(WAVES):
-        add(spark, root, runs[wave::WAVES])
-        compact(spark, root, docs.schema)
+    store(docs, root)
     out = read(spark, root, docs.schema, versions(spark, root)[-1])
     return out.select("doc_id", "source", _size(docs.dtypes).alias("n_bytes"), "run")

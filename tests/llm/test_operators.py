@@ -540,6 +540,34 @@ def test_arrivals_have_tiers_at_every_size(spark):
     assert {r["k"] for r in seen} == set(range(4 * len(sharding.shares(8 << 30))))
 
 
+def test_all_bytes_are_compacted_at_every_size(spark, tmp_path):
+    from brindle.llm import sharding
+
+    for gb in (0.1, 0.5, 2, 8, 30, 100):
+        n = gb * 2**30
+        sizes = sharding.shares(int(n))
+        runs = [sharding.Run(f"{i:06d}", "", 1, int(n * w / (4 * sum(sizes)))) for i, w in enumerate(w for w in sizes for _ in range(4))]
+        live, merged, idle = [], set(), 0
+        for wave in sharding.waves(runs):
+            live, groups = live + wave, sharding.plan(live + wave)
+            for k, group in enumerate(groups):
+                live = [r for r in live if r not in group] + [sharding.Run(f"{group[0].name}-{k}", "", 1, sum(r.bytes for r in group))]
+            merged |= {r.name for group in groups for r in group}
+            idle += not groups
+        assert sum(r.bytes for r in runs if r.name in merged) > 0.9 * n and not idle
+    d = frame(spark, [f"{i} " + "word " * 40 for i in range(8000)] + ODD, ids=[None, *range(8000 + len(ODD) - 1)]).repartition(5).cache()
+    root, target = f"file://{tmp_path}/whole", 1 << 17
+    live = sharding.store(d, root, target)
+    total = sum(r.bytes for r in live)
+    assert total > 12 * target and sum(r.bytes for r in live if r.name.endswith("-m")) > 0.9 * total
+    assert max(r.bytes for r in sharding.manifest(spark, root, 2)) < target and sum(r.files for r in live) < 3 * total / target
+    back = sharding.read(spark, root, d.schema, sharding.versions(spark, root)[-1])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, back.drop("run").collect())) == sorted(map(key, d.collect()))
+    assert {(r["run"], r["count"]) for r in back.groupBy("run").count().collect()} == {(r.name, r.rows) for r in live}
+    d.unpersist()
+
+
 # ---- similarity, null and repeated ids in the pipeline
 
 
