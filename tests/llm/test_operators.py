@@ -291,6 +291,31 @@ def test_pairwise_fit_matches_plain_gradient_descent():
     assert abs(got.cut - (s[int(at)] + (at - int(at)) * (s[int(at) + 1] - s[int(at)]))) < 1e-9
 
 
+def test_fit_takes_every_label_and_every_pair(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "Beta,", "gamma.", "DELTA!", "#x", "alpha"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    labels = [int(len(t) + rng.randint(0, 200) > 180) for t in texts]
+    d, known = frame(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    got = quality_classifier.fit(d, known)
+    rows = quality_classifier.measured(d).filter(~quality_classifier.held_out()).select("doc_id", "__x").collect()
+    x, y = np.array([list(r["__x"]) for r in rows]), np.array([labels[r["doc_id"]] for r in rows])
+    z = (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0), 1)
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(pairs @ w))
+        w -= np.linalg.solve((pairs.T * (p * (1 - p))) @ pairs / len(pairs) + 1e-3 * np.eye(len(w)), 1e-3 * w - pairs.T @ p / len(pairs))
+    assert 0 < y.sum() < len(y) and np.allclose(got.weights, w, atol=1e-6)
+    assert abs(got.cut - np.quantile(z @ w, quality_classifier.CAUTION * (y == 0).mean())) < 1e-5
+    # more labels than a driver takes: the last of them count like the first
+    d = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr("repeat('ab ', cast(id % 40 as int))").alias("text"))
+    got = quality_classifier.fit(d, d.selectExpr("doc_id", "cast(doc_id % 40 > 9 as int) quality"))
+    mean = quality_classifier.measured(d).filter(~quality_classifier.held_out()).agg(F.avg("__x.log_words")).first()[0]
+    assert abs(got.means[0] - mean) < 1e-8
+    values = spark.createDataFrame([(float(v),) for v in [*range(500)] + [7.0] * 3000 + [-1e9, 1e-9]], "s double")
+    assert [quality_classifier.kth(values, k) for k in (0, 2, 9, 3008, 3009, 3501)] == [sorted(r["s"] for r in values.collect())[k] for k in (0, 2, 9, 3008, 3009, 3501)]
+
+
 # ---- near duplicates
 
 
