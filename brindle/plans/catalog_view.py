@@ -19,7 +19,7 @@ def base_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"), F.col("doc_id") == F.col("o_orderkey"), "left")
     return d.selectExpr(
         "doc_id AS seq", "source", "CAST(doc_id AS STRING) AS source_id", "concat('https://example.org/d/', doc_id) AS source_url",
-        r"array_join(slice(split(btrim(text, ' \t\n\u000B\f\r'), '[ \\x09-\\x0D]+', 7), 1, 6), ' ') AS title", "text AS description",
+        r"array_join(slice(split(btrim(text, ' \t\n\u000B\u000C\r'), '[ \\x09-\\x0D]+', 7), 1, 6), ' ') AS title", "text AS description",
         "slice(array_distinct(regexp_extract_all(lower(text), '[a-z]{4,}', 0)), 1, 8) AS tags",
         "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS row_count", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS column_count",
         "CASE WHEN doc_id % 4 = 0 THEN array('id', 'text', 'label') END AS column_names", "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars * 2 END AS file_size_bytes",

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import shutil
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import dedup, inverted, profiling, ranking, stages
+from brindle.plans import catalog_view, query_jobs
 from brindle.streaming import breakers, snapshots, streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -191,6 +193,18 @@ def test_merges_are_idempotent_and_rewrite_touched_buckets_only(spark, tmp_path)
     assert shown(spark, root) == rows and snapshots.current(spark, root) == after
 
 
+def test_titles_of_merged_records_keep_letters_and_lose_white_space(spark, tmp_path):
+    """A title is the first six words of the text: form feeds and vertical tabs at its ends go, letters stay."""
+    texts = ["foremost | of f", "\f\v two\fwords\f", "f", " \f ", "", None, "a b c d e f g", "\u00a0fine\u0085"]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 2, 3.0, T0, "x")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {str(i): None if t is None else " ".join(re.findall("[^ \t\n\v\f\r]+", t)[:6]) for i, t in enumerate(texts)}
+    assert {r.source_id: r.title for r in catalog_view.base_catalog(spark, str(tmp_path)).collect()} == want
+    marked = {i: t if t is None or int(i) % 4 else f"v2 {t}" for i, t in want.items()}
+    assert {r.source_id: r.title for r in query_jobs.snapshot_merges(spark, str(tmp_path)).collect()} == marked
+
+
 def test_two_writers_and_a_dead_one(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     snapshots.merge_batch(root)(records(spark, range(5), "x"), 0)
