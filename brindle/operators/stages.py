@@ -59,11 +59,15 @@ def running(parts: DataFrame, by: list[str], order: list[str | Column], value: C
 
 
 def first_after(parts: DataFrame, by: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
-    """``parts`` (as for ``running``) with the first ``value`` that isn't null in the rows from each one on."""
+    """``parts`` (as for ``running``) with the first ``value`` that isn't null in the rows from each one on.
+
+    The windows go backwards, from the start of their frame to each row: Spark adds one row at a time to such frames, but
+    takes up a frame that reaches to the end anew for each row, which costs the square of a range's rows.
+    """
     heads = parts.withColumn("__v", value).filter("__v IS NOT NULL").groupBy("part", *by).agg(F.min_by("__v", F.struct(*order)).alias("__head"))
     every = parts.select("part", *by).distinct().join(heads, ["part", *by], "left")
-    later = Window.partitionBy(*by).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    ahead = every.select("part", *by, F.first("__head", ignorenulls=True).over(later).alias("__ahead"))
-    within = Window.partitionBy("part", *by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    inner = parts.withColumn(name, F.first(value, ignorenulls=True).over(within))
+    later = Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = every.select("part", *by, F.last("__head", ignorenulls=True).over(later).alias("__ahead"))
+    within = Window.partitionBy("part", *by).orderBy(*[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    inner = parts.withColumn(name, F.last(value, ignorenulls=True).over(within))
     return inner.join(small(staged(ahead)), ["part", *by]).withColumn(name, F.coalesce(name, "__ahead")).drop("__ahead")

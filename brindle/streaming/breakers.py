@@ -52,7 +52,7 @@ def transitions(events: DataFrame, by: str, ts: str, failed: str, key: str, open
     rows = staged(running(rows, ["source"], order, F.lit(1).cast("long"), "pos"))
     ends = rows.filter("failed").groupBy("source", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= opens).select("source", (F.col("start") + (opens - 1)).alias("pos"), F.lit(True).alias("opening"))
     rows = staged(rows.join(ends, ["source", "pos"], "left").withColumn("opening", F.coalesce("opening", F.lit(False))))
-    rows = first_after(rows, ["source"], order, F.when(F.col("opening"), F.col("pos")), "next_opening")
+    rows = staged(first_after(rows, ["source"], order, F.when(F.col("opening"), F.col("pos")), "next_opening"))
 
     # the first call from the recovery time on: questions and calls in one order, questions before calls of their time
     asks = rows.filter("failed").select("source", (F.col("at") + wait).alias("at"), F.lit(0).alias("kind"), "key", "pos", F.lit(None).cast("boolean").alias("failed"), F.lit(None).cast("long").alias("next_opening"))

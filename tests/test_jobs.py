@@ -28,6 +28,15 @@ def test_prefix_sums_and_lookups_over_ranges(spark):
         assert ahead[k, t] == min((u for q, u, v in rows if q == k and u >= t and v == 4), default=None)
 
 
+def test_lookups_ahead_take_each_row_of_a_range_once(spark):
+    """A frame that reaches to the end of a range is taken up anew for each of its rows; a frame from its start isn't."""
+    n = 30_000
+    parts = stages.ranged(spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("t")), "k", "t")
+    d = stages.first_after(parts, ["k"], ["t"], F.when(F.col("t") % 7000 == 6999, F.col("t")), "a")
+    assert "unboundedfollowing" not in d._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r.t: r.a for r in d.collect()} == {t: a if (a := t // 7000 * 7000 + 6999) < n else None for t in range(n)}
+
+
 def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     class Far:
         conf = type("C", (), {"get": staticmethod(lambda k, d: None)})
