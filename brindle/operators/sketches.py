@@ -20,6 +20,12 @@ DISTINCT_BITS, QUANTILE_K, TRACKED = 12, 200, 1024
 DISTINCT_ERROR, RANK_ERROR, COUNT_ERROR = 4 * 1.04 / math.sqrt(2**DISTINCT_BITS), 0.03, 3.5 / TRACKED
 
 
+def _cells(df: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """(day, column, v, x): the values of all columns unpivoted, as texts and as numbers."""
+    cells = [F.struct(F.lit(c).alias("column"), _value(df, c).cast("string").alias("v"), (_number(df, c) + F.lit(0.0)).alias("x")) for c in columns]
+    return df.select(F.to_date(F.col(f"`{at}`")).alias("day"), F.explode(F.array(*cells)).alias("u")).select("day", "u.*")
+
+
 def day_sketches(df: DataFrame, at: str, columns: list[str]) -> DataFrame:
     """(day, column, exact measures, distinct, quantiles, frequent): a row for each day of ``at`` and column.
 
@@ -27,24 +33,31 @@ def day_sketches(df: DataFrame, at: str, columns: list[str]) -> DataFrame:
     and column, however many rows it read. Nan counts as null; rows without a day are under a null day. A column without
     values on a day has null sketches.
     """
-    cells = [F.struct(F.lit(c).alias("column"), _value(df, c).cast("string").alias("v"), (_number(df, c) + F.lit(0.0)).alias("x")) for c in columns]
-    each = df.select(F.to_date(F.col(f"`{at}`")).alias("day"), F.explode(F.array(*cells)).alias("u")).select("day", "u.*")
     v, x = F.col("v"), F.col("x")
-    return each.groupBy("day", "column").agg(
+    return _cells(df, at, columns).groupBy("day", "column").agg(
         F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(v)).alias("nulls"), F.count(x).alias("numbers"), F.sum(x).alias("total"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.when(F.count(v) > 0, F.hll_sketch_agg(v, DISTINCT_BITS)).alias("distinct"), F.when(F.count(x) > 0, F.kll_sketch_agg_double(x, QUANTILE_K)).alias("quantiles"),
         F.expr(f"approx_top_k_accumulate(v, {TRACKED})").alias("frequent"),
     )
 
 
+def day_counts(df: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """(day, column, v, n): how often each value (null: none) occurs on a day; a row for each different value of a day and column.
+
+    The exact counterpart of the frequent values: where more than TRACKED values are about equally frequent, a sketch cannot
+    tell the most frequent one, or its count. Counts are stored and read like sketches, and add up over days.
+    """
+    return _cells(df, at, columns).groupBy("day", "column", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_days(sketches: DataFrame, path: str) -> None:
-    """Store sketches in a folder for each day. A day that is written again replaces its own folder only, so a repeated delivery
+    """Store sketches or counts in a folder for each day. A day that is written again replaces its own folder only, so a repeated delivery
     counts once."""
     sketches.write.option("partitionOverwriteMode", "dynamic").partitionBy("day").mode("overwrite").parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, since: str | None = None, before: str | None = None) -> DataFrame:
-    """Stored sketches of the days from ``since`` on and ``before`` another: only their folders are read."""
+    """Stored sketches or counts of the days from ``since`` on and ``before`` another: only their folders are read."""
     d = spark.read.parquet(path)
     d = d.filter(F.col("day") >= F.lit(since).cast("date")) if since else d
     return d.filter(F.col("day") < F.lit(before).cast("date")) if before else d

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from brindle.operators import derive, sketches
+from brindle.plans import query_sketch
 
 
 def _rows(n: int, seed: int = 3) -> list[tuple]:
@@ -47,6 +48,18 @@ def test_a_day_delivered_again_counts_once_and_only_asked_days_are_read(spark, t
     assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-02" in plan
 
 
+def test_the_most_frequent_of_many_values_is_counted_exactly(spark, tmp_path):
+    """3,000 users with two or three events a week each, more than a sketch tracks; in the second week asked most have no user."""
+    at = lambda day, i: dt.datetime(2024, 1, day) + dt.timedelta(days=i % 7, seconds=i)
+    rows = [(at(d, i), None if d == 15 and i < 40 else i % 3000, "odd" if i % 2 else "even") for d in (1, 8, 15) for i in range(6000)] + [(at(8, 5), 7, "odd")]
+    frame = spark.createDataFrame([(i, *r, 1.0, "p") for i, r in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["column"], r.week): (r.rows, r.distinct_within, r.most) for r in query_sketch.sketch_weeks(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("user_id", "2024-01-08"): (6001, True, 3), ("user_id", "2024-01-15"): (6000, True, 40), ("event_type", "2024-01-08"): (6001, True, 3001), ("event_type", "2024-01-15"): (6000, True, 3000),
+    }
+
+
 def test_sketches_of_nothing(spark):
     none = spark.createDataFrame([(dt.datetime(2024, 1, 1), None, float("nan")), (None, None, None)], "ts timestamp, `a.word` string, x double")
     got = sketches.estimated(sketches.merged(sketches.day_sketches(none, "ts", ["a.word", "x"]))).collect()
